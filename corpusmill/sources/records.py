@@ -31,7 +31,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for frame in frames:
             for name, text in zip(frame["path"], frame["value"]):
                 found = [json.dumps(x, ensure_ascii=False) for x in json_objects(text)]
-                yield pd.DataFrame({"path": name, "row_no": range(1, len(found) + 1), "record": found})
+                if found:
+                    yield pd.DataFrame({"path": [name] * len(found), "row_no": range(1, len(found) + 1), "record": found})
 
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return files.mapInPandas(run, "path string, row_no long, record string")
