@@ -32,7 +32,7 @@ from . import vec
 from .labelled import held_out, platt, sample
 
 #: Labelled rows to fit on, by class: documented bound of the sample.
-MOST_ROWS = {0: 1500, 1: 4500}
+MOST_ROWS = {0: 1000, 1: 3000}
 _PAIRS, _WORDS, _SHAPES = 1 << 16, 1 << 18, 1 << 18
 SIZE = _PAIRS + _WORDS + _SHAPES
 _KIND = np.zeros(256, np.uint8)
@@ -77,7 +77,7 @@ class Distinct:
     def __call__(self, x: np.ndarray) -> np.ndarray:
         order = np.arange(len(x), dtype=np.int32)
         self.mark[x] = order
-        return x[self.mark[x] == order]
+        return x[self.mark[x] == order].astype(np.int32)
 
 
 @dataclass
@@ -101,9 +101,8 @@ def descend(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, c: float,
     random = np.random.default_rng(seed)
     sign = np.where(y == 1, 1.0, -1.0)
     w, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
-    values = [ratio[f] for f in rows]
-    norms = [float(np.sqrt((v * v).sum())) or 1.0 for v in values]
-    values = [v / n for v, n in zip(values, norms)]  # every row has length 1, and 1 for the bias
+    scale = lambda v: (v / (np.sqrt((v * v).sum()) or 1.0)).astype(np.float32)
+    values = [scale(ratio[f]) for f in rows]  # every row has length 1, and 1 for the bias
     for _ in range(rounds):
         largest = 0.0
         for i in random.permutation(len(rows)):

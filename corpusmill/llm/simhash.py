@@ -296,26 +296,77 @@ def _shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, pa
         yield row, n, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
 
 
+class Leaders:
+    """Sets seen so far that no earlier one is similar to, found through the least part of each set.
+
+    Two sets with a Jaccard similarity of at least s share an element among
+    the first n - ceil(s * n) + 1 of each in any fixed order; here, by value.
+    """
+
+    def __init__(self, similarity: float):
+        self.similarity, self.sets, self.index, self.empty = similarity, [], {}, False
+
+    def covers(self, x: np.ndarray) -> bool:
+        """Whether x (distinct, ascending) is similar to a leader; if not, x becomes one."""
+        if not len(x):
+            seen, self.empty = self.empty, True
+            return seen
+        first = x[: len(x) - int(np.ceil(self.similarity * len(x) - 1e-9)) + 1].tolist()
+        for i in dict.fromkeys(i for v in first for i in self.index.get(v, ())):
+            y = self.sets[i]
+            if min(len(x), len(y)) >= self.similarity * max(len(x), len(y)):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common >= self.similarity * (len(x) + len(y) - common):
+                    return True
+        for v in first:
+            self.index.setdefault(v, []).append(len(self.sets))
+        self.sets.append(x)
+        return False
+
+
+def covered(sets: DataFrame, cell: Column, similarity: float) -> DataFrame:
+    """_text_key of the rows that an earlier row of the same cell (by least, key) covers. Rows stream; only leaders are held."""
+    rows = sets.select(cell.alias("cell"), "least", "key", "sets").repartition("cell").sortWithinPartitions("cell", "least", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, leaders = None, None
+        for batch in batches:
+            cells, keys, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            gone, before = [], None
+            for i, (c, key) in enumerate(zip(cells, keys)):
+                if c != now:
+                    now, leaders = c, Leaders(similarity)
+                if key != before and leaders.covers(flat[at[i] : at[i + 1]]):
+                    gone.append(key)
+                before = key
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], ["_text_key"])
+
+    return rows.mapInArrow(run, "_text_key string")
+
+
 def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 10, blocks: int = 8, equal: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near copies: one document of each group stays, with the least id.
 
     Groups of candidates are the components of the fingerprints (of 3-word
     shingles) within radius; two blocks of eight must agree, so links of up to
-    6 differing bits are all found, longer ones mostly.  In a group the
-    document with the least id stays, and those whose sets of word shingles
-    have a Jaccard similarity to it of at least similarity go; the rest of the
-    group goes on in the same way until none is left.  So no document goes
-    without a verified near copy that stays.  Equal texts count as one; of
-    repeated rows one stays; a null id counts as the largest.
+    6 differing bits are all found, longer ones mostly.  In a group, documents
+    come by id, and one goes if its set of word shingles has a Jaccard
+    similarity of at least similarity to that of one before it that stays; so
+    no document goes without a verified near copy that stays.  Groups of more
+    than CELL texts are first judged in parts, and what stays of the parts
+    together.  Equal texts count as one; of repeated rows one stays; a null id
+    counts as the largest.
     """
-    ident = [F.col(id_col).alias("_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_text_key")]
-    own = scratch.stored(fingerprints(docs, 3, id_col, text_col, ident[1]), "fingerprints")
+    last = F.lit(2**63 - 1)
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    own = scratch.stored(fingerprints(docs, 3, id_col, text_col, key.alias("_text_key")), "fingerprints")
     texts = own.groupBy("_text_key", "fp").agg(F.min("doc_id").alias("least"))
     star = components(links(texts.select("fp").distinct(), radius, blocks, equal))
     linked = star.select(F.col("a").alias("fp"), F.col("b").alias("top")).union(star.select("b", "b").distinct())
     alike = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("fp")
     linked = linked.union(alike.join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("top")))
-    grouped = texts.join(linked, "fp").select("_text_key", "top", F.coalesce("least", F.lit(2**63 - 1)).alias("least"))
+    grouped = texts.join(linked, "fp").select("_text_key", "top", F.coalesce("least", last).alias("least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,26 +374,19 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radi
                 part = batch.slice(row, n)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], sets], ["key", "top", "least", "sets"])
 
-    told = docs.select(F.col(text_col).alias("_text"), *ident)
-    one = told.join(grouped, (told["_text_key"] == grouped["_text_key"]) & (F.coalesce(told["_id"], F.lit(2**63 - 1)) == grouped["least"]))
-    one = one.select("_text", grouped["_text_key"], "top", "least").mapInArrow(run, "key string, top long, least long, sets array<long>")
-    rest, gone = scratch.stored(one, "sets"), None
-    while rest.limit(1).count():
-        first = F.min(F.struct("least", "key")).alias("first")
-        heads = rest.join(rest.groupBy("top").agg(first).select("top", "first.*"), ["top", "least", "key"]).select("top", F.col("key").alias("head"), F.col("sets").alias("head_sets")).dropDuplicates(["top"])
-        common = F.size(F.array_intersect("sets", "head_sets"))
-        union = F.size("sets") + F.size("head_sets") - common
-        judged = rest.join(heads, "top").where("key <> head").withColumn("same", (union == 0) | (common >= F.lit(similarity) * union))
-        judged = scratch.stored(judged.select("key", "top", "least", "sets", "same"), "judged")
-        went = judged.where("same").select(F.col("key").alias("_text_key"))
-        gone = went if gone is None else gone.union(went)
-        rest = judged.where("not same").drop("same")
-    stay = texts if gone is None else texts.join(gone, "_text_key", "left_anti")
-    stay = stay.select(F.col("_text_key").alias("_k"), F.col("least").alias("_l"))
-    keyed = docs.withColumn("_k", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = keyed.join(stay, (keyed["_k"] == stay["_k"]) & keyed[id_col].eqNullSafe(stay["_l"])).select(keyed["*"])
+    told = docs.select(F.col(text_col).alias("_text"), F.coalesce(F.col(id_col), last).alias("_id"), key.alias("_key"))
+    one = told.join(grouped, (told["_key"] == grouped["_text_key"]) & (told["_id"] == grouped["least"]))
+    sets = scratch.stored(one.select("_text", "_text_key", "top", "least").mapInArrow(run, "key string, top long, least long, sets array<long>"), "sets")
+    parts = sets.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    dealt = sets.join(parts, "top")
+    gone = scratch.stored(covered(dealt, F.xxhash64("top", F.pmod(F.xxhash64("key"), "parts")), similarity), "covered")
+    large = dealt.where("parts > 1").join(gone, F.col("key") == gone["_text_key"], "left_anti")
+    gone = gone.union(covered(large, F.col("top"), similarity))
+    stay = texts.join(gone, "_text_key", "left_anti").select(F.col("_text_key").alias("_k"), F.col("least").alias("_l"))
+    keyed = docs.withColumn("_key", key)
+    kept = keyed.join(stay, (keyed["_key"] == stay["_k"]) & keyed[id_col].eqNullSafe(stay["_l"])).select(keyed["*"])
     if own.groupBy("doc_id", "_text_key").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, "_k"])
+        kept = kept.dropDuplicates([id_col, "_key"])
     return kept.select(*docs.columns)
 
 
