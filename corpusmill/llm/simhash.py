@@ -164,19 +164,37 @@ def _near(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radiu
     return i[keep], j[keep]
 
 
-def _large_cell(fp: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links in one cell: rows by the first coordinate, each block against those within the radius in it."""
+def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Makes one component of the rows of each pair; label is each row's root, that never is a later row."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
+
+
+def _large_cell(fp: np.ndarray, table: np.ndarray, radius: int) -> np.ndarray:
+    """A row of its component for each row of one cell: rows by the first coordinate, each block against those within the radius in it.
+
+    Pairs that earlier blocks have connected are left out, and the pairs of a block are dropped after it.
+    """
     order = np.argsort(table[:, 0], kind="stable")
     fp, table = fp[order], table[order]
-    found = []
+    label = np.arange(len(fp))
     for a in range(0, len(fp), 256):
         b = min(a + 256, len(fp))
         stop = int(np.searchsorted(table[:, 0], table[b - 1, 0] + radius, "right"))
         close = np.abs(table[a:b, 1, None] - table[None, a:stop, 1]) <= radius
+        close &= label[a:b, None] != label[None, a:stop]
         i, j = np.nonzero(np.triu(close, 1))
-        i, j = _near(fp, table[:, 2:], i + a, j + a, radius)
-        found.append((fp[i], fp[j]))
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        _unite(label, *_near(fp, table[:, 2:], i + a, j + a, radius))
+    root = np.empty_like(label)
+    root[order] = order[label]
+    return root
 
 
 def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,20 +206,18 @@ def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarr
     if not len(size):
         return fp[:0], fp[:0]
     table = np.bitwise_count(fp[:, None] ^ _REFERENCES).astype(np.int16)
+    label = np.arange(len(fp))
     begin = np.cumsum(size) - size
     small = size <= 48
     left = np.repeat(np.where(small, size, 0), size) - (np.arange(len(fp)) - np.repeat(begin, size))  # rows of the cell from here on
-    u, v = [], []
     for step in range(1, int(size[small].max()) if small.any() else 0):
         i = np.flatnonzero(left > step)
-        i, j = _near(fp, table, i, i + step, radius)
-        u.append(fp[i])
-        v.append(fp[j])
+        i = i[label[i] != label[i + step]]
+        _unite(label, *_near(fp, table, i, i + step, radius))
     for a, n in zip(begin[~small].tolist(), size[~small].tolist()):
-        i, j = _large_cell(fp[a : a + n], table[a : a + n], radius)
-        u.append(i)
-        v.append(j)
-    return stars(np.concatenate(u), np.concatenate(v)) if u else (fp[:0], fp[:0])
+        label[a : a + n] = a + _large_cell(fp[a : a + n], table[a : a + n], radius)
+    moved = np.flatnonzero(label != np.arange(len(fp)))
+    return stars(fp[moved], fp[label[moved]])
 
 
 def block_masks(blocks: int, equal: int) -> list[int]:
