@@ -38,6 +38,8 @@ from . import scratch, vec
 
 #: Fingerprints of a cell that one task compares; larger cells are split.
 CELL = 4096
+#: Links in a file of the tables between rounds of components (16 bytes each); a round sizes its table by the one before, which is at least half as large.
+LINKS_A_FILE = 1_000_000
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 _REFERENCES = vec.mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Bit i of a byte in byte i of a 64-bit word: adds eight counters at once.
@@ -283,7 +285,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        now = scratch.stored(small.select("x.*").where("a <> b").distinct(), "edges")
+        files = -(-mark[0] // LINKS_A_FILE)
+        now = scratch.stored(small.select("x.*").where("a <> b").distinct().coalesce(files), "edges")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 5, equal: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
