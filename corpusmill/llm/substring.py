@@ -16,6 +16,10 @@ minimizer occurs again, which a Spark join finds:
   again are repeated as a whole; of the others the edges are hashed one by one
   and joined by (minimizer, hash), 128 bits in all.
 
+A path that runs round a cycle (words or phrases repeated one after another)
+gives the same segment again and again; such a run is one row with the number
+of its rounds, so a hot cycle costs a row per run and not one per round.
+
 Segments carry source coordinates (shard, row, word) into a numbered copy of
 the texts in the shared folder.  The repeated spans go back to their shard, and
 the words they cover are removed there, so texts are never shuffled.  Counts
@@ -48,12 +52,15 @@ _PLACE = np.uint64(0xFFFFFFFF)
 
 
 def segments(h: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[np.ndarray, ...]:
-    """(document, start in it, windows, minimizer, content) of the segments of a batch's word hashes."""
+    """(document, start in it, windows, rounds, minimizer, content) of the segments of a batch's word hashes.
+
+    Equal segments one after another are one row: windows are those of one round.
+    """
     counts = np.maximum(np.diff(first) - k + 1, 0)
     at = vec.ragged(first[:-1], counts)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     rolling = vec.Rolling(h)
     pieces = rolling.windows(m)
     least = vec.sliding_min((pieces & ~_PLACE) | np.arange(len(pieces), dtype=np.uint64), k - m + 1)
@@ -64,7 +71,12 @@ def segments(h: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[np.ndarr
     size = np.diff(np.append(head, len(at)))
     start = at[head]
     document = np.searchsorted(first, start, "right") - 1
-    return document, start - first[document], size, pieces[chosen[head]], rolling.spans(start, start + size + k - 1)
+    key, content = pieces[chosen[head]], rolling.spans(start, start + size + k - 1)
+    other = np.ones(len(head), bool)  # a document's segments follow one another without a gap
+    other[1:] = (document[1:] != document[:-1]) | (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (size[1:] != size[:-1])
+    run = np.flatnonzero(other)
+    rounds = np.diff(np.append(run, len(head)))
+    return document[run], start[run] - first[document[run]], size[run], rounds, key[run], content[run]
 
 
 def _shard_batches(uri: str, columns: list[str] | None) -> Iterator[pa.RecordBatch]:
@@ -105,19 +117,19 @@ def repeated_spans(spark, names, window: int, piece: int, text_col: str) -> Data
                 for texts in _shard_batches(names.value[shard], [text_col]):
                     for row, n, data, offsets in vec.text_batches(texts.column(0)):
                         starts, ends, first = vec.words(data, offsets, vec.NOT_SPACE)
-                        document, start, size, key, content = segments(vec.hash_words(data, starts, ends), first, window, piece)
-                        columns = [pa.array(np.full(len(start), shard, np.int32)), pa.array((document + base + row).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), _long(key), _long(content)]
-                        yield pa.RecordBatch.from_arrays(columns, ["shard", "row", "start", "n", "key", "content"])
+                        document, start, size, rounds, key, content = segments(vec.hash_words(data, starts, ends), first, window, piece)
+                        columns = [pa.array(np.full(len(start), shard, np.int32)), pa.array((document + base + row).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(rounds.astype(np.int32)), _long(key), _long(content)]
+                        yield pa.RecordBatch.from_arrays(columns, ["shard", "row", "start", "n", "rounds", "key", "content"])
                     base += texts.num_rows
 
     numbers = spark.range(0, shards, 1, max(shards, 1))
-    cuts = scratch.stored(numbers.mapInArrow(cut, "shard int, row int, start int, n int, key long, content long"), "segments")
-    kinds = cuts.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("content").alias("a"), F.max("content").alias("b")).where("c > 1")
+    cuts = scratch.stored(numbers.mapInArrow(cut, "shard int, row int, start int, n int, rounds int, key long, content long"), "segments")
+    kinds = cuts.groupBy("key").agg(F.sum("rounds").alias("c"), F.min("content").alias("a"), F.max("content").alias("b")).where("c > 1")
     met = cuts.join(kinds.select("key", (F.col("a") == F.col("b")).alias("single")), "key")
     met = scratch.stored(met, "repeated")
     place = F.struct("shard", "row", "start", "n")
     branches = met.where("not single")
-    contents = branches.groupBy("key", "content").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("at"))
+    contents = branches.groupBy("key", "content").agg(F.sum("rounds").alias("c"), F.min(place).alias("at"))
     whole = branches.join(contents.where("c > 1").select("key", "content"), ["key", "content"], "left_semi")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +158,8 @@ def repeated_spans(spark, names, window: int, piece: int, text_col: str) -> Data
     edges = scratch.stored(wanted.mapInArrow(expand, "key long, hash long, shard int, row int, start int, c long"), "edges")
     again = edges.groupBy("key", "hash").agg(F.sum("c").alias("k")).where("k > 1").select("key", "hash")
     single = edges.where("c = 1").join(again, ["key", "hash"], "left_semi").select("shard", "row", "start", F.lit(1).alias("n"))
-    return met.where("single").select("shard", "row", "start", "n").union(whole.select("shard", "row", "start", "n")).union(single)
+    run = [F.col("shard"), F.col("row"), F.col("start"), (F.col("n") * F.col("rounds")).alias("n")]
+    return met.where("single").select(*run).union(whole.select(*run)).union(single)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, piece: int = 10, text_col: str = "text") -> DataFrame:

@@ -353,3 +353,40 @@ def test_rolling_and_words():
     again = vec.Rolling(np.concatenate([h, h]))
     assert (again.windows(3)[:3] == again.windows(3)[5:]).all() and len(set(h.tolist())) == 5
     assert vec.sliding_min(np.array([5, 3, 4, 1, 9, 9, 9]), 3).tolist() == [3, 1, 1, 1, 9]
+
+
+def test_substring_cycles(spark):
+    """Runs of repeated phrases, as single rows with rounds, against brute force."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    texts = ["the " * 90, "the " * 35, "x " * 36, "x " * 35, text(34), None, ""]
+    for i in range(30):
+        phrase = text(rng.randint(1, 60))
+        texts.append(" ".join([text(rng.randint(0, 30)), *[phrase] * rng.randint(1, 200 // len(phrase.split()) + 2), text(rng.randint(0, 20))]))
+        texts.append("a b " * rng.randint(1, 60) + text(5) + " b a" * rng.randint(1, 60))
+    words = [SPACE.findall(x or "") for x in texts]
+    seen = {}
+    for w in words:
+        for i in range(len(w) - 34):
+            seen[tuple(w[i : i + 35])] = seen.get(tuple(w[i : i + 35]), 0) + 1
+    want = {}
+    for k, w in enumerate(words):
+        gone = {p for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for p in range(i, i + 35)}
+        want[k] = (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
+    found = substring.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in found.collect()} == want
+
+
+def test_hot_cell_links():
+    """One cell of thousands of fingerprints gives the components of all its pairs."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 4, dtype=np.uint64)
+    fp = base[rng.integers(0, 4, 1500)]
+    for _ in range(4):
+        fp = fp ^ (np.uint64(1) << rng.integers(0, 64, len(fp)).astype(np.uint64))
+    fp = np.unique(np.concatenate([fp, rng.integers(0, 2**63, 40, dtype=np.uint64)]))
+    for radius in (3, 7):
+        i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius, 1))
+        want = simhash.stars(fp[i], fp[j])
+        got = simhash._cell_links(np.zeros(len(fp)), fp, radius)
+        assert all(np.array_equal(x, y) for x, y in zip(got, want))
