@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: The punctuation that the Indic word splitter sets apart (ASCII's but the backslash, dandas and script marks).
 INDIC_MARKS = r"""([!"#$%&'()*+,\-./:;<=>?@\[\]^_`{|}~\x{964}\x{965}\x{aaf1}\x{aaf0}\x{abeb}\x{abec}\x{abed}\x{abee}\x{abef}\x{1c7e}\x{1c7f}])"""
+ASCII_MARK = r"[!-/:-@\[-`{-~]"
 QE_TOKEN = r"(?U)[\p{L}\p{N}]+(?:[-'/][\p{L}\p{N}]+)*|[^\s\x1c-\x1f\p{L}\p{N}_]"
 
 
@@ -73,16 +74,33 @@ def tokens_13a(s: Column) -> Column:
     return F.filter(F.split(out, SPACE), lambda t: t != "")
 
 
+def words_and_marks(s: Column) -> Column:
+    """Words at white space; an ASCII mark at a word's end, else one at its start, stands apart."""
+
+    def apart(w: Column) -> Column:
+        head, tail = F.substr(w, F.lit(1), F.length(w) - 1), F.right(w, F.lit(1))
+        one = F.length(w) == 1
+        return F.when(one, F.array(w)).when(tail.rlike(ASCII_MARK), F.array(head, tail)).when(w.rlike("^" + ASCII_MARK), F.array(F.left(w, F.lit(1)), F.substr(w, F.lit(2)))).otherwise(F.array(w))
+
+    words = F.filter(F.split(s, SPACE), lambda w: w != "")
+    return F.flatten(F.transform(words, apart))
+
+
+def ascii_words(s: Column) -> Column:
+    """Runs of a-z and 0-9 of the lower-cased text."""
+    return F.regexp_extract_all(F.lower(s), F.lit("[a-z0-9]+"), 0)
+
+
 def ngrams(tokens: Column, n: int, join: str = " ") -> Column:
     """All runs of n neighbours, joined."""
-    last = F.size(tokens) - n + 1
+    last = F.coalesce(F.size(tokens), F.lit(0)) - n + 1
     return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), join)))
 
 
 def char_ngrams(s: Column, n: int) -> Column:
     """All runs of n characters, white space left out."""
     bare = F.regexp_replace(s, SPACE, "")
-    last = F.length(bare) - n + 1
+    last = F.coalesce(F.length(bare), F.lit(0)) - n + 1
     return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(bare, i, F.lit(n))))
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,37 +83,59 @@ def take_shorter(a: DataFrame, b: DataFrame, key: str, text: str) -> DataFrame:
     return met.select(key, F.when(first, F.col("a")).otherwise(F.col("b")).alias("chosen"), first.alias("from_first"))
 
 
-def clipped_matches(df: DataFrame, key: str, hyp: Callable[[int], Column], ref: Callable[[int], Column], orders: range) -> DataFrame:
-    """(n, matches, hyp_total, ref_total) over the corpus: n-gram counts of each segment, clipped by the reference's, summed."""
-    grams = []
-    for n in orders:
-        for side, of in ((0, hyp), (1, ref)):
-            grams.append(df.select(key, F.lit(n).alias("n"), F.lit(side).alias("side"), F.explode(of(n)).alias("gram")))
-    out = grams[0]
-    for g in grams[1:]:
-        out = out.unionByName(g)
+def clipped_matches(df: DataFrame, key: str, hyp: Callable[[int], Column], ref: Callable[[int], Column], orders: range, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, n, matches, hyp_total, ref_total) over the corpus: n-gram counts of each segment, clipped by the reference's, summed."""
+    none = F.array().cast("array<string>")
+    marked = lambda n, side, grams: F.transform(F.coalesce(grams, none), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram")))
+    # one pass over the segments makes the n-grams of both sides and of all orders
+    grams = F.concat(*[marked(n, side, of(n)) for n in orders for side, of in ((0, hyp), (1, ref))])
+    out = df.select(*by, key, F.inline(grams))
     h, r = F.sum(1 - F.col("side")), F.sum("side")
-    counts = out.groupBy(key, "n", "gram").agg(h.alias("h"), r.alias("r"))
-    return counts.groupBy("n").agg(F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("hyp_total"), F.sum("r").alias("ref_total"))
+    counts = out.groupBy(*by, key, "n", "gram").agg(h.alias("h"), r.alias("r"))
+    return counts.groupBy(*by, "n").agg(F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("hyp_total"), F.sum("r").alias("ref_total"))
 
 
-def bleu(stats: DataFrame) -> DataFrame:
+def bleu(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Corpus BLEU-4 without smoothing from clipped_matches of orders 1 to 4, in 1/10000, rounded; 0 if an order has no match."""
     logs = F.sum(F.when(F.col("matches") > 0, F.log(F.col("matches") / F.col("hyp_total")))) / 4
     c, r = F.max(F.when(F.col("n") == 1, F.col("hyp_total"))), F.max(F.when(F.col("n") == 1, F.col("ref_total")))
     full = F.sum((F.col("matches") > 0).cast("int")) == 4
-    one = stats.agg(logs.alias("l"), c.alias("c"), r.alias("r"), full.alias("full"))
+    one = stats.groupBy(*by).agg(logs.alias("l"), c.alias("c"), r.alias("r"), full.alias("full"))
     brevity = F.when(F.col("c") > F.col("r"), 1.0).otherwise(F.exp(1.0 - F.col("r") / F.col("c")))
-    return one.select(F.when(F.col("full"), F.floor(1000000 * brevity * F.exp("l") + 0.5)).otherwise(0).cast("long").alias("bleu_e4"), F.col("c").alias("hyp_len"), F.col("r").alias("ref_len"))
+    return one.select(*by, F.when(F.col("full"), F.floor(1000000 * brevity * F.exp("l") + 0.5)).otherwise(0).cast("long").alias("bleu_e4"), F.col("c").alias("hyp_len"), F.col("r").alias("ref_len"))
 
 
-def chrf(stats: DataFrame, beta: float = 2.0) -> DataFrame:
+def bleu_parts(stats: DataFrame) -> DataFrame:
+    """(n, precision_e4, bp_e4, len_ratio_e4): the precision of every order beside brevity penalty and length ratio, in 1/10000, rounded."""
+    whole = lambda x: F.floor(10000 * x + 0.5).cast("long")
+    size = stats.where("n = 1").select(F.col("hyp_total").alias("c"), F.col("ref_total").alias("r"))  # one row
+    brevity = F.when(F.col("c") > F.col("r"), 1.0).otherwise(F.exp(1.0 - F.col("r") / F.col("c")))
+    return stats.join(F.broadcast(size), F.lit(True)).select("n", whole(F.col("matches") / F.col("hyp_total")).alias("precision_e4"), whole(brevity).alias("bp_e4"), whole(F.col("c") / F.col("r")).alias("len_ratio_e4"))
+
+
+def chrf_stats(df: DataFrame, key: str, hyp: str, ref: str, words: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """clipped_matches of character orders 1 to 6 and, as orders 7 on, of word orders 1 to words; a segment's order counts only if its reference has it."""
+
+    chars = lambda c: F.split(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), T.SPACE, ""), "")
+    df = df.select(*by, key, *[chars(c).alias(f"_{side}c") for side, c in (("h", hyp), ("r", ref))], *[T.words_and_marks(F.coalesce(F.col(c), F.lit(""))).alias(f"_{side}w") for side, c in (("h", hyp), ("r", ref))])
+    df = df.withColumns({c: F.filter(c, lambda x: x != "") for c in ("_hc", "_rc")})
+
+    def grams(side: str, n: int) -> Column:
+        return T.ngrams(F.col(f"_{side}c"), n, "") if n <= 6 else T.ngrams(F.col(f"_{side}w"), n - 6)
+
+    def guarded(n: int) -> Column:
+        return F.when(F.size("_rc") >= n if n <= 6 else F.size("_rw") >= n - 6, grams("h", n))
+
+    return clipped_matches(df, key, guarded, lambda n: grams("r", n), range(1, 7 + words), by)
+
+
+def chrf(stats: DataFrame, beta: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
     """F-score of precision and recall averaged over the orders that both sides have, in 1/10000, rounded."""
     has = (F.col("hyp_total") > 0) & (F.col("ref_total") > 0)
     p, r = F.avg(F.when(has, F.col("matches") / F.col("hyp_total"))), F.avg(F.when(has, F.col("matches") / F.col("ref_total")))
     b = beta * beta
-    one = stats.agg(p.alias("p"), r.alias("r"))
-    return one.select(F.when(F.col("p") + F.col("r") > 0, F.floor(1000000 * (1 + b) * F.col("p") * F.col("r") / (b * F.col("p") + F.col("r")) + 0.5)).otherwise(0).cast("long").alias("chrf_e4"))
+    one = stats.groupBy(*by).agg(p.alias("p"), r.alias("r"))
+    return one.select(*by, F.when(F.col("p") + F.col("r") > 0, F.floor(1000000 * (1 + b) * F.col("p") * F.col("r") / (b * F.col("p") + F.col("r")) + 0.5)).otherwise(0).cast("long").alias("chrf_e4"))
 
 
 def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
@@ -142,41 +163,58 @@ def edits(a: list, b: list) -> int:
     return int(row[-1])
 
 
-def shifted_edits(hyp: list, ref: list, longest: int = 10, farthest: int = 50) -> int:
-    """Edits with block moves at one edit each: the move that lowers the distance most is made, until none does."""
-    words, shifts = list(hyp), 0
-    now = edits(words, ref)
-    while now:
-        places: dict[tuple, list[int]] = {}
-        for j in range(len(ref)):
-            for n in range(1, min(longest, len(ref) - j) + 1):
-                places.setdefault(tuple(ref[j : j + n]), []).append(j)
-        best = None
-        for i in range(len(words)):
-            for n in range(1, min(longest, len(words) - i) + 1):
-                at = places.get(tuple(words[i : i + n]))
+def _edits_of_many(rows: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Edit distances of equally long sequences, a row each, to one reference."""
+    step = np.arange(len(ref) + 1, dtype=np.int32)
+    row = np.tile(step, (len(rows), 1))
+    for i in range(rows.shape[1]):
+        best = np.minimum(row[:, 1:] + 1, row[:, :-1] + (rows[:, i : i + 1] != ref))
+        first = np.full((len(rows), 1), i + 1, np.int32)
+        row = np.minimum.accumulate(np.concatenate([first, best], axis=1) - step, axis=1) + step
+    return row[:, -1]
+
+
+def shifted_edits(hyp: list, ref: list, longest: int = 10, farthest: int = 50, block: int = 256) -> int:
+    """Edits with block moves at one edit each: the move that lowers the distance most is made, until none does.
+
+    A move takes up to longest words that the reference holds, at most farthest
+    places away.  All moves of a round are measured, block of them at a time.
+    """
+    words, want = _codes(list(hyp), list(ref))
+    places: dict[tuple, list[int]] = {}
+    for j in range(len(want)):
+        for n in range(1, min(longest, len(want) - j) + 1):
+            places.setdefault(tuple(want[j : j + n].tolist()), []).append(j)
+    now, shifts = edits(list(hyp), list(ref)), 0
+    while now > 1:  # a move costs 1, so it can't pay at a distance of 1
+        moves, plain = [], words.tolist()
+        for i in range(len(plain)):
+            for n in range(1, min(longest, len(plain) - i) + 1):
+                at = places.get(tuple(plain[i : i + n]))
                 if not at:
                     break
-                rest = words[:i] + words[i + n :]
-                for j in at:
-                    if i != j and abs(i - j) <= farthest:
-                        moved = rest[:j] + words[i : i + n] + rest[j:]
-                        d = edits(moved, ref)
-                        if best is None or d < best[0]:
-                            best = (d, moved)
-        if best is None or best[0] >= now:
+                moves += [(i, n, j) for j in at if i != j and abs(i - j) <= farthest and j <= len(plain) - n]
+        best = None
+        for a in range(0, len(moves), block):
+            part = [plain[:i] + plain[i + n :] for i, n, _ in moves[a : a + block]]
+            made = [rest[:j] + plain[i : i + n] + rest[j:] for rest, (i, n, j) in zip(part, moves[a : a + block])]
+            distance = _edits_of_many(np.array(made, np.int64), want)
+            k = int(distance.argmin())
+            if best is None or distance[k] < best[0]:
+                best = (int(distance[k]), np.array(made[k], np.int64))
+        if best is None or best[0] + 1 >= now:
             break
         now, words, shifts = best[0], best[1], shifts + 1
     return now + shifts
 
 
 def meteor_exact(hyp: list, ref: list, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """METEOR with exact matches, aligned from the left."""
-    left = Counter(ref)
+    """METEOR of lower-cased words with exact matches, aligned from the right; no stems or synonyms, which need word lists that aren't here."""
+    hyp, ref = [w.lower() for w in hyp], [w.lower() for w in ref]
     free: dict[str, list[int]] = {}
     for j, w in enumerate(ref):
         free.setdefault(w, []).append(j)
-    pairs = [(i, free[w].pop(0)) for i, w in enumerate(hyp) if left[w] and free.get(w)]
+    pairs = [(i, free[hyp[i]].pop()) for i in reversed(range(len(hyp))) if free.get(hyp[i])][::-1]
     m = len(pairs)
     if not m:
         return 0.0
@@ -185,6 +223,27 @@ def meteor_exact(hyp: list, ref: list, alpha: float = 0.9, beta: float = 3.0, ga
     return p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * (chunks / m) ** beta)
 
 
+def bootstrap_median(df: DataFrame, key: str, values: list[str], samples: int = 1000, seed: int = 42) -> DataFrame:
+    """One row: the median over resamples of the mean of each value; null if there are no rows.
+
+    A row's weight in a resample is a Poisson(1) number drawn from seed and key,
+    so the result doesn't depend on partitions; a task sends one sum a resample.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((samples, len(values) + 1))
+        for frame in frames:
+            x = np.column_stack([np.ones(len(frame)), frame[values].to_numpy(float)])
+            for k, row in zip(frame["_k"], x):
+                total += np.random.default_rng([seed, k % 2**64]).poisson(1.0, samples)[:, None] * row
+        yield pd.DataFrame({"sample": range(samples), "_n": total[:, 0]} | {v: total[:, i] for i, v in enumerate(values, 1)})
+
+    schema = "sample int, _n double, " + ", ".join(f"`{v}` double" for v in values)
+    sums = df.select(F.xxhash64(key).alias("_k"), *values).mapInPandas(run, schema)
+    means = sums.groupBy("sample").agg(F.sum("_n").alias("_n"), *[F.sum(v).alias(v) for v in values]).where("_n > 0")
+    return means.agg(*[F.percentile(F.col(v) / F.col("_n"), 0.5).alias(v) for v in values])
+
+
 def pair_measure(measure: Callable[[list, list], float], kind: str):
     """A vectorised column function of two token arrays; segments are computed one at a time, Arrow batches carry them."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from ..functions import text as T
-from ..operators import corpus, evaluation, generation, prefs, submission
+from ..operators import corpus, evaluation, generation, prefs, reports, submission
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -418,14 +418,34 @@ def take_shorter_fixed(t):
     return evaluation.decode_fix(_shorter(t), "pair_id", "chosen").select("pair_id", "changed", F.md5("fixed").alias("fixed_md5"))
 
 
-def _stats_sql(hyp: str, ref: str, orders: range, grams) -> str:
-    parts = " UNION ALL ".join(f"SELECT pair_id, {n} AS n, {side} AS side, unnest({grams(col, n)}) AS gram FROM tok" for n in orders for side, col in ((0, "h"), (1, "r")))
-    return f"tok AS (SELECT pair_id, {hyp} AS h, {ref} AS r FROM pair), gr AS ({parts}), ct AS (SELECT pair_id, n, gram, count(*) FILTER (side = 0) AS h, count(*) FILTER (side = 1) AS r FROM gr GROUP BY pair_id, n, gram), stats AS (SELECT n, CAST(sum(least(h, r)) AS BIGINT) AS matches, CAST(sum(h) AS BIGINT) AS hyp_total, CAST(sum(r) AS BIGINT) AS ref_total FROM ct GROUP BY n)"
+def _stats_sql(hyp: str, ref: str, orders: range, grams, source: str = "pair", by: str = "", tag: str = "") -> str:
+    parts = " UNION ALL ".join(f"SELECT {by}pair_id, {n} AS n, {side} AS side, unnest({grams(col, n)}) AS gram FROM tok{tag}" for n in orders for side, col in ((0, "h"), (1, "r")))
+    return f"tok{tag} AS (SELECT {by}pair_id, {hyp} AS h, {ref} AS r FROM {source}), gr{tag} AS ({parts}), ct{tag} AS (SELECT {by}pair_id, n, gram, count(*) FILTER (side = 0) AS h, count(*) FILTER (side = 1) AS r FROM gr{tag} GROUP BY {by}pair_id, n, gram), stats{tag} AS (SELECT {by}n, CAST(sum(least(h, r)) AS BIGINT) AS matches, CAST(sum(h) AS BIGINT) AS hyp_total, CAST(sum(r) AS BIGINT) AS ref_total FROM ct{tag} GROUP BY {by}n)"
 
 
 _BLEU = _stats_sql(_13a("target"), _13a("english"), range(1, 5), lambda c, n: _grams(c, n))
 _CHARS = lambda c, n: f"list_transform(range(1, greatest(length({c}) - {n} + 2, 1)), lambda i: substr({c}, i, {n}))"
-_CHRF = _stats_sql(f"regexp_replace(target, '{_SPACE}', '', 'g')", f"regexp_replace(english, '{_SPACE}', '', 'g')", range(1, 7), _CHARS)
+_MARK = "[!-/:-@\\[-`{-~]"
+
+
+def _apart(x: str) -> str:
+    words = f"list_filter(string_split_regex({x}, '{_SPACE}'), lambda w: w <> '')"
+    return f"flatten(list_transform({words}, lambda w: CASE WHEN length(w) = 1 THEN [w] WHEN regexp_matches(w[-1], '{_MARK}') THEN [w[:-2], w[-1]] WHEN regexp_matches(w[1], '{_MARK}') THEN [w[1], w[2:]] ELSE [w] END))"
+
+
+def _chr_grams(c: str, n: int) -> str:
+    of = lambda x: _CHARS(x, n) if n <= 6 else _grams("w" + x, str(n - 6))
+    return of("r") if c == "r" else f"CASE WHEN len({of('r')}) > 0 THEN {of('h')} ELSE [] END"
+
+
+def _chrf_sql(hyp: str, ref: str, words: int = 0, **more) -> str:
+    bare = lambda x: f"regexp_replace({x}, '{_SPACE}', '', 'g')"
+    return _stats_sql(bare(hyp), f"{bare(ref)} AS r, {_apart(hyp)} AS wh, {_apart(ref)} AS wr", range(1, 7 + words), _chr_grams, **more).replace("AS wr AS r", "AS wr")
+
+
+_CHRF = _chrf_sql("target", "english")
+_CHRF_FORM = "CASE WHEN p + r > 0 THEN CAST(floor(1000000 * (1 + 4.0) * p * r / (4.0 * p + r) + 0.5) AS BIGINT) ELSE 0 END AS chrf_e4"
+_CHRF_MEAN = "avg(matches / hyp_total) FILTER (hyp_total > 0 AND ref_total > 0) AS p, avg(matches / ref_total) FILTER (hyp_total > 0 AND ref_total > 0) AS r"
 
 
 def _bleu_stats(t, hyp: str = "target", ref: str = "english", tokens=T.tokens_13a) -> DataFrame:
@@ -433,10 +453,6 @@ def _bleu_stats(t, hyp: str = "target", ref: str = "english", tokens=T.tokens_13
     return evaluation.clipped_matches(p, "pair_id", lambda n: T.ngrams(F.col("h"), n), lambda n: T.ngrams(F.col("r"), n), range(1, 5))
 
 
-def _chrf_stats(t) -> DataFrame:
-    return evaluation.clipped_matches(_pairs(t), "pair_id", lambda n: T.char_ngrams(F.col("target"), n), lambda n: T.char_ngrams(F.col("english"), n), range(1, 7))
-
-
 @_query(f"WITH {_PAIR}, {_BLEU} SELECT * FROM stats")
 def bleu13a_stats(t):
     return _bleu_stats(t)
@@ -457,31 +473,99 @@ def bleu_indic_corpus(t):
 
 @_query(f"WITH {_PAIR}, {_CHRF} SELECT * FROM stats")
 def chrf_stats(t):
-    return _chrf_stats(t)
+    return evaluation.chrf_stats(_pairs(t), "pair_id", "target", "english")
 
 
-@_query(f"WITH {_PAIR}, {_CHRF} SELECT CASE WHEN p + r > 0 THEN CAST(floor(1000000 * (1 + 4.0) * p * r / (4.0 * p + r) + 0.5) AS BIGINT) ELSE 0 END AS chrf_e4 FROM (SELECT avg(matches / hyp_total) FILTER (hyp_total > 0 AND ref_total > 0) AS p, avg(matches / ref_total) FILTER (hyp_total > 0 AND ref_total > 0) AS r FROM stats)")
+@_query(f"WITH {_PAIR}, {_CHRF} SELECT {_CHRF_FORM} FROM (SELECT {_CHRF_MEAN} FROM stats)")
 def chrf_corpus(t):
-    return evaluation.chrf(_chrf_stats(t))
+    return evaluation.chrf(evaluation.chrf_stats(_pairs(t), "pair_id", "target", "english"))
+
+
+@_query(f"WITH {_PAIR}, {_chrf_sql('target', 'english', 2)} SELECT {_CHRF_FORM} FROM (SELECT {_CHRF_MEAN} FROM stats)")
+def chrf_words_corpus(t):
+    """With word orders 1 and 2 beside the characters'."""
+    return evaluation.chrf(evaluation.chrf_stats(_pairs(t), "pair_id", "target", "english", 2))
+
+
+@_query(f"WITH {_PAIR}, {_BLEU} SELECT n, CAST(floor(10000 * matches / hyp_total + 0.5) AS BIGINT) AS precision_e4, CAST(floor(10000 * CASE WHEN c > r THEN 1.0 ELSE exp(1.0 - r / c) END + 0.5) AS BIGINT) AS bp_e4, CAST(floor(10000 * c / r + 0.5) AS BIGINT) AS len_ratio_e4 FROM stats, (SELECT hyp_total AS c, ref_total AS r FROM stats WHERE n = 1)")
+def bleu_report(t):
+    return evaluation.bleu_parts(_bleu_stats(t))
+
+
+_METHODS = f"tk AS (SELECT pair_id AS id, target AS text, {_indic('target')} AS t FROM pair), {_FIX}, method AS (SELECT 'before' AS method, pair_id, target AS hyp, english AS ref FROM pair UNION ALL SELECT 'after', id, fixed, english FROM fixed JOIN pair ON id = pair_id)"
+_SCORES = f"{_METHODS}, {_stats_sql(_13a('hyp'), _13a('ref'), range(1, 5), lambda c, n: _grams(c, n), source='method', by='method, ')}, {_chrf_sql('hyp', 'ref', 2, source='method', by='method, ', tag='2')}, score AS (SELECT * FROM ({_BLEU_FORM.replace('SELECT', 'SELECT method,', 1)} GROUP BY method) JOIN (SELECT method, {_CHRF_FORM} FROM (SELECT method, {_CHRF_MEAN} FROM stats2 GROUP BY method)) USING (method))"
+
+
+def _method_scores(t) -> DataFrame:
+    p = _pairs(t)
+    fixed = evaluation.decode_fix(p, "pair_id", "target")
+    both = p.select(F.lit("before").alias("method"), "pair_id", F.col("target").alias("hyp"), F.col("english").alias("ref"))
+    both = both.union(fixed.select(F.lit("after"), "pair_id", "fixed", "english"))
+    tokens = both.select("method", "pair_id", T.tokens_13a(F.col("hyp")).alias("h"), T.tokens_13a(F.col("ref")).alias("r"))
+    words = evaluation.clipped_matches(tokens, "pair_id", lambda n: T.ngrams(F.col("h"), n), lambda n: T.ngrams(F.col("r"), n), range(1, 5), ("method",))
+    chars = evaluation.chrf_stats(both, "pair_id", "hyp", "ref", 2, ("method",))
+    return evaluation.bleu(words, ("method",)).join(evaluation.chrf(chars, by=("method",)), "method")
+
+
+@_query(f"WITH {_PAIR}, {_SCORES} SELECT method, bleu_e4, hyp_len, ref_len, chrf_e4 FROM score")
+def method_scores(t):
+    """All methods' scores from one token table: output as it is, and repaired."""
+    return _method_scores(t)
+
+
+@_query(f"WITH {_PAIR}, {_SCORES} SELECT " + ", ".join(f"b.{c} AS {c}_before, a.{c} AS {c}_after, a.{c} - b.{c} AS {c}_delta" for c in ("bleu_e4", "hyp_len", "chrf_e4")) + " FROM score a, score b WHERE a.method = 'after' AND b.method = 'before'")
+def method_deltas(t):
+    return reports.deltas(_method_scores(t), "method", "before", "after", ["bleu_e4", "hyp_len", "chrf_e4"])
+
+
+def _rouge(t, tokens) -> DataFrame:
+    p = _pairs(t).select("pair_id", tokens(F.col("target")).alias("h"), tokens(F.col("english")).alias("r"))
+    p = p.withColumn("l", evaluation.pair_measure(evaluation.lcs, "long")("h", "r"))
+    some = F.col("l") > 0
+    share = lambda n, d: F.when(some, n / d).otherwise(0.0)
+    return p.select("pair_id", share(F.col("l"), F.size("h")).alias("precision"), share(F.col("l"), F.size("r")).alias("recall"), share(2 * F.col("l"), F.size("h") + F.size("r")).alias("f"))
+
+
+def _rouge_means(p: DataFrame) -> DataFrame:
+    return p.agg(F.count(F.lit(1)).alias("n"), *[F.round(10000 * F.avg(c)).cast("long").alias(a) for c, a in (("precision", "rouge_l_p_e4"), ("recall", "rouge_l_r_e4"), ("f", "rouge_l_e4"))])
 
 
 @_query()
 def rouge_l(t):
-    """Corpus mean of sentence ROUGE-L F1 in 1/10000."""
-    p = _pairs(t).select(T.indic_tokens(F.col("target")).alias("h"), T.indic_tokens(F.col("english")).alias("r"))
-    p = p.withColumn("l", evaluation.pair_measure(evaluation.lcs, "long")("h", "r"))
-    f = F.when(F.col("l") > 0, 2 * F.col("l") / (F.size("h") + F.size("r"))).otherwise(0.0)
-    return p.agg(F.count(F.lit(1)).alias("n"), F.round(10000 * F.avg(f)).cast("long").alias("rouge_l_e4"))
+    """Corpus means of sentence ROUGE-L in 1/10000."""
+    return _rouge_means(_rouge(t, T.indic_tokens))
 
 
 @_query()
-def ter_noshift(t):
-    """Word edits over reference words."""
+def rouge_l_ascii(t):
+    """The same over a-z and 0-9 only."""
+    return _rouge_means(_rouge(t, T.ascii_words))
+
+
+@_query()
+def rouge_l_bootstrap(t):
+    """Medians over 1000 resamples."""
+    return evaluation.bootstrap_median(_rouge(t, T.indic_tokens), "pair_id", ["precision", "recall", "f"])
+
+
+def _ter(t, measure) -> DataFrame:
     p = _pairs(t).select(F.split(T.sanitize(F.lower("target")), " ").alias("h"), F.split(T.sanitize(F.lower("english")), " ").alias("r"))
-    p = p.withColumn("e", evaluation.pair_measure(evaluation.edits, "long")("h", "r"))
+    p = p.withColumn("e", evaluation.pair_measure(measure, "long")("h", "r"))
     return p.agg(F.sum("e").alias("edits"), F.sum(F.size("r")).alias("ref_words"))
 
 
+@_query()
+def ter_noshift(t):
+    """Word edits over reference words."""
+    return _ter(t, evaluation.edits)
+
+
+@_query()
+def ter_full(t):
+    """Word edits and block moves over reference words."""
+    return _ter(t, evaluation.shifted_edits)
+
+
 @_query()
 def meteor_exact(t):
     p = _pairs(t).select(T.indic_tokens(F.col("target")).alias("h"), T.indic_tokens(F.col("english")).alias("r"))

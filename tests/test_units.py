@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import corpus, evaluation, prefs, submission
+from corpusmill.operators import corpus, evaluation, prefs, reports, submission
 from corpusmill.sources import records, xlsx
 from corpusmill.streaming import resume
 
@@ -89,8 +89,40 @@ def test_scores_of_equal_texts(spark):
     df = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "a b c d e")], "pair_id int, s string").withColumn("w", F.split("s", " "))
     stats = evaluation.clipped_matches(df, "pair_id", lambda n: T.ngrams(F.col("w"), n), lambda n: T.ngrams(F.col("w"), n), range(1, 5))
     assert evaluation.bleu(stats).first()["bleu_e4"] == 1000000
-    chars = evaluation.clipped_matches(df, "pair_id", lambda n: T.char_ngrams(F.col("s"), n), lambda n: T.char_ngrams(F.col("s"), n), range(1, 7))
-    assert evaluation.chrf(chars).first()["chrf_e4"] == 1000000
+    for words in (0, 2):
+        assert evaluation.chrf(evaluation.chrf_stats(df, "pair_id", "s", "s", words)).first()["chrf_e4"] == 1000000
+    assert {r["n"]: r["precision_e4"] for r in evaluation.bleu_parts(stats).collect()} == dict.fromkeys(range(1, 5), 10000)
+
+
+def test_orders_without_reference_do_not_count(spark):
+    df = spark.createDataFrame([(1, "abcd", "abc"), (2, "abcdefgh", "x"), (3, None, "ab"), (4, "ab", None), (5, "", "")], "pair_id int, h string, r string")
+    stats = {r["n"]: (r["matches"], r["hyp_total"], r["ref_total"]) for r in evaluation.chrf_stats(df, "pair_id", "h", "r").collect()}
+    assert stats == {1: (3, 12, 6), 2: (2, 3, 3), 3: (1, 2, 1)}
+
+
+def test_words_and_marks(spark):
+    got = column(spark, ["Hi, (all) .", "--", "", None, "a\u00a0b!"], lambda c: T.words_and_marks(c))
+    assert got == [["Hi", ",", "(all", ")", "."], ["-", "-"], [], None, ["a", "b", "!"]]
+
+
+def test_meteor_aligns_from_the_right():
+    # the last of the two a's is matched: one chunk
+    assert evaluation.meteor_exact("A x a b".split(), "a b".split()) == pytest.approx(0.5 / (0.9 * 0.5 + 0.1) * (1 - 0.5 * (1 / 2) ** 3))
+
+
+def test_bootstrap_median(spark):
+    df = spark.range(200).select("id", (F.col("id") % 10).cast("double").alias("v"))
+    one = evaluation.bootstrap_median(df, "id", ["v"]).first()["v"]
+    assert abs(one - 4.5) < 0.1 and one == evaluation.bootstrap_median(df.repartition(7), "id", ["v"]).first()["v"]
+    assert evaluation.bootstrap_median(df.limit(0), "id", ["v"]).first()["v"] is None
+
+
+def test_reports(spark):
+    board = reports.leaderboard(spark.createDataFrame([("we", 5)], "system string, score int"), spark.createDataFrame([("b", 5), ("a", 7), ("c", None)], "system string, score int"), "system", "score")
+    assert [(r["system"], r["gap"]) for r in board.orderBy("rank").collect()] == [("a", 0), ("we", -2), ("b", -2), ("c", None)]
+    rows = reports.all_ok(spark.createDataFrame([("x", True), ("x", None), ("y", True)], "k string, ok boolean"), "ok", "k").collect()
+    assert {(r["k"], r["n"], r["n_bad"], r["ok"]) for r in rows} == {("x", 2, 1, False), ("y", 1, 0, True), (None, 3, 1, False)}
+    assert column(spark, ["1.005", None, "12"], lambda c: reports.shown(c.cast("double"), 1)) == ["1.0", "-", "12.0"]
 
 
 def test_distances():
