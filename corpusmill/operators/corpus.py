@@ -106,3 +106,32 @@ def sample_per_key(df: DataFrame, key: str, item: Column, k: int = 10, seed: str
     """k rows of each key by hash order, all if there are fewer."""
     h = F.md5(F.concat(F.lit(seed + "-"), F.col(key), F.lit("|"), item.cast("string")))
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(h, item))).where(F.col("_r") <= k).drop("_r")
+
+
+def vocabulary_of(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(pair_id, pos, *vocabulary) of every distinct word of a sentence that the vocabulary holds; pos keeps the sentence's order."""
+    return pairs.select("pair_id", F.posexplode(T.unique_tokens(F.col("english"))).alias("pos", "word")).join(vocabulary, "word")
+
+
+def last_of(df: DataFrame, key: str, place: str) -> DataFrame:
+    """One row of each key: the one with the greatest place. Null keys go."""
+    rest = [c for c in df.columns if c != key]
+    best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(place, *[c for c in rest if c != place])).alias("_m"))
+    return best.select(*[F.col(c) if c == key else F.col("_m")[c].alias(c) for c in df.columns])
+
+
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """Adds place: the 1-based rank by an integer key. Ranks are counted in 4096 ranges of the key and offset by the ranges before, so no task sorts all rows unless a range holds them all."""
+    ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))  # one row
+    df = df.join(F.broadcast(ends), F.lit(True))
+    df = df.withColumn("_b", F.floor((F.col(key) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * 4096))
+    counts = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # at most 4096 rows
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(key))
+    return df.withColumn("_i", inside).join(F.broadcast(offsets), "_b").withColumn("place", F.col("_i") + F.col("_before")).drop("_b", "_i", "_before", "_lo", "_hi")
+
+
+def zipped(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> DataFrame:
+    """Rows of both sides at equal places in the order of their keys; the longer side is cut."""
+    return placed(a, a_key).join(placed(b, b_key), "place")

@@ -2,28 +2,126 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from . import corpus
 
-def generate(df: DataFrame, key: str, prompt: str, model: Callable[[list[str], int], list[str]], accept: Callable[[str, str], bool] = lambda p, o: bool(o), tries: int = 6, batch: int = 128) -> DataFrame:
-    """(key, output, attempts, status): prompts go to model(prompts, attempt) in batches; those whose output isn't accepted are tried again, tries times at most."""
+
+def generate(df: DataFrame, key: str, prompt: str, model: Callable[[list[str], int], list[str]], accept: Callable[[str, str], bool] = lambda p, o: bool(o), tries: int = 6, batch: int = 128, against: str | None = None) -> DataFrame:
+    """(key, output, attempts, status): prompts go to model(prompts, attempt) in batches; those whose output isn't accepted are tried again, tries times at most.
+
+    accept sees the prompt, or the column against where that is given, and the output.
+    """
+    other = against or prompt
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for a in range(0, len(frame), batch):
                 part = frame.iloc[a : a + batch]
-                prompts = part[prompt].tolist()
+                prompts, others = part[prompt].tolist(), part[other].tolist()
                 out, attempts, open_ = [""] * len(part), [0] * len(part), list(range(len(part)))
                 for attempt in range(tries):
                     if not open_:
                         break
                     for i, text in zip(open_, model([prompts[i] for i in open_], attempt)):
                         out[i], attempts[i] = text, attempt + 1
-                    open_ = [i for i in open_ if not accept(prompts[i], out[i])]
+                    open_ = [i for i in open_ if not accept(others[i], out[i])]
                 left = set(open_)
                 yield pd.DataFrame({key: part[key].to_numpy(), "output": out, "attempts": attempts, "status": ["failed" if i in left else "ok" for i in range(len(part))]})
 
-    return df.select(key, prompt).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, output string, attempts long, status string")
+    return df.select(*dict.fromkeys([key, prompt, other])).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, output string, attempts long, status string")
+
+
+def rejected(df: DataFrame, key: str, prompt: str, chosen: str, model: Callable[[list[str], int], list[str]], tries: int = 20) -> DataFrame:
+    """(key, output, attempts, status): answers that differ from the chosen text, at a temperature that the model raises with the attempt; failed after tries."""
+    return generate(df, key, prompt, model, lambda text, out: out != (text or "").strip(), tries, against=chosen)
+
+
+def chat_prompt(*fields: str, record: str) -> Column:
+    """The first of the fields that is there, else the record itself."""
+    return F.coalesce(*[F.col(f) for f in fields], F.col(record).cast("string"))
+
+
+def ask_once(send: Callable[[str], tuple[str, str]], prompt: str, tries: int = 3) -> tuple[dict | None, str]:
+    """(object, status) of one call: send returns a status (ok, blocked or anything else for a failure) and a text. Failures and replies that aren't JSON are tried again; a blocked prompt isn't."""
+    tag = "neterr"
+    for _ in range(tries):
+        status, text = send(prompt)
+        if status == "blocked":
+            return None, "blocked"
+        if status == "ok":
+            try:
+                return json.loads(text), "ok"
+            except ValueError:
+                tag = "parse_err"
+        else:
+            tag = "neterr"
+    return None, tag
+
+
+def merged_candidates(replies: list[dict]) -> list[dict]:
+    """Targets with the highest of their probabilities (clipped to 0..1, 4 digits), best first, ties in the order of appearance; what has no target or number is left out."""
+    best: dict[str, float] = {}
+    for c in (c for r in replies for c in (r.get("candidates") or []) if isinstance(c, dict)):
+        try:
+            name, p = str(c["target"] if c["target"] is not None else "").strip(), min(max(float(c["probability"]), 0.0), 1.0)
+        except (KeyError, TypeError, ValueError):
+            continue
+        if name:
+            best[name] = max(best.get(name, 0.0), p)
+    return sorted(({"target": t, "probability": round(p, 4)} for t, p in best.items()), key=lambda c: -c["probability"])
+
+
+def word_prompt(word: str, language: str, pairs: list[tuple[str, str]]) -> str:
+    lines = "\n".join(f"{i}. EN: {e}\n   {language}: {t}" for i, (e, t) in enumerate(pairs, 1))
+    return f'Which {language} words translate "{word}" in these sentences?\n{lines}\nAnswer with JSON: {{"word": "{word}", "candidates": [{{"target": "...", "probability": 0.0}}]}}'
+
+
+def recover_words(index: DataFrame, pairs: DataFrame, send: Callable[[str], tuple[str, str]], language: str, k: int = 10, rounds: int = 8) -> DataFrame:
+    """(word, samples_used, total_pairs, candidates, n_ok, n_blocked, n_failed) of every word of index (word, pair_id).
+
+    First up to rounds samples of k pairs, a seed each and equal samples once,
+    until one succeeds; if none does, the first k pairs one by one.  Samples are
+    windowed top-k rows, so a word brings at most (rounds + 1) * k pairs to a task.
+    """
+    total = corpus.word_counts(index)
+    few = index.withColumn("_r", F.row_number().over(corpus.Window.partitionBy("word").orderBy("pair_id"))).where(F.col("_r") <= k).select("word", "pair_id", F.lit(rounds).alias("round"))
+    for t in range(rounds):
+        few = few.union(corpus.sample_per_key(index, "word", F.col("pair_id"), k, f"recover-{t}").select("word", "pair_id", F.lit(t)))
+    few = few.join(pairs.select("pair_id", "english", "target"), "pair_id")
+    rows = few.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("round", "pair_id", "english", "target"))).alias("rows")).join(total, "word")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for word, rows, n in zip(frame["word"], frame["rows"], frame["n_pairs"]):
+                samples: list[list] = [[] for _ in range(rounds + 1)]
+                for r in rows:
+                    samples[r["round"]].append((r["pair_id"], r["english"], r["target"]))
+                replies, tags, seen = [], [], set()
+                for sample in samples[:rounds]:
+                    if (signature := tuple(p for p, _, _ in sample)) in seen:
+                        continue
+                    seen.add(signature)
+                    reply, tag = ask_once(send, word_prompt(word, language, [(e, t) for _, e, t in sample]))
+                    tags.append(tag)
+                    if tag == "ok":
+                        replies.append(reply)
+                        break
+                if not replies:
+                    for _, e, t in samples[rounds]:
+                        reply, tag = ask_once(send, word_prompt(word, language, [(e, t)]))
+                        tags.append(tag)
+                        if tag == "ok":
+                            replies.append(reply)
+                bad = len(tags) - len(replies)
+                blocked = tags.count("blocked")
+                out.append((word, min(k, n), n, merged_candidates([r for r in replies if isinstance(r, dict)]), len(replies), blocked, bad - blocked))
+            yield pd.DataFrame(out, columns=["word", "samples_used", "total_pairs", "candidates", "n_ok", "n_blocked", "n_failed"])
+
+    return rows.mapInPandas(run, "word string, samples_used long, total_pairs long, candidates array<struct<target:string,probability:double>>, n_ok long, n_blocked long, n_failed long")

@@ -36,4 +36,4 @@ def counters(df: DataFrame, status: str = "status") -> DataFrame:
 
 def shown(x: Column, digits: int = 2) -> Column:
     """A number with fixed digits, - for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", x.cast("double")), F.lit("-")) if digits else F.coalesce(F.format_string("%.0f", x.cast("double")), F.lit("-"))
+    return F.when(x.isNull(), "-").otherwise(F.format_string(f"%.{digits}f", x.cast("double")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import ship
 from ..functions import text as T
 from ..operators import corpus, evaluation, generation, prefs, reports, submission
+from ..sources import parallel
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -647,3 +648,104 @@ def generator_retry(t):
 
     got = generation.generate(_turns(t), "id", "text", model)
     return got.select("id", F.md5("output").alias("output_md5"), F.col("attempts").cast("int").alias("attempts"), "status")
+
+
+@_query("SELECT conv_id * 1000 + turn AS id, md5(text || '!') AS rejected_md5, length(text) % 3 + 1 AS attempts FROM conversations")
+def rejected_sampling(t):
+    """A stub model that repeats the chosen text until its attempt reaches the text's length modulo 3."""
+
+    def model(prompts: list[str], attempt: int) -> list[str]:
+        return [p + "!" if attempt >= len(p) % 3 else p for p in prompts]
+
+    turns = _turns(t).withColumn("text", T.trim_space(F.col("text")))
+    return generation.rejected(turns, "id", "text", "text", model).select("id", F.md5("output").alias("rejected_md5"), F.col("attempts").cast("int").alias("attempts"))
+
+
+@_query("SELECT count(*) AS n, count_if(length(text) % 2 = 0) AS n_ok, count_if(length(text) % 2 <> 0) AS n_failed FROM conversations")
+def run_counters(t):
+    """One attempt, in which the stub answers texts of even length only."""
+    got = generation.generate(_turns(t), "id", "text", lambda prompts, attempt: [p if len(p) % 2 == 0 else "" for p in prompts], tries=1)
+    return reports.counters(got)
+
+
+@_query()
+def recover_words(t):
+    """Words whose prompts a stub service blocks by length are asked again with other samples, then pair by pair."""
+
+    def send(prompt: str) -> tuple[str, str]:
+        n = len(prompt) % 7
+        word = prompt.split('"')[1]
+        return ("blocked", "") if n < 4 else ("neterr", "") if n == 4 else ("ok", '{"candidates": [{"target": "' + word + '", "probability": 0.' + str(n) + "}]}")
+
+    got = generation.recover_words(_index(t), _pairs(t), send, "Target")
+    return got.select("word", "samples_used", "total_pairs", F.size("candidates").cast("long").alias("n_candidates"), "n_ok", "n_blocked", "n_failed")
+
+
+@_query("SELECT conv_id, turn, md5(CASE WHEN role = 'user' THEN text WHEN role = 'assistant' THEN role ELSE CAST(conv_id AS VARCHAR) END) AS prompt_md5 FROM conversations")
+def chat_prompt(t):
+    c = t("conversations").withColumns({"instruction": F.when(F.col("role") == "user", F.col("text")), "input": F.when(F.col("role") == "assistant", F.col("role"))})
+    return c.select("conv_id", "turn", F.md5(generation.chat_prompt("instruction", "input", record="conv_id")).alias("prompt_md5"))
+
+
+@_query(f"""WITH {_PAIR}, {_DICT}, {_POST}, {_LEX}, w AS (SELECT pair_id, word, min(i) AS i FROM (SELECT pair_id, unnest({_strip('english')}) AS word, unnest(range(len({_strip('english')}))) AS i FROM pair) GROUP BY ALL),
+o AS (SELECT pair_id, word, row_number() OVER (PARTITION BY pair_id ORDER BY i) - 1 AS pos FROM w) SELECT pair_id, CAST(pos AS INTEGER) AS pos, word, target, p_bp FROM o JOIN top USING (word)""")
+def vocab_lookup_ordered(t):
+    """Candidates of a sentence's words, with their places in the sentence."""
+    return corpus.vocabulary_of(_pairs(t), corpus.top_candidates(_lexicon(t))).select("pair_id", "pos", "word", "target", "p_bp")
+
+
+@_query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def last_wins(t):
+    """Of repeated ids the last counts."""
+    return corpus.last_of(t("events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@_query("SELECT place, o_orderkey, c_custkey FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS place, o_orderkey FROM orders) JOIN (SELECT row_number() OVER (ORDER BY c_custkey) AS place, c_custkey FROM customer) USING (place)")
+def positional_zip(t):
+    return corpus.zipped(t("orders").select("o_orderkey"), "o_orderkey", t("customer").select("c_custkey"), "c_custkey").select("place", "o_orderkey", "c_custkey")
+
+
+@_query("""WITH b AS (SELECT n_name AS system, CAST(floor(avg(CAST(floor(c_acctbal) AS BIGINT))) AS BIGINT) AS score FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name), u AS (SELECT system, score, false AS ours FROM b UNION ALL SELECT 'ours', CAST(floor(avg(CAST(floor(s_acctbal) AS BIGINT))) AS BIGINT), true FROM supplier)
+SELECT system, score, ours, CAST(row_number() OVER (ORDER BY score DESC, ours DESC, system) AS INTEGER) AS rank, score - (SELECT max(score) FROM b) AS gap FROM u""")
+def leaderboard(t):
+    """Nations as published systems by their customers' balances, the suppliers as ours."""
+    whole = lambda c: F.floor(F.avg(F.floor(c))).cast("long").alias("score")
+    published = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("system")).agg(whole("c_acctbal"))
+    return reports.leaderboard(t("supplier").agg(whole("s_acctbal")).withColumn("system", F.lit("ours")), published, "system", "score")
+
+
+@_query(f"SELECT lang, source, count(*) AS n, count_if(text <> {_clean('text')}) AS n_bad, count_if(text <> {_clean('text')}) = 0 AS ok FROM documents GROUP BY GROUPING SETS ((lang, source), ())")
+def verify_rollup(t):
+    """Lines that are written as they are, by language and source and over all."""
+    return reports.all_ok(t("documents").withColumn("ok", F.col("text") == T.sanitize(F.col("text"))), "ok", "lang", "source")
+
+
+@_query("SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN printf('%.2f', c_nationkey / 4) ELSE '-' END AS shown FROM customer")
+def number_format(t):
+    return t("customer").select("c_custkey", reports.shown(F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey") / 4)).alias("shown"))
+
+
+@_query("SELECT p_partkey, CASE WHEN contains(lower(p_type), 'steel') THEN 'target' WHEN contains(lower(p_type), 'en') OR contains(lower(p_type), 'source') THEN 'source' WHEN p_size % 3 = 2 THEN CASE WHEN p_partkey % 2 = 0 THEN 'source' ELSE 'target' END END AS role FROM part")
+def column_role_guess(t):
+    return t("part").select("p_partkey", parallel.column_role(F.col("p_type"), F.col("p_partkey") % 2, F.col("p_size") % 3, ["Steel"]).alias("role"))
+
+
+@_query(f"WITH {_PLAN} SELECT slot, lang, 'team_' || slot || '_' || pair || '.txt' AS name FROM slot, lang")
+def submission_names(t):
+    return submission.plan(t("nation").sparkSession).select("slot", "lang", parallel.submission_name("team", F.col("slot"), F.col("pair")).alias("name"))
+
+
+_ASCII = lambda c: f"sum(length(regexp_replace({c}, '[^\\x00-\\x7f]', '', 'g'))) FILTER (row_no <= 30) / sum(length({c})) FILTER (row_no <= 30)"
+_TRIM = lambda c: f"regexp_replace({c}, '^{_SPACE}|{_SPACE}$', '', 'g')"
+
+
+@_query(f"""WITH {_PAIR}, r AS (SELECT CAST(turn % 4 AS VARCHAR) AS path, row_number() OVER (PARTITION BY turn % 4 ORDER BY pair_id) AS row_no, CASE WHEN turn % 4 < 2 THEN target ELSE english END AS a, CASE WHEN turn % 4 < 2 THEN english ELSE target END AS b FROM pair),
+v AS (SELECT path, {_ASCII('a')} >= {_ASCII('b')} AS f FROM r GROUP BY path) SELECT path, row_no, md5({_TRIM('CASE WHEN f THEN a ELSE b END')}) AS english_md5, md5({_TRIM('CASE WHEN f THEN b ELSE a END')}) AS target_md5 FROM r JOIN v USING (path)""")
+def sheet_pairs(t):
+    """Sheets without header, the English column by vote of each sheet's first rows."""
+    swap = F.col("turn") % 4 < 2
+    cells = F.create_map(F.lit(0), F.when(swap, F.col("target")).otherwise(F.col("english")), F.lit(1), F.when(swap, F.col("english")).otherwise(F.col("target")))
+    number = F.row_number().over(corpus.Window.partitionBy(F.col("turn") % 4).orderBy("pair_id")).cast("long")
+    rows = _pairs(t).select((F.col("turn") % 4).cast("string").alias("path"), number.alias("row_no"), cells.alias("cells"))
+    got = parallel.sheet_pairs(rows, "exact")
+    return got.select("path", "row_no", F.md5("english").alias("english_md5"), F.md5("target").alias("target_md5"))

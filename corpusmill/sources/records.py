@@ -30,7 +30,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, text in zip(frame["path"], frame["value"]):
-                found = [json.dumps(x, ensure_ascii=False) for x in json_objects(text)]
+                try:
+                    found = [json.dumps(x, ensure_ascii=False) for x in json_objects(text)]
+                except json.JSONDecodeError as e:
+                    raise ValueError(f"{name}, line {e.lineno}: {e.msg}") from None
                 if found:
                     yield pd.DataFrame({"path": [name] * len(found), "row_no": range(1, len(found) + 1), "record": found})
 

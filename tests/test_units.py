@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import corpus, evaluation, prefs, reports, submission
-from corpusmill.sources import records, xlsx
+from corpusmill.operators import corpus, evaluation, generation, prefs, reports, submission
+from corpusmill.sources import parallel, records, xlsx
 from corpusmill.streaming import resume
 
 
@@ -211,3 +211,124 @@ def test_stream_appends_new_files_once(spark, tmp_path):
         resume.append_new(*args)
         resume.append_new(*args)
     assert sorted(x["id"] for x in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 4, 6]
+
+
+def cells_of(spark, *sheets):
+    rows = [(name, i, dict(enumerate(cells))) for name, rows in sheets for i, cells in enumerate(rows, 1)]
+    return spark.createDataFrame(rows, parallel.CELLS)
+
+
+@pytest.mark.parametrize(
+    ("header", "first", "side", "is_header"),
+    [("any", ["Bodo", " English text "], 1, True), ("any", ["x", "English " * 9], 1, True), ("short", ["x", "English " * 9], 0, False), ("short", ["a", "English"], 1, True), ("exact", ["English text", "é"], 0, False), ("exact", ["é", " ENGLISH "], 1, True),
+     ("always", ["English", "English"], 0, True), ("always", ["target", "the source"], 1, True), ("always", ["x", "english"], 1, True), ("always", [None, None], 0, True), ("any", ["é", "e"], 1, False), ("any", [None, None], 0, False)],
+)
+def test_english_side(spark, header, first, side, is_header):
+    one = parallel.english_side(cells_of(spark, ("f", [first])), header).first()
+    assert (one["side"], one["has_header"]) == (side, is_header)
+
+
+def test_sheet_pairs_and_tests(spark):
+    rows = cells_of(spark, ("a", [["Bodo", "English"], [" b ", " e "], [None, "e"], ["  ", "e"], ["b2", "e2"]]), ("b", [["plain", "é"], ["more", "éé"]]))
+    got = parallel.sheet_pairs(rows).orderBy("path", "row_no").collect()
+    assert [(r["path"], r["row_no"], r["english"], r["target"]) for r in got] == [("a", 2, "e", "b"), ("a", 5, "e2", "b2"), ("b", 1, "plain", "é"), ("b", 2, "more", "éé")]
+    rows = cells_of(spark, ("t", [["Sentence", "S No", "English Sentences"], ["no", "3.0", "x"], ["no", "4", " "], ["no", None, "y"], ["no", "z", "w"]]), ("u", [["a", "b"], ["7", "v"]]))
+    got = parallel.test_rows(rows).orderBy("path", "id", "english").collect()
+    assert [(r["path"], r["id"], r["english"]) for r in got] == [("t", 2, "y"), ("t", 3, "w"), ("t", 3, "x"), ("u", 7, "v")]
+
+
+def test_vocabulary_files(spark, tmp_path):
+    (tmp_path / "w.json").write_text(json.dumps({"water": {"samples_used": 2, "total_pairs": 3, "candidates": [{"target": "x", "probability": 0.5}, {"target": None, "probability": "abc"}], "note": "n"}, "none": {"candidates": []}}))
+    got = parallel.word_vocabulary(spark, str(tmp_path / "w.json")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [("water", 1, "x", "0.5"), ("water", 2, None, "abc")]
+    index = [{"a": [{"e1": "t1"}, {"e2": "t2"}]}, {"b": [{"e": "t"}]}, {"a": [{"last": "wins"}]}]
+    (tmp_path / "s.json").write_text(json.dumps(index))
+    (tmp_path / "o.json").write_text(json.dumps({"b": [{"e": "t"}]}))
+    got = parallel.sentence_vocabulary(spark, str(tmp_path / "s.json")).orderBy("word").collect()
+    assert [tuple(r) for r in got] == [("a", 0, "last", "wins"), ("b", 0, "e", "t")]
+    assert [tuple(r) for r in parallel.sentence_vocabulary(spark, str(tmp_path / "o.json")).collect()] == [("b", 0, "e", "t")]
+    (tmp_path / "r.json").write_text(json.dumps({"sft": {"file_name": "f.json"}, "dpo": {"file_name": "g.json", "ranking": True, "formatting": "sharegpt", "columns": {}}}))
+    assert {tuple(r) for r in parallel.registry(spark, str(tmp_path / "r.json")).collect()} == {("sft", "f.json", None, None), ("dpo", "g.json", "sharegpt", True)}
+    assert parallel.existing(spark, str(tmp_path / "absent"), str(tmp_path / "o.json")) == str(tmp_path / "o.json")
+    assert parallel.existing(spark, str(tmp_path / "absent")) is None
+
+
+def test_prediction_files(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps([{"predict": " p ", "label": "l"}, {"predict": None, "tagin": "t"}, {"prediction": "q"}, {"x": 1}]))
+    got = parallel.predictions(spark, str(tmp_path / "p.json")).orderBy("row_no").collect()
+    assert [(r["predict"], r["label"]) for r in got] == [("p", "l"), ("", ""), ("q", ""), ("", "")]
+    (tmp_path / "i.json").write_text(json.dumps([{"instruction": "head\n\nhints\n\ne", "output": "o"}, {"instruction": "only", "output": ""}]))
+    assert [(r["english"], r["target"]) for r in parallel.instruction_pairs(spark, str(tmp_path / "i.json")).collect()] == [("hints\n\ne", "o")]
+    (tmp_path / "m").mkdir()
+    for name, text in (("a", '{"eval_loss": 1.5, "epoch": 2}'), ("b", "{broken"), ("c", "[]")):
+        (tmp_path / "m" / name).write_text(text)
+    got = parallel.run_metrics(spark, str(tmp_path / "m")).orderBy("path").collect()
+    assert [(r["eval_loss"], r["epoch"]) for r in got] == [(1.5, 2.0), (None, None), (None, None)]
+    (tmp_path / "bad.json").write_text('{"a": 1}\n{"a": }')
+    with pytest.raises(Exception, match="bad.json, line 2"):
+        records.read_records(spark, str(tmp_path / "bad.json")).collect()
+    assert column(spark, ["/x/en-Bodo_final_test.json", "/x/zz_final.json"], lambda c: parallel.language_of_path(c, ["bodo"])) == ["bodo", "zz"]
+
+
+def test_text_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("é\r\n\nlast\n".encode())
+    (tmp_path / "b.txt").write_bytes(b"x")
+    (tmp_path / "c.txt").write_bytes(b"")
+    got = parallel.text_lines(spark, str(tmp_path)).orderBy("path", "line_no").collect()
+    assert [(r["line_no"], r["line"]) for r in got] == [(1, "é\r"), (2, ""), (3, "last"), (1, "x")]
+
+
+def test_record_sinks(spark, tmp_path):
+    objects = [{"chosen": {"from": "sft", "value": "é"}, "rejected": {"from": "gpt"}, "own": [1, None]}, {"chosen": "text"}, 5]
+    (tmp_path / "in.json").write_text(json.dumps(objects))
+    got = parallel.rewrite_records(records.read_records(spark, str(tmp_path / "in.json"))).orderBy("row_no")
+    assert [(r["n_fixed"], r["n_ok"], r["n_missing"]) for r in got.collect()] == [(1, 1, 0), (0, 0, 2), (0, 0, 2)]
+    for kind in ("lines", "array"):
+        parallel.write_records(got, str(tmp_path / kind), kind=kind)
+        text = "".join(f.read_text() for f in sorted((tmp_path / kind).glob("part-*")))
+        back = json.loads(text) if kind == "array" else list(records.json_objects(text))
+        assert back == [{"chosen": {"from": "gpt", "value": "é"}, "rejected": {"from": "gpt"}, "own": [1, None]}, {"chosen": "text"}, 5]
+    parallel.write_records(got.limit(0), str(tmp_path / "none"), kind="array")
+    assert "".join(f.read_text() for f in (tmp_path / "none").glob("part-*")).strip() == "[]"
+
+
+def test_ask_and_merge():
+    replies = iter([("neterr", ""), ("ok", "{"), ("ok", '{"a": 1}')])
+    assert generation.ask_once(lambda p: next(replies), "p") == ({"a": 1}, "ok")
+    assert generation.ask_once(lambda p: ("ok", "{"), "p") == (None, "parse_err")
+    assert generation.ask_once(lambda p: ("blocked", ""), "p") == (None, "blocked")
+    cands = [{"target": " a ", "probability": "0.25"}, {"target": "b", "probability": 2}, {"target": "", "probability": 1}, None, {"target": "c", "probability": "x"}, {"target": "d"}, {"target": "e", "probability": -1}]
+    got = generation.merged_candidates([{"candidates": cands}, {"candidates": None}, {"candidates": [{"target": "a", "probability": 0.5}, {"target": "f", "probability": 0.5}]}])
+    assert [(c["target"], c["probability"]) for c in got] == [("b", 1.0), ("a", 0.5), ("f", 0.5), ("e", 0.0)]
+
+
+def test_recover_words(spark):
+    """The first phase asks at most 8 different samples, the second every one of the first pairs."""
+    pairs = spark.createDataFrame([(i, f"e{i}", f"t{i}") for i in range(30)], "pair_id long, english string, target string")
+    index = spark.createDataFrame([("good", i) for i in range(30)] + [("hard", i) for i in range(30)] + [("few", i) for i in range(2)] + [("never", 1)], "word string, pair_id long")
+
+    def send(prompt):
+        if "few" in prompt or "never" in prompt:
+            return "neterr", ""
+        if '"hard"' in prompt and "2. EN" in prompt:
+            return "blocked", ""
+        return "ok", json.dumps({"candidates": [{"target": str(prompt.count("EN: ")), "probability": 0.7}]})
+
+    got = {r["word"]: r for r in generation.recover_words(index, pairs, send, "X", k=5).collect()}
+    assert [(w, got[w]["samples_used"], got[w]["total_pairs"], got[w]["n_ok"], got[w]["n_blocked"], got[w]["n_failed"]) for w in sorted(got)] == [("few", 2, 2, 0, 0, 3), ("good", 5, 30, 1, 0, 0), ("hard", 5, 30, 5, 8, 0), ("never", 1, 1, 0, 0, 2)]
+    assert [c["target"] for c in got["good"]["candidates"]] == ["5"] and [c["target"] for c in got["hard"]["candidates"]] == ["1"]
+
+
+def test_rejected(spark):
+    df = spark.createDataFrame([(1, "p", " c "), (2, "q", None)], "id int, prompt string, chosen string")
+    got = generation.rejected(df, "id", "prompt", "chosen", lambda ps, attempt: ["c" if p == "p" else "" for p in ps], tries=3).orderBy("id").collect()
+    assert [(r["attempts"], r["status"]) for r in got] == [(3, "failed"), (3, "failed")]
+
+
+def test_places(spark):
+    a, b = spark.createDataFrame([(-5,), (9,), (10**12,)], "a long"), spark.createDataFrame([(3, "x"), (1, "y")], "b long, s string")
+    got = corpus.zipped(a, "a", b, "b").orderBy("place").collect()
+    assert [(r["place"], r["a"], r["s"]) for r in got] == [(1, -5, "y"), (2, 9, "x")]
+    assert corpus.zipped(a.limit(0), "a", b, "b").count() == 0
+    rows = spark.createDataFrame([("k", 1, "a"), ("k", 3, None), ("k", 2, "b"), (None, 9, "c")], "k string, at int, v string")
+    assert [tuple(r) for r in corpus.last_of(rows, "k", "at").collect()] == [("k", 3, None)]
