@@ -23,7 +23,8 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, most: dict[int, i
     """(text and label y of at most most[y] rows of each class, rows of each class), held-out rows left out.
 
     Rows are chosen by a hash of their id, so the sample doesn't depend on the
-    order of the tables.  Texts of over longest characters are not learned
+    order of the tables; of an id's rows the least text and the greater label
+    count, chosen before anything is collected.  Texts of over longest characters are not learned
     from.  This is the only thing that is collected: sum(most) rows at most.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y in (0, 1)")
@@ -35,9 +36,9 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, most: dict[int, i
         chosen = part if chosen is None else chosen.union(part)
     text = F.coalesce(F.col(text_col), F.lit(""))
     # at most sum(most) rows of 12 bytes: broadcast
-    rows = docs.join(F.broadcast(chosen.dropDuplicates(["_id"])), F.col(id_col) == F.col("_id")).where(F.length(text) <= longest)
-    frame = rows.select("_id", text.alias("text"), "y").toPandas()
-    return frame.drop_duplicates("_id").sort_values("_id").reset_index(drop=True), totals
+    rows = docs.join(F.broadcast(chosen.groupBy("_id").agg(F.max("y").alias("y"))), F.col(id_col) == F.col("_id")).where(F.length(text) <= longest)
+    frame = rows.select("_id", text.alias("text"), "y").groupBy("_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toPandas()
+    return frame.sort_values("_id").reset_index(drop=True), totals
 
 
 def auc(y: np.ndarray, score: np.ndarray) -> float:
