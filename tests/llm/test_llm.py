@@ -390,3 +390,56 @@ def test_hot_cell_links():
         want = simhash.stars(fp[i], fp[j])
         got = simhash._cell_links(np.zeros(len(fp)), fp, radius)
         assert all(np.array_equal(x, y) for x, y in zip(got, want))
+
+
+def shingles(text, n=5):
+    w = SPACE.findall(lower(text))
+    return {tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, min(len(w), 1)))}
+
+
+def similar(x, y):
+    """Jaccard similarity of at least 0.8; empty sets are alike."""
+    common = len(x & y)
+    return min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and common >= 0.8 * (len(x) + len(y) - common) - 1e-9
+
+
+def first_of_each(rows):
+    """Ids of the (id, text) that stay, by all pairs: in order, each that isn't similar to one that stays."""
+    stay = []
+    for i, text in sorted(rows):
+        x = shingles(text)
+        if not any(similar(x, y) for _, y in stay):
+            stay.append((i, x))
+    return {i for i, _ in stay}
+
+
+def edited_copies(rng, texts):
+    """Of each text one longer, one shorter and one with other words, as far as similarity stays at 0.8 to 0.9."""
+    word = lambda: f"w{rng.randrange(30000)}"
+    out = {"appended": [], "cut": [], "replaced": []}
+    for text in texts:
+        w = text.split()
+        n = len(w) - 4
+        share = rng.uniform(0.8, 0.9)
+        out["appended"].append(" ".join(w + [word() for _ in range(int(n / share) - n)]))
+        out["cut"].append(" ".join(w[: len(w) - int(n * (1 - share))]))
+        other = list(w)
+        while similar(shingles(text), shingles(" ".join(other))):
+            last = list(other)
+            other[rng.randrange(len(other))] = word()
+        out["replaced"].append(" ".join(last))
+    return out
+
+
+def test_one_of_each_finds_all_pairs(spark):
+    """Appended, cut and replaced copies, of one source each, against all pairs."""
+    rng = random.Random(8)
+    bases = [" ".join(f"w{rng.randrange(30000)}" for _ in range(rng.choice([12, 30, 60, 200, 500]))) for _ in range(240)]
+    copies = edited_copies(rng, bases)
+    texts = [t for i, base in enumerate(bases) for t in (base, copies[["appended", "cut", "replaced"][i % 3]][i])]
+    ids = rng.sample(range(10000), len(texts))
+    rows = list(zip(ids, texts))
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = first_of_each(rows)
+    assert len(want) == len(bases)
+    assert {x["doc_id"] for x in kept.collect()} == want
