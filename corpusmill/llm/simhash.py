@@ -370,43 +370,99 @@ class Leaders:
     def __init__(self, similarity: float):
         self.similarity, self.sets, self.index, self.empty = similarity, [], {}, False
 
-    def covers(self, x: np.ndarray) -> bool:
-        """Whether x (distinct, ascending) is similar to a leader; if not, x becomes one."""
+    def _first(self, x: np.ndarray) -> list[int]:
+        return x[: len(x) - int(np.ceil(self.similarity * len(x) - 1e-9)) + 1].tolist()
+
+    def similar(self, x: np.ndarray) -> bool:
+        """Whether x (distinct, ascending) is similar to a leader."""
         if not len(x):
-            seen, self.empty = self.empty, True
-            return seen
-        first = x[: len(x) - int(np.ceil(self.similarity * len(x) - 1e-9)) + 1].tolist()
-        for i in dict.fromkeys(i for v in first for i in self.index.get(v, ())):
+            return self.empty
+        for i in dict.fromkeys(i for v in self._first(x) for i in self.index.get(v, ())):
             y = self.sets[i]
             if min(len(x), len(y)) >= self.similarity * max(len(x), len(y)):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if common >= self.similarity * (len(x) + len(y) - common):
                     return True
-        for v in first:
+        return False
+
+    def add(self, x: np.ndarray) -> None:
+        """Makes x a leader."""
+        if not len(x):
+            self.empty = True
+            return
+        for v in self._first(x):
             self.index.setdefault(v, []).append(len(self.sets))
         self.sets.append(x)
+
+    def covers(self, x: np.ndarray) -> bool:
+        """Whether x is similar to a leader; if not, x becomes one."""
+        if self.similar(x):
+            return True
+        self.add(x)
         return False
 
 
-def covered(sets: DataFrame, cell: Column, similarity: float) -> DataFrame:
-    """_text_key of the rows that an earlier row of the same cell (by least, key) covers. Rows stream; only leaders are held."""
-    rows = sets.select(cell.alias("cell"), "least", "key", "sets").repartition("cell").sortWithinPartitions("cell", "least", "key")
+#: Kinds of rows of judged(): known to stay; judged in order, to stay if no earlier one is similar; held against those that stay.
+STAYS, IN_ORDER, LATER = 0, 1, 2
+
+
+def judged(sets: DataFrame, cell: Column, kind: Column, similarity: float) -> DataFrame:
+    """(_text_key, gone) of the rows of a cell that aren't known to stay, by kind, least and key. Rows stream; only leaders are held."""
+    rows = sets.select(cell.alias("cell"), kind.alias("kind"), "least", "key", "sets").repartition("cell").sortWithinPartitions("cell", "kind", "least", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaders = None, None
+        now, leaders, before = None, None, None
         for batch in batches:
-            cells, keys, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            cells, kinds, keys, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            gone, before = [], None
-            for i, (c, key) in enumerate(zip(cells, keys)):
+            told, gone = [], []
+            for i, (c, kind, key) in enumerate(zip(cells, kinds, keys)):
                 if c != now:
-                    now, leaders = c, Leaders(similarity)
-                if key != before and leaders.covers(flat[at[i] : at[i + 1]]):
-                    gone.append(key)
-                before = key
-            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], ["_text_key"])
-
-    return rows.mapInArrow(run, "_text_key string")
+                    now, leaders, before = c, Leaders(similarity), None
+                if key == before:
+                    continue
+                before, x = key, flat[at[i] : at[i + 1]]
+                if kind == STAYS:
+                    leaders.add(x)
+                    continue
+                told.append(key)
+                gone.append(leaders.covers(x) if kind == IN_ORDER else leaders.similar(x))
+            yield pa.RecordBatch.from_arrays([pa.array(told, pa.string()), pa.array(gone, pa.bool_())], ["_text_key", "gone"])
+
+    return rows.mapInArrow(run, "_text_key string, gone boolean")
+
+
+def covered(sets: DataFrame, similarity: float) -> DataFrame:
+    """_text_key of the rows (key, top, least, sets) that go: in each group top, by least and key, those similar to an earlier one that stays.
+
+    A group of more than CELL rows is judged in rounds, with the same result:
+    its first rows, CELL at most, in order by one task; then all later ones
+    against those that stay, in parts.  The later ones that remain make up the
+    group of the next round.  Rows of equal least are of one round.
+    """
+    sizes = sets.groupBy("top").agg(F.count(F.lit(1)).alias("n"))
+    dealt = sets.join(sizes, "top")
+    found = scratch.stored(judged(dealt.where(F.col("n") <= CELL), F.col("top"), F.lit(IN_ORDER), similarity), "covered")
+    gone = found.where("gone").select("_text_key")
+    if not sizes.where(F.col("n") > CELL).limit(1).count():
+        return gone
+    left = scratch.stored(dealt.where(F.col("n") > CELL).drop("n"), "left")
+    halves = F.percentile_approx("least", [0.5**k for k in range(25)], 100_000)
+    while left.limit(1).count():
+        turn = F.greatest(F.ceil(F.log2(F.col("n") / CELL)), F.lit(0)).cast("int")
+        cuts = left.groupBy("top").agg(F.count(F.lit(1)).alias("n"), halves.alias("halves"))
+        cuts = scratch.stored(cuts.select("top", F.ceil(F.col("n") / CELL).cast("int").alias("parts"), F.element_at("halves", F.least(turn, F.lit(24)) + 1).alias("cut")), "cuts")
+        near = left.join(cuts, "top")
+        head, later = near.where("least <= cut"), near.where("least > cut")
+        first = scratch.stored(judged(head, F.col("top"), F.lit(IN_ORDER), similarity), "covered")
+        stay = head.join(first.where("not gone"), F.col("key") == F.col("_text_key"), "left_semi")
+        part = F.pmod(F.xxhash64("key"), "parts").cast("int")
+        both = stay.withColumns({"kind": F.lit(STAYS), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}).union(later.withColumns({"kind": F.lit(LATER), "part": part}))
+        second = scratch.stored(judged(both, F.xxhash64("top", "part"), F.col("kind"), similarity), "covered")
+        gone = gone.union(first.union(second).where("gone").select("_text_key"))
+        remain = later.join(second.where("not gone"), F.col("key") == F.col("_text_key"), "left_semi")
+        left = scratch.stored(remain.select(*left.columns), "left")
+    return gone
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 10, blocks: int = 8, equal: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -419,9 +475,8 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radi
     edit or the length, and a closer one more rarely.  In a group, documents
     come by id, and one goes if its set of word shingles has a Jaccard
     similarity of at least similarity to that of one before it that stays; so
-    no document goes without a verified near copy that stays.  Groups of more
-    than CELL texts are first judged in parts, and what stays of the parts
-    together.  Equal texts count as one; of repeated rows one stays; a null id
+    no document goes without a verified near copy that stays, whatever the size
+    of the group (covered).  Equal texts count as one; of repeated rows one stays; a null id
     counts as the largest.
     """
     last = F.lit(2**63 - 1)
@@ -443,11 +498,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radi
     told = docs.select(F.col(text_col).alias("_text"), F.coalesce(F.col(id_col), last).alias("_id"), key.alias("_key"))
     one = told.join(grouped, (told["_key"] == grouped["_text_key"]) & (told["_id"] == grouped["least"]))
     sets = scratch.stored(one.select("_text", "_text_key", "top", "least").mapInArrow(run, "key string, top long, least long, sets array<long>"), "sets")
-    parts = sets.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
-    dealt = sets.join(parts, "top")
-    gone = scratch.stored(covered(dealt, F.xxhash64("top", F.pmod(F.xxhash64("key"), "parts")), similarity), "covered")
-    large = dealt.where("parts > 1").join(gone, F.col("key") == gone["_text_key"], "left_anti")
-    gone = gone.union(covered(large, F.col("top"), similarity))
+    gone = covered(sets, similarity)
     stay = texts.join(gone, "_text_key", "left_anti").select(F.col("_text_key").alias("_k"), F.col("least").alias("_l"))
     keyed = docs.withColumn("_key", key)
     kept = keyed.join(stay, (keyed["_key"] == stay["_k"]) & keyed[id_col].eqNullSafe(stay["_l"])).select(keyed["*"])
