@@ -87,16 +87,28 @@ class Shard:
         ones = np.bitwise_count(self.words).astype(np.int64)
         self.rank = np.cumsum(ones) - ones
 
-    def slot(self, key: int) -> int:
-        """The key's slot, or -1."""
-        base, probe = 0, np.array([key], np.int64)
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or -1."""
+        out, rest, base = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
         for level, size in enumerate(self.meta["sizes"]):
-            bit = int(_level_hash(probe, level)[0] % np.uint64(size * 64))
-            word, place = base + bit // 64, bit % 64
-            if int(self.words[word]) >> place & 1:
-                return int(self.rank[word]) + (int(self.words[word]) & ((1 << place) - 1)).bit_count()
-            base += size
-        return -1
+            if not len(rest):
+                break
+            bit = (_level_hash(keys[rest], level) % np.uint64(size * 64)).astype(np.int64)
+            word, place = base + bit // 64, (bit % 64).astype(np.uint64)
+            found = self.words[word]
+            hit = (found >> place & np.uint64(1)).astype(bool)
+            below = found & ((np.uint64(1) << place) - np.uint64(1))
+            out[rest[hit]] = (self.rank[word] + np.bitwise_count(below))[hit]
+            rest, base = rest[~hit], base + size
+        return out
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        """The first document of each key, or -1, by the index: slot, fingerprint and document."""
+        out, at = np.full(len(keys), -1, np.int64), self.slots(keys)
+        known = np.flatnonzero((at >= 0) & (at < len(self.prints)))
+        known = known[self.prints[at[known]] == _fingerprint(keys[known])]
+        out[known] = self.document[at[known]]
+        return out
 
     def ids(self, first: int, last: int) -> np.ndarray:
         """The ids of documents first .. last-1."""
@@ -106,10 +118,9 @@ class Shard:
 
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of each document with that key."""
-        at = self.slot(key)
-        if at < 0 or self.prints[at] != _fingerprint(np.array([key], np.int64))[0]:
+        first = last = int(self.first(np.array([key], np.int64))[0])
+        if first < 0:
             return []
-        first = last = int(self.document[at])
         while last < len(self.keys) and self.keys[last] == key:
             last += 1
         return [self.ids(i, i + 1) for i in range(first, last)]
@@ -209,7 +220,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: list[dict], block: int = 4 << 20) -> DataFrame:
-    """One row per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
+    """One row per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit).
+
+    Every key is looked up in its shard's index; one that doesn't lead to the
+    key's first document is an error.
+    """
     ship(spark)
     entries = spark.sparkContext.broadcast(manifest)
 
@@ -219,6 +234,11 @@ def read_tokens(spark: SparkSession, folder: str, manifest: list[dict], block: i
                 entry = entries.value[i]
                 shard = Shard(f"{folder}/{entry['name']}")
                 bounds, n = shard.offsets.astype(np.int64), len(shard.keys)
+                real = np.flatnonzero(shard.null == 0)
+                new = real[np.diff(shard.keys[real], prepend=~shard.keys[real[:1]]) != 0]
+                wrong = np.flatnonzero(shard.first(shard.keys[new]) != new)
+                if len(wrong) or len(new) != len(shard.document):
+                    raise ValueError(f"{entry['name']}: the index doesn't lead to {len(wrong)} of {len(new)} keys")
                 row = 0
                 while row < n:
                     stop = min(n, max(row + 1, int(np.searchsorted(bounds, bounds[row] + block, "right")) - 1))

@@ -470,3 +470,21 @@ def test_judged_row_repeated_across_batches(spark, monkeypatch):
         assert [x["_text_key"] for x in simhash.covered(sets, 0.8).collect()] == ["c"]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("section", ["levels", "document", "prints"])
+def test_token_rows_come_through_the_index(spark, docs, section):
+    """Reading all rows finds a fault in any part of a shard's index."""
+    folder = scratch.folder(spark, "test")
+    manifest = token_store.write_tokens(docs, P.path("byte_bpe_50k.json"), folder)
+    assert token_store.read_tokens(spark, folder, manifest).count() == docs.count()
+    shard = token_store.Shard(f"{folder}/{manifest[-1]['name']}")
+    assert shard.first(np.array([1000, -5])).tolist() == [-1, -1]
+    path = scratch.open_fs(f"{folder}/{manifest[-1]['name']}")[1]
+    data = bytearray(open(path, "rb").read())
+    at = shard.meta[section][0]
+    at += next(i for i, x in enumerate(data[at : at + shard.meta[section][1]]) if x) if section == "levels" else 0
+    data[at] ^= data[at] if section == "levels" else 1
+    open(path, "wb").write(data)
+    with pytest.raises(Exception, match="index doesn't lead"):
+        token_store.read_tokens(spark, folder, manifest).collect()
