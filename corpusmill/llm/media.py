@@ -193,10 +193,12 @@ def audio_features(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, spans array<struct<start_ms:long,end_ms:long>>, tensors binary, frames long")
 
 
-def write_tensors(found: DataFrame, folder: str) -> DataFrame:
-    """Stores features as Arrow files of one row per segment (doc_id, start_ms, end_ms, tensor of SHAPE); returns path and rows of each."""
+def _tensor_rows(found: DataFrame, folder: str) -> DataFrame:
+    """The columns of found but spans and tensors, which go to Arrow files in folder, one a partition; instead path, first (the row of the first segment there) and segments."""
     ship(found.sparkSession)
     kind = pa.fixed_shape_tensor(pa.float32(), SHAPE)
+    kept = [f for f in found.schema.fields if f.name not in ("spans", "tensors")]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = (x for x in batches if x.num_rows)
@@ -204,19 +206,27 @@ def write_tensors(found: DataFrame, folder: str) -> DataFrame:
         if head is None:
             return
         path, rows = f"{folder}/part-{TaskContext.get().partitionId():06d}.arrow", 0
-        schema = pa.schema([("doc_id", head.column(0).type), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("tensor", kind)])
+        schema = pa.schema([("doc_id", head.column("doc_id").type), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("tensor", kind)])
         with scratch.written_whole(path) as out, pa.ipc.new_stream(out, schema) as stream:
             for batch in (b for part in ([head], batches) for b in part):
-                spans = batch.column(1)
+                spans = batch.column("spans")
                 of = pa.compute.list_parent_indices(spans)
                 flat = spans.flatten()
-                tensors = np.frombuffer(b"".join(x or b"" for x in batch.column(2).to_pylist()), "<f4").astype(np.float32)
+                tensors = np.frombuffer(b"".join(x or b"" for x in batch.column("tensors").to_pylist()), "<f4").astype(np.float32)
                 store = pa.FixedSizeListArray.from_arrays(pa.array(tensors), SHAPE[0] * SHAPE[1])
-                stream.write_batch(pa.RecordBatch.from_arrays([batch.column(0).take(of), flat.field(0), flat.field(1), pa.ExtensionArray.from_storage(kind, store)], schema=schema))
+                stream.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), flat.field(0), flat.field(1), pa.ExtensionArray.from_storage(kind, store)], schema=schema))
+                segments = pa.compute.list_value_length(spans).to_numpy().astype(np.int64)
+                first = rows + np.cumsum(segments) - segments
                 rows += len(flat)
-        yield pa.RecordBatch.from_pylist([{"path": path, "rows": rows}])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array([path] * batch.num_rows), pa.array(first), pa.array(segments)], [*names, "path", "first", "segments"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return scratch.stored(found.mapInArrow(run, fields + ", path string, first long, segments long"), "tensor-rows")
 
-    return scratch.stored(found.select("doc_id", "spans", "tensors").mapInArrow(run, "path string, rows long"), "tensor-files")
+
+def write_tensors(found: DataFrame, folder: str) -> DataFrame:
+    """Stores features as Arrow files of one row per segment (doc_id, start_ms, end_ms, tensor of SHAPE); returns path and rows of each."""
+    return _tensor_rows(found.select("doc_id", "spans", "tensors"), folder).groupBy("path").agg(F.sum("segments").alias("rows"))
 
 
 def read_tensors(uri: str) -> pa.Table:
@@ -225,9 +235,50 @@ def read_tensors(uri: str) -> pa.Table:
         return pa.ipc.open_stream(f).read_all()
 
 
+class _Segments:
+    """Rows of a file of tensors, batch by batch; a document's rows are in one batch."""
+
+    def __init__(self, uri: str):
+        fs, path = scratch.open_fs(uri)
+        self.file = fs.open_input_stream(path)
+        self.stream, self.uri, self.at, self.batch = pa.ipc.open_stream(self.file), uri, 0, None
+
+    def rows(self, first: int, n: int) -> pa.RecordBatch:
+        while self.batch is None or first >= self.at + self.batch.num_rows:
+            self.at += self.batch.num_rows if self.batch else 0
+            self.batch = self.stream.read_next_batch()
+        return self.batch.slice(first - self.at, n)
+
+
+def stored_features(found: DataFrame, folder: str) -> DataFrame:
+    """found, its spans and tensors written to Arrow files in folder and read again from there."""
+    rows = _tensor_rows(found, folder)
+    kept = [f for f in rows.schema.fields if f.name not in ("path", "first", "segments")]
+    names = [f.name for f in kept]
+    spans_type = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source = None
+        for batch in batches:
+            spans, tensors = [], []
+            for doc_id, path, first, n in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "path", "first", "segments"))):
+                if source is None or source.uri != path or first < source.at:
+                    source = _Segments(path)
+                part = source.rows(first, n)
+                if part.num_rows != n or any(x != doc_id for x in part.column(0).to_pylist()):
+                    raise ValueError(f"{path}: rows {first} to {first + n} aren't those of {doc_id}")
+                spans.append([{"start_ms": a, "end_ms": b} for a, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist())])
+                tensors.append(part.column(3).storage.flatten().to_numpy().astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(spans, spans_type), pa.array(tensors, pa.binary())], [*names, "spans", "tensors"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return rows.mapInArrow(run, fields + ", spans array<struct<start_ms:long,end_ms:long>>, tensors binary")
+
+
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Every text stored as audio, read back, and its features as a short string."""
-    found = audio_features(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Every text stored as audio, read back, and its features, stored as tensors and read back, as a short string."""
+    media = scratch.stored(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    found = stored_features(audio_features(media), scratch.folder(spark, "tensors"))
     last = F.try_element_at("spans", F.lit(-1))["end_ms"]
     feature = F.concat_ws(":", "frames", F.size("spans"), last, F.sha1("tensors"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

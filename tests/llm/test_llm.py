@@ -488,3 +488,23 @@ def test_token_rows_come_through_the_index(spark, docs, section):
     open(path, "wb").write(data)
     with pytest.raises(Exception, match="index doesn't lead"):
         token_store.read_tokens(spark, folder, manifest).collect()
+
+
+def test_media_features_come_from_files(spark, docs, monkeypatch):
+    """The query's media and tensors are written and read again, with the same features."""
+    folders, folder = [], scratch.folder
+    monkeypatch.setattr(scratch, "folder", lambda spark, name: folders.append(folder(spark, name)) or folders[-1])
+    direct = media.audio_features(media.text_media(docs))
+    again = media.stored_features(direct, scratch.folder(spark, "tensors")).select(*direct.columns)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(again) == rows(direct)
+    assert media.stored_features(direct.limit(0), scratch.folder(spark, "tensors")).count() == 0
+    folders.clear()
+    d = "/root/testdata/sf0.001"
+    got = media.op6_media_columns(spark, d)
+    want = media.audio_features(media.text_media(spark.read.parquet(f"{d}/documents.parquet"))).collect()
+    assert {x["doc_id"]: x["feature"].rpartition(":")[2] for x in got.collect()} == {x["doc_id"]: hashlib.sha1(x["tensors"]).hexdigest() for x in want}
+    tensors = next(x for x in folders if "/tensors-" in x)
+    stored = [media.read_tensors(x) for x in scratch.files(spark, tensors, ".arrow")]
+    assert sum(x.num_rows for x in stored) == sum(len(x["spans"]) for x in want)
+    assert spark.read.parquet(next(x for x in folders if "/media-" in x) + "/table").count() == len(want)
