@@ -42,7 +42,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: The classifier and the tokenizer aren't SQL; tests/llm holds the stages against brute force.
+#: The classifier and the tokenizer aren't SQL; tests/llm holds run() against plain loops over the classifier's scores, and near-dedup against all pairs.
 ORACLE_SQL = None
 
 

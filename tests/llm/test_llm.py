@@ -508,3 +508,66 @@ def test_media_features_come_from_files(spark, docs, monkeypatch):
     stored = [media.read_tensors(x) for x in scratch.files(spark, tensors, ".arrow")]
     assert sum(x.num_rows for x in stored) == sum(len(x["spans"]) for x in want)
     assert spark.read.parquet(next(x for x in folders if "/media-" in x) + "/table").count() == len(want)
+
+
+def without_passages(texts, size=35):
+    """{id: text} without the windows of size words that occur elsewhere; a text of which nothing is left goes."""
+    words, seen, out = {i: SPACE.findall(t) for i, t in texts.items()}, {}, {}
+    for w in words.values():
+        for a in range(len(w) - size + 1):
+            seen[tuple(w[a : a + size])] = seen.get(tuple(w[a : a + size]), 0) + 1
+    for i, w in words.items():
+        gone = {p for a in range(len(w) - size + 1) if seen[tuple(w[a : a + size])] > 1 for p in range(a, a + size)}
+        if not gone or len(gone) < len(w):
+            out[i] = " ".join(x for p, x in enumerate(w) if p not in gone) if gone else texts[i]
+    return out
+
+
+def holds_passage(text, items):
+    """A run of 8 words or more that windows of 8 words of items cover, or windows of two items."""
+    w, hit, names = WORD.findall(lower(text)), set(), set()
+    at = {}
+    for n in {min(len(WORD.findall(lower(t))), 8) for _, t in items}:
+        for a in range(len(w) - n + 1):
+            at.setdefault(tuple(w[a : a + n]), []).append(a)
+    for item, t in items:
+        v = WORD.findall(lower(t))
+        for k in range(max(len(v) - 7, 1) if v else 0):
+            for a in at.get(tuple(v[k : k + 8]), []):
+                hit |= set(range(a, a + len(v[k : k + 8])))
+                names.add(item)
+    return len(names) > 1 or any(set(range(a, a + 8)) <= hit for a in hit)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on documents with appended, cut and replaced copies, each stage by plain loops but the classifier's scores."""
+    import corpus_pipeline
+
+    source, d = "/root/testdata/sf0.001", str(tmp_path)
+    table = spark.read.parquet(f"{source}/documents.parquet")
+    rng = random.Random(12)
+    long = [x for x in table.orderBy("doc_id").collect() if 40 <= len((x["text"] or "").split()) <= 600]
+    copies = edited_copies(rng, [" ".join(x["text"].split()) for x in long])
+    added = [(10_000_000 + 3 * n + k, c[n], x["lang"], x["source"], len(c[n])) for n, x in enumerate(long) for k, c in enumerate(copies.values())]
+    table.union(spark.createDataFrame(added, table.schema)).write.parquet(f"{d}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{source}/{name}.parquet").write.parquet(f"{d}/{name}.parquet")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    scored = quality.score(docs, quality.train(docs, labels)).collect()
+    good = {x["doc_id"]: x["text"] or "" for x in scored if x["score"] >= 0.3}
+    assert {x["doc_id"] for x in quality.keep_good(docs, labels).collect()} == set(good)
+    first = first_of_each(good.items())
+    cut = without_passages({i: good[i] for i in first})
+    items = [(x["item_id"], x["text"]) for x in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    clean = {i: t for i, t in cut.items() if not holds_passage(t, items)}
+    assert len(scored) > len(good) > len(first) >= len(cut) > len(clean) > 0 and any(cut[i] != good[i] for i in cut)
+    want = []
+    for i, t in clean.items():
+        ids = encoded("word_bpe_49k.json", t, 1)
+        want += [(i, k, ids[k : k + 4096]) for k in range(0, len(ids), 4096)]
+    got = corpus_pipeline.run(spark, d).collect()
+    assert sorted((x["doc_id"], x["start"], np.frombuffer(x["ids"], "<u4").tolist()) for x in got) == sorted(want)
+    used = {}
+    for x in got:
+        used[x["sequence_id"]] = used.get(x["sequence_id"], 0) + x["length"]
+    assert max(used.values()) <= 4096
