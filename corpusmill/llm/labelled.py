@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 
 def held_out(ids: list) -> list[bool]:
     """crc32 of the id as text, modulo 5, is 0; a null id is held out."""
@@ -20,23 +22,26 @@ def _held_out_column(col):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, most: dict[int, int], longest: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[pd.DataFrame, dict[int, int]]:
-    """(text and label y of at most most[y] rows of each class, rows of each class), held-out rows left out.
+    """(text and label y of at most most[y] rows of each class, rows of each class that they were chosen from), held-out rows left out.
 
     Rows are chosen by a hash of their id, so the sample doesn't depend on the
     order of the tables; of an id's rows the least text and the greater label
     count, chosen before anything is collected.  Texts of over longest characters are not learned
-    from.  This is the only thing that is collected: sum(most) rows at most.
+    from: ids without a shorter one are left out before rows are chosen and
+    counted, so others take their place.  This is the only thing that is collected: sum(most) rows at most.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y in (0, 1)")
     known = known.where(~_held_out_column(F.col("_id")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    short = docs.where(F.length(text) <= longest)
+    known = scratch.stored(known.join(short.select(F.col(id_col).alias("_id")), "_id", "left_semi"), "labelled")
     totals = {x["y"]: x["n"] for x in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for y, n in most.items():
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
         chosen = part if chosen is None else chosen.union(part)
-    text = F.coalesce(F.col(text_col), F.lit(""))
     # at most sum(most) rows of 12 bytes: broadcast
-    rows = docs.join(F.broadcast(chosen.groupBy("_id").agg(F.max("y").alias("y"))), F.col(id_col) == F.col("_id")).where(F.length(text) <= longest)
+    rows = short.join(F.broadcast(chosen.groupBy("_id").agg(F.max("y").alias("y"))), F.col(id_col) == F.col("_id"))
     frame = rows.select("_id", text.alias("text"), "y").groupBy("_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toPandas()
     return frame.sort_values("_id").reset_index(drop=True), totals
 

@@ -156,7 +156,7 @@ def _model(rows: list[np.ndarray], y: np.ndarray, c: float, rounds: int) -> Mode
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: dict[int, int] = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on at most most[y] labelled rows of each class that aren't held out; the classes' true shares set the scores' level."""
+    """Fits on at most most[y] labelled rows of each class that aren't held out, with texts of at most 100,000 characters; those classes' true shares set the scores' level."""
     frame, totals = sample(docs, labels, label_col, most, id_col=id_col, text_col=text_col)
     y = np.asarray(frame["y"], np.int64)
     model = fit(frame["text"].tolist(), y)

@@ -243,7 +243,7 @@ def fit(texts: list[str], y: np.ndarray, weights: dict[int, float], rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: dict[int, int] = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text", **options) -> Network:
-    """Fits on at most most[y] labelled rows of each class that aren't held out; the classes' true shares set the scores' level."""
+    """Fits on at most most[y] labelled rows of each class that aren't held out, with texts of at most 20,000 characters; those classes' true shares set the scores' level."""
     frame, totals = sample(docs, labels, label_col, most, longest=20_000, id_col=id_col, text_col=text_col)
     y = np.asarray(frame["y"], np.int64)
     n = np.bincount(y, minlength=2)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, media, packing, quality, scratch, simhash, substring, token_store, toxicity, urls, vec, warc
-from corpusmill.llm.labelled import auc
+from corpusmill.llm.labelled import auc, held_out, sample
 
 P = pytest.importorskip("public_tokenizers")
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -571,3 +571,17 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for x in got:
         used[x["sequence_id"]] = used.get(x["sequence_id"], 0) + x["length"]
     assert max(used.values()) <= 4096
+
+
+def test_long_texts_leave_the_sample_before_it_is_chosen(spark):
+    """Texts beyond longest are replaced by others, and class totals count the rows chosen from."""
+    rows = [(i, "x" * (200 if i % 2 else 10)) for i in range(400)] + [(401, "x" * 200), (401, "short"), (403, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 1)) for i in range(400)] + [(401, 1), (403, 1), (9999, 1), (None, 0)], "doc_id long, toxic int")
+    short = [i for i in range(0, 400, 2) if not held_out([i])[0]]
+    want = {y: sum(i % 4 > 1 for i in short) if y else sum(i % 4 < 2 for i in short) for y in (0, 1)}
+    want[1] += sum(not held_out([i])[0] for i in (401, 403))
+    frame, totals = sample(docs, labels, "toxic", {0: 50, 1: 1000}, longest=100)
+    assert totals == want
+    assert (frame["y"] == 0).sum() == 50 and (frame["y"] == 1).sum() == want[1]
+    assert frame["text"].str.len().max() <= 100 and frame["_id"].is_unique
