@@ -1,21 +1,26 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-Every window of consecutive item words is a record to be contained in a
-document.  The words of a record are ordered by their count over all documents,
-rarest first; for whole containment the necessary prefix is the rarest word.
-Documents are searched for prefix words only.  A hit at a word's position
-fixes where the record would begin; the length and positional bounds (the
-window must lie in the document) discard hits, and the survivors are verified
-word by word over the window.
-
-Items are read in blocks of a bounded number of windows; a block is sent to the
-executors, and the documents pass every block without a shuffle.  Memory: a
-batch of texts and one block.
+Every window of consecutive item words (the whole item if it is shorter) is a
+record, the set of its shingles of SHINGLE words.  Shingles are ordered by how
+often they occur in all documents, rarest first; as a record must be contained
+whole, its necessary prefix is its rarest shingle.  Prefixes are joined with the
+shingles of the documents; where a hit would put the window gives the
+positional and the length bound, and survivors are verified word by word.
+
+The documents are read and tokenised once, whatever the size of the benchmark.
+In that pass a Bloom filter of the benchmark's shingles (of BLOOM_BYTES at most;
+a larger benchmark only makes it let more through) leaves the runs of words in
+which every shingle that a window would need may be the benchmark's, and counts
+the shingles that pass.  Rarity, prefixes, candidates, verification and spans
+are Spark joins and aggregations on what was left.  The prefixes are broadcast
+if they are measured to take BROADCAST_BYTES at most; beyond, they are joined
+with SALT parts of every key, so that a frequent shingle is no task's alone.
 
 Edge cases: null or empty text has no words and isn't hit; a null id stays
 null; an item without words matches nothing; an item shorter than a window is
-one window; equal items all count, repeated item_ids count once; empty tables
-give no rows or no hits; other columns are ignored, whatever their names.
+one window; equal items all count, repeated item_ids count once, a null item_id
+hits words but isn't listed; item_ids may be of any type; empty tables give no
+rows or no hits; other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,218 +29,236 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import ship
-from . import vec
+from . import scratch, vec
 
-#: Windows in a block of items: 8 words of 8 bytes each, at most 32 MB and as much again for the index.
-BLOCK_WINDOWS = 1 << 19
+SHINGLE = 4
+BLOOM_BYTES = 32 << 20
+BROADCAST_BYTES = 32 << 20
+SALT = 32
+_ADDED = {"n_words": "long", "n_hit": "long", "hit_spans": "array<struct<start:int,stop:int>>", "item_ids": "array"}
 
 
-def _windows(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes of each window, padded with 0; its words; its text's index)."""
-    column = pa.array(texts, pa.large_string())
-    hashes, lengths, owner = [np.zeros((0, size), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _words(column: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray, vec.Rolling]]:
+    """(first row, rows, lower-cased bytes, begin and end of each word, first word of each text, hashes of word ranges) of pieces of a column."""
     for row, n, data, offsets in vec.text_batches(column):
         data = vec.lower(data)
         starts, ends, first = vec.words(data, offsets, vec.ALNUM)
-        h = vec.hash_words(data, starts, ends)
-        for i in range(n):
-            own = h[first[i] : first[i + 1]]
-            if not len(own):
-                continue
-            if len(own) < size:
-                part = np.pad(own, (0, size - len(own)))[None]
-            else:
-                part = np.lib.stride_tricks.sliding_window_view(own, size)
-            hashes.append(part)
-            lengths.append(np.full(len(part), min(size, len(own))))
-            owner.append(np.full(len(part), row + i))
-    return np.concatenate(hashes), np.concatenate(lengths), np.concatenate(owner)
-
-
-class Block:
-    """The records of a block of items, found by their rarest word."""
-
-    def __init__(self, ids: list, hashes: np.ndarray, lengths: np.ndarray, owner: np.ndarray, words: np.ndarray, counts: np.ndarray):
-        size = hashes.shape[1]
-        rows = np.ascontiguousarray(np.column_stack([hashes, lengths.astype(np.uint64)]))
-        same, place = np.unique(rows, axis=0, return_inverse=True)
-        order = np.argsort(place.ravel(), kind="stable")
-        self.items = owner[order]  # the items of record r: items[item_at[r]:item_at[r + 1]]
-        self.item_at = np.searchsorted(place.ravel()[order], np.arange(len(same) + 1))
-        self.ids, self.hashes, self.lengths = ids, same[:, :size], same[:, size].astype(np.int64)
-        inside = np.arange(size) < self.lengths[:, None]
-        rarity = np.where(inside, counts[np.searchsorted(words, self.hashes).clip(0, max(len(words) - 1, 0))], np.iinfo(np.int64).max) if len(same) else np.zeros((0, size), np.int64)
-        least = rarity.min(axis=1, keepdims=True)
-        # ties: the least hash, then its first place
-        choice = np.where(rarity == least, self.hashes, np.uint64(2**64 - 1))
-        self.place = choice.argmin(axis=1) if len(same) else np.zeros(0, np.int64)
-        prefix = self.hashes[np.arange(len(same)), self.place]
-        by = np.argsort(prefix, kind="stable")
-        self.records = by
-        self.prefix = np.unique(prefix)
-        self.record_at = np.append(np.searchsorted(prefix[by], self.prefix), len(by))
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[(self.prefix & np.uint64(0xFFFF)).astype(np.int64)] = True
-
-    def hits(self, words: np.ndarray, first: np.ndarray, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-        """(start, record) of every occurrence of a record among the words of documents that begin at first."""
-        if not len(self.prefix):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.seen[(words & np.uint64(0xFFFF)).astype(np.int64)])
-        slot = np.searchsorted(self.prefix, words[at]).clip(0, len(self.prefix) - 1)
-        real = self.prefix[slot] == words[at]
-        at, slot = at[real], slot[real]
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        many = np.cumsum(self.record_at[slot + 1] - self.record_at[slot])
-        i = 0
-        while i < len(at):
-            j = max(i + 1, int(np.searchsorted(many, (many[i - 1] if i else 0) + step, "right")))
-            n = self.record_at[slot[i:j] + 1] - self.record_at[slot[i:j]]
-            record = self.records[vec.ragged(self.record_at[slot[i:j]], n)]
-            here = np.repeat(at[i:j], n)
-            start = here - self.place[record]
-            document = np.searchsorted(first, here, "right") - 1
-            fits = (start >= first[document]) & (start + self.lengths[record] <= first[document + 1])
-            start, record = start[fits], record[fits]
-            for k in range(self.hashes.shape[1]):
-                if not len(start):
-                    break
-                same = (self.lengths[record] <= k) | (words[np.minimum(start + k, len(words) - 1)] == self.hashes[record, k])
-                start, record = start[same], record[same]
-            found.append((start, record))
-            i = j
-        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-
-
-def _doc_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for row, n, data, offsets in vec.text_batches(column):
-        data = vec.lower(data)
-        starts, ends, first = vec.words(data, offsets, vec.ALNUM)
-        yield row, n, vec.hash_words(data, starts, ends), first
+        yield row, n, data.tobytes(), starts, ends, first, vec.Rolling(vec.hash_words(data, starts, ends))
+
 
+def _shingles(rolling: vec.Rolling, n: int) -> np.ndarray:
+    """Hashes of the shingles of windows of n words, by their first word; windows of other lengths have others."""
+    return vec.mix(rolling.windows(min(n, SHINGLE)) ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64))
 
-def blocks(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text: str) -> Iterator[Block]:
-    """Blocks of at most BLOCK_WINDOWS records (an item of more is a block alone), each with its words' counts over all documents."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = words.value
-        seen = np.zeros(1 << 16, bool)
-        seen[(vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
-        counts = np.zeros(len(vocabulary), np.int64)
+def _joined(raw: bytes, starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> str:
+    return b" ".join(raw[p:q] for p, q in zip(starts[a:b].tolist(), ends[a:b].tolist())).decode("utf-8", "replace")
+
+
+def windows(benchmark: DataFrame, window: int, item_col: str, item_text: str) -> DataFrame:
+    """(item, n, words, hashes): every window of every item, its words joined by one space, and the hashes of its shingles."""
+    ship(benchmark.sparkSession)
+    chosen = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, h, _ in _doc_words(batch.column(0)):
-                h = h[seen[(h & np.uint64(0xFFFF)).astype(np.int64)]]
-                at = np.searchsorted(vocabulary, h).clip(0, len(vocabulary) - 1)
-                counts += np.bincount(at[vocabulary[at] == h], minlength=len(vocabulary))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["word", "n"])
-
-    context = docs.sparkSession.sparkContext
-    ids, texts, size = [], [], 0
-
-    def made() -> Block:
-        nonlocal words
-        hashes, lengths, owner = _windows(texts, window)
-        own = np.unique(hashes[np.arange(window) < lengths[:, None]])
-        counts = np.zeros(max(len(own), 1), np.int64)
-        if len(own):
-            words = context.broadcast(own)
-            # at most a row for each word of the block
-            for x in docs.select(text_col).mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
-                counts[x["word"]] = x["n"]
-        return Block(ids, hashes, lengths, owner, own if len(own) else np.zeros(1, np.uint64), counts)
-
-    words = None
-    for item in benchmark.select(F.col(item_col), F.col(item_text)).where(F.col(item_text).isNotNull()).toLocalIterator():
-        n = len(item[1]) // 2 + 1  # words at most
-        if texts and size + n > BLOCK_WINDOWS:
-            yield made()
-            ids, texts, size = [], [], 0
-        ids.append(item[0])
-        texts.append(item[1])
-        size += n
-    yield made()
+            for row, n, raw, starts, ends, first, rolling in _words(batch.column(1)):
+                of, sizes, texts, lists = [], [], [], []
+                made = {size: _shingles(rolling, size).view(np.int64) for size in {min(window, x) for x in np.diff(first).tolist()} if size}
+                for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                    size = min(window, b - a)
+                    for k in range(a, b - size + 1 if size else a):
+                        of.append(row + i)
+                        sizes.append(size)
+                        texts.append(_joined(raw, starts, ends, k, k + size))
+                        lists.append(made[size][k : k + size - min(size, SHINGLE) + 1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(sizes, pa.int32()), pa.array(texts, pa.string()), pa.array(lists, pa.list_(pa.int64()))], ["item", "n", "words", "hashes"])
 
+    return chosen.mapInArrow(run, f"item {chosen.schema['item'].dataType.simpleString()}, n int, words string, hashes array<long>")
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All columns of docs and: n_words, n_hit (words inside an occurrence), hit_spans (merged word ranges), item_ids (items with occurrences, ascending, distinct).
 
-    Input columns with these four names are replaced.
-    """
-    ship(docs.sparkSession)
-    added = {"n_words": "long", "n_hit": "long", "hit_spans": "array<struct<start:int,stop:int>>", "item_ids": "array<long>"}
-    out = docs.drop(*added)
-    place = out.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    for number, block in enumerate(blocks(docs, benchmark, window, text_col, item_col, item_text)):
-        out = _searched(out, place, fields, block, number, added)
-    return out
+class Bloom:
+    """A blocked Bloom filter of 64-bit hashes: two bits in a block of 64."""
+
+    def __init__(self, blocks: int):
+        self.bits = np.zeros(blocks, np.uint64)
+
+    @staticmethod
+    def size(keys: int) -> int:
+        """Blocks for that many keys, a power of two: 16 bits a key, BLOOM_BYTES at most."""
+        return min(BLOOM_BYTES // 8, 1 << max(4, (max(keys, 1) * 16 // 64 - 1).bit_length()))
+
+    @staticmethod
+    def places(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+        """(block, its two bits) of each hash."""
+        one = np.uint64(1)
+        return (h & np.uint64(blocks - 1)).astype(np.int64), one << (h >> np.uint64(58)) | one << (h >> np.uint64(52) & np.uint64(63))
+
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        block, own = self.places(h, len(self.bits))
+        return self.bits[block] & own == own
 
 
-def _searched(df: DataFrame, place: int, fields: str, block: Block, number: int, added: dict[str, str]) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(block)
-    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+def _filter_of(records: DataFrame) -> Bloom:
+    """The filter of all windows' shingles: a block a row is collected, BLOOM_BYTES of them at most."""
+    keys = records.select(F.explode("hashes").alias("h"))
+    bloom = Bloom(Bloom.size(keys.count()))
+    blocks = len(bloom.bits)
 
-    def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, own = Bloom.places(batch.column(0).to_numpy().view(np.uint64), blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(own.view(np.int64))], ["block", "bits"])
+
+    got = keys.mapInArrow(run, "block long, bits long").groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bloom.bits[got.column("block").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return bloom
+
+
+_RUN = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("words", pa.string()), ("hashes", pa.list_(pa.int64()))])
+_COUNT = pa.struct([("h", pa.int64()), ("c", pa.int64())])
+
+
+def _possible(docs: DataFrame, bloom: Bloom, sizes: list[int], text_col: str) -> DataFrame:
+    """docs without the text column and: n_words; runs, ranges of words in which windows of n words may occur, with their shingles' hashes; counts of the shingles that pass the filter, one list a batch."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(bloom)
+    place = docs.columns.index(text_col)
+    kept = [f for f in docs.schema.fields if not f.name.startswith("_text")]
+
+    def found(raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, rolling: vec.Rolling) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(text of each run, runs, counts) of a batch's words."""
+        bloom, texts, at, of_n, words, lists, seen = sent.value, [], [], [], [], [], []
+        for n in sizes:
+            s = min(n, SHINGLE)
+            need, h = n - s + 1, _shingles(rolling, n)
+            if not len(h):
+                continue
+            inside = np.ones(len(h), bool)  # shingles that lie in one text
+            for k in range(1, s):
+                inside[first[1:-1][(first[1:-1] >= k) & (first[1:-1] - k < len(h))] - k] = False
+            hit = inside & bloom.may_hold(h)
+            seen.append(h[hit])
+            total = np.concatenate([[0], np.cumsum(hit)])
+            begin = np.flatnonzero(total[need:] - total[:-need] == need)
+            text = np.searchsorted(first, begin, "right") - 1
+            begin = begin[begin + n <= first[text + 1]]  # the window lies in its text
+            edge = np.bincount(begin, minlength=len(h) + 1) - np.bincount(begin + need, minlength=len(h) + 1)[: len(h) + 1]
+            covered = np.cumsum(edge) > 0
+            cut = np.zeros(len(h) + 1, bool)
+            cut[first[first <= len(h)]] = True
+            low = np.flatnonzero(covered & (cut | ~np.concatenate([[False], covered[:-1]])))
+            high = np.flatnonzero(np.concatenate([[False], covered[:-1]]) & (cut | ~covered))
+            for a, b in zip(low.tolist(), high.tolist()):
+                t = int(np.searchsorted(first, a, "right")) - 1
+                texts.append(t)
+                at.append(a - int(first[t]))
+                of_n.append(n)
+                words.append(_joined(raw, starts, ends, a, b + s - 1))
+                lists.append(h[a:b].view(np.int64))
+        keys, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(np.array(texts, np.int64), kind="stable")
+        pick = lambda x: [x[i] for i in order]
+        runs = pa.StructArray.from_arrays([pa.array(pick(at), pa.int32()), pa.array(pick(of_n), pa.int32()), pa.array(pick(words), pa.string()), pa.array(pick(lists), pa.list_(pa.int64()))], fields=list(_RUN))
+        return np.array(texts, np.int64)[order], runs, pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], fields=list(_COUNT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
         for batch in batches:
-            for row, n, words, first in _doc_words(batch.column(place)):
+            for row, n, raw, starts, ends, first, rolling in _words(batch.column(place)):
+                texts, runs, counts = found(raw, starts, ends, first, rolling)
                 part = batch.slice(row, n)
-                start, record = block.hits(words, first)
-                edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + block.lengths[record], -1)
-                of = np.searchsorted(first, start, "right") - 1
-                count = block.item_at[record + 1] - block.item_at[record]
-                item = block.items[vec.ragged(block.item_at[record], count)]
-                pairs = np.unique(np.column_stack([np.repeat(of, count), item]), axis=0)
-                named = sorted({(d, block.ids[i]) for d, i in pairs.tolist() if block.ids[i] is not None})
-                if number:  # what earlier blocks have found
-                    for d, (spans, items) in enumerate(zip(part.column("hit_spans").to_pylist(), part.column("item_ids").to_pylist())):
-                        for s in spans:
-                            edge[first[d] + s["start"]] += 1
-                            edge[first[d] + s["stop"]] -= 1
-                        named += [(d, i) for i in items]
-                    named = sorted(set(named))
-                hit = np.cumsum(edge[:-1]) > 0
-                bound = np.zeros(len(words) + 1, bool)
-                bound[first] = True
-                before = np.concatenate([[False], hit])
-                after = np.concatenate([hit, [False]])
-                begin = np.flatnonzero(after & (~before | bound))
-                end = np.flatnonzero(before & (~after | bound))
-                owner = np.searchsorted(first, begin, "right") - 1
-                spans = pa.StructArray.from_arrays([pa.array(begin - first[owner], pa.int32()), pa.array(end - first[owner], pa.int32())], fields=list(spans_type.value_type))
-                total = np.concatenate([[0], np.cumsum(hit)])
-                columns = [
-                    pa.array(np.diff(first)), pa.array(np.diff(total[first])),
-                    lists(spans, np.bincount(owner, minlength=n)),
-                    lists(pa.array([i for _, i in named], pa.int64()), np.bincount(np.array([d for d, _ in named], np.int64), minlength=n)),
-                ]
-                keep = [x for x in part.schema.names if x not in added]
-                yield pa.RecordBatch.from_arrays([part.column(x) for x in keep] + columns, [*keep, *added])
-
-    return df.mapInArrow(run, fields + "".join(f", {k} {v}" for k, v in added.items()))
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, min_words: int = 8, **options) -> DataFrame:
-    """Documents that hold no benchmark passage: with a hit range of min_words words or more, or occurrences of min_items items, a document goes."""
-    found = contamination(docs, benchmark, **options)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(texts, np.arange(n + 1)), pa.int32()), runs)
+                once = pa.ListArray.from_arrays(pa.array(np.where(np.arange(n + 1) > 0, len(counts), 0), pa.int32()), counts)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(np.diff(first)), lists, once], [*(f.name for f in kept), "n_words", "runs", "counts"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    return docs.mapInArrow(run, fields + "n_words long, runs array<struct<at:int,n:int,words:string,hashes:array<long>>>, counts array<struct<h:long,c:long>>")
+
+
+def _prefixes(records: DataFrame, counts: DataFrame) -> DataFrame:
+    """(record, words, n, h, p): every record whose shingles all occur in documents, with the rarest one and its place."""
+    single = records.groupBy("words").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    each = single.select("words", "n", F.posexplode("hashes").alias("p", "h")).join(counts, "h")
+    least = each.groupBy("words", "n").agg(F.min(F.struct("c", "h", "p")).alias("m"), F.count(F.lit(1)).alias("k"))
+    whole = least.where(F.col("k") == F.col("n") - F.least("n", F.lit(SHINGLE)) + 1)
+    return scratch.stored(whole.select(F.monotonically_increasing_id().alias("record"), "words", "n", "m.h", "m.p"), "prefixes")
+
+
+def occurrences(found: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(_row, start, stop, record): where the records occur, verified on the words."""
+    runs = found.where(F.size("runs") > 0).select("_row", F.inline("runs")).withColumn("w", F.split("words", " "))
+    back = F.col("n") - F.least("n", F.lit(SHINGLE))  # words that a window may begin before a shingle of it
+
+    def around(h: Column, i: Column) -> Column:
+        low = F.greatest(i - back, F.lit(0))
+        return F.struct(h.alias("h"), i.alias("i"), (i - low).alias("before"), F.slice("w", low + 1, i - low + F.col("n")).alias("near"))
+
+    hits = runs.select("_row", "at", "n", F.inline(F.transform("hashes", around)))
+    size = prefixes.agg(F.sum(F.octet_length("words") + 64)).first()[0] or 0
+    own = prefixes.withColumnsRenamed({"n": "_n", "h": "_h"})
+    same = (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n"))
+    if size <= BROADCAST_BYTES:
+        met = hits.join(F.broadcast(own), same)
+    else:
+        own = own.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        met = hits.withColumn("part", F.pmod(F.xxhash64("_row", "i"), F.lit(SALT)).cast("int")).join(own, same & (F.col("part") == F.col("_part")))
+    # positional bound: the window begins in the run; length bound: it ends there
+    met = met.where((F.col("before") >= F.col("p")) & (F.col("before") - F.col("p") + F.col("n") <= F.size("near")))
+    met = met.where(F.array_join(F.slice("near", F.col("before") - F.col("p") + 1, F.col("n")), " ") == F.col("words"))
+    start = F.col("at") + F.col("i") - F.col("p")
+    return scratch.stored(met.select("_row", start.alias("start"), (start + F.col("n")).alias("stop"), "record"), "occurrences")
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """docs without columns that begin with _text and: _row, n_words, n_hit, hit_spans, item_ids. The columns of docs must not clash."""
+    records = scratch.stored(windows(benchmark, window, item_col, item_text), "windows")
+    sizes = sorted(x["n"] for x in records.select("n").distinct().collect())  # window of them at most
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = scratch.stored(_possible(numbered, _filter_of(records), sizes, text_col), "possible")
+    counts = found.where(F.size("counts") > 0).select(F.inline("counts")).groupBy("h").agg(F.sum("c").alias("c"))
+    prefixes = _prefixes(records, counts)
+    hits = occurrences(found, prefixes)
+    order = Window.partitionBy("_row").orderBy("start", "stop")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.select("_row", "start", "stop").distinct().withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("start")).cast("int")).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("_row", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    # lists of one document's spans and items
+    spans = spans.groupBy("_row").agg(F.sum(F.col("stop") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("hit_spans"))
+    owners = records.join(prefixes.select("record", "words"), "words").select("record", "item").distinct()
+    items = hits.select("_row", "record").join(owners, "record").groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    told = spans.join(items, "_row", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(told.schema[c].dataType))
+    return found.drop("runs", "counts").join(told, "_row", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "hit_spans": none("hit_spans"), "item_ids": none("item_ids")})
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """All columns of docs and: n_words, n_hit (words inside an occurrence), hit_spans (merged word ranges), item_ids (items with occurrences, ascending, distinct).
+
+    Input columns with these four names are replaced.
+    """
+    kept = [c for c in docs.columns if c not in _ADDED]
+    plain, (body,) = scratch.numbered(docs.select(*kept), text_col)
+    found = _searched(plain, benchmark, window, body, item_col, item_text)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *_ADDED)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, min_words: int = 8, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs, with all their columns, without those that hold a benchmark passage: with a hit range of min_words words or more, or occurrences of min_items items, a document goes."""
+    plain, (body,) = scratch.numbered(docs, text_col)
+    found = _searched(plain, benchmark, window, body, item_col, item_text)
     passage = F.exists("hit_spans", lambda x: x["stop"] - x["start"] >= min_words)
-    return found.where(~passage & (F.size("item_ids") < min_items)).select(*docs.columns)
+    return found.where(~passage & (F.size("item_ids") < min_items)).select(*plain.columns).toDF(*docs.columns)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     """Which words of which documents occur in windows of 8 words of benchmark items."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("_text"))
+    found = _searched(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 8, "_text", "item_id", "text")
     names = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
     n_items = F.size("item_ids").cast("long")
     return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))

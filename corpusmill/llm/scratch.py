@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow.fs as pafs
@@ -36,7 +37,25 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written as Parquet to the shared folder and read back: its lineage ends there and survives lost executors."""
     path = folder(df.sparkSession, name) + "/table"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _stored[id(out)] = path
+    weakref.finalize(out, _stored.pop, id(out), None)
+    return out
+
+
+_stored: dict[int, str] = {}
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing will read again."""
+    if path := _stored.get(id(df)):
+        jvm = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        jvm.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jvm, True)
+
+
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with columns named c0, c1, ..., which clash with no working column, and the new names of some."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(x)}" for x in names]
 
 
 def files(spark: SparkSession, path: str, suffix: str = "") -> list[str]:

@@ -13,12 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-#: Fixed seeds of the hash functions: changing one changes every stored hash.
-_SEED_BYTES, _MUL_BYTES, _MUL_WORDS = 0x5EED_B17E, 0x9E37_79B9_7F4A_7C15, 0xD6E8_FEB8_6659_FD93
-
-_BYTE_TABLE = np.random.Generator(np.random.PCG64(_SEED_BYTES)).integers(0, 2**64, 256, dtype=U64) | U64(1)
+#: Fixed constants of the hash functions: changing one changes every hash.
+_MUL_WORDS, _SIZE, _STEP = 0xD6E8_FEB8_6659_FD93, U64(0xA24B_AED4_963E_E407), U64(0x9E37_79B9_7F4A_7C15)
+#: The lower 0 to 8 bytes of a 64-bit word.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Byte ranges longer than this are taken one at a time.
+_LONG = 256
 
 
 def class_table(spec: bytes) -> np.ndarray:
@@ -109,24 +112,40 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base]
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 18) -> np.ndarray:
-    """A 64-bit hash of each byte range; ranges are in order and don't overlap. Works through step bytes at a time."""
-    out = np.empty(len(starts), U64)
-    if not len(starts):
-        return out
-    lengths = ends - starts
-    done = np.cumsum(lengths)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + step, "right")))
-        size = lengths[i:j]
-        first = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(first, size)
-        terms = _BYTE_TABLE[data[place + np.repeat(starts[i:j], size)]]
-        terms *= _powers(_MUL_BYTES, int(size.max()))[place]
-        out[i:j] = np.add.reduceat(terms, first) + size.astype(U64) * U64(0xA24BAED4963EE407)
-        i = j
-    return mix(out)
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place on as a number, zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range: 8 bytes at a time through a finaliser, long ranges by XXH3. Equality is judged by same_bytes."""
+    size = ends - starts
+    eight = _eights(data)
+    h = mix((eight[starts] & _KEEP[np.minimum(size, 8)]) ^ size.astype(U64) * _SIZE)
+    on, k = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(on):
+        part = eight[starts[on] + k] & _KEEP[np.minimum(size[on] - k, 8)]
+        h[on] = mix((h[on] ^ part) + _STEP)
+        k += 8
+        on = on[size[on] > k]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return h
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the byte ranges of a and b of the same sizes are equal."""
+    x, y = _eights(a), _eights(b)
+    ok = ((x[a_start] ^ y[b_start]) & _KEEP[np.minimum(size, 8)]) == 0
+    on, k = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(on):
+        ok[on] &= ((x[a_start[on] + k] ^ y[b_start[on] + k]) & _KEEP[np.minimum(size[on] - k, 8)]) == 0
+        k += 8
+        on = on[size[on] > k]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        ok[i] = np.array_equal(a[a_start[i] : a_start[i] + size[i]], b[b_start[i] : b_start[i] + size[i]])
+    return ok
 
 
 class Rolling:
@@ -174,6 +193,15 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(shift, lengths)
 
 
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the words with one space after each, where each begins and ends there)."""
+    size = ends - starts + 1
+    stop = np.cumsum(size)
+    out = np.append(data, np.uint8(32))[ragged(starts, size)]
+    out[stop - 1] = 32
+    return out, stop - size, stop - 1
+
+
 def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     """The least of values[i:i+size] for every i, by doubling."""
     out, have = values, 1
