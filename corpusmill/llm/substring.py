@@ -10,19 +10,19 @@ have equal minimizers, so repeated edges can only lie in segments whose
 minimizer occurs again, which a Spark join finds:
 
 * a minimizer that occurs once: its edges are unique;
-* one whose segments all have the same content: a nonbranching path, repeated
-  as a whole and kept as one row per occurrence;
-* one with different contents: the path branches there.  Contents that occur
-  again are repeated as a whole; of the others the edges are hashed one by one
-  and joined by (minimizer, hash), 128 bits in all.
+* the words of all other segments are read again at their source coordinates
+  (shard, row, word) and get a 128-bit digest: segments of equal digests are
+  verified repeats as a whole, a nonbranching path with one row per occurrence;
+* where a minimizer has several contents the path branches: the edges of each
+  content are digested one by one, again from the source, and joined.
 
 A path that runs round a cycle (words or phrases repeated one after another)
 gives the same segment again and again; such a run is one row with the number
 of its rounds, so a hot cycle costs a row per run and not one per round.
 
-Segments carry source coordinates (shard, row, word) into a numbered copy of
-the texts in the shared folder.  The repeated spans go back to their shard, and
-the words they cover are removed there, so texts are never shuffled.  Counts
+Source coordinates lead into a copy of the texts in the shared folder, a shard a
+file.  Segments and spans go to the task of their shard, which reads it, so
+texts are never shuffled.  Counts
 are combined before each shuffle, joins on a frequent minimizer are split by
 adaptive execution, and no group is gathered.
 
@@ -39,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,7 +53,7 @@ _PLACE = np.uint64(0xFFFFFFFF)
 
 
 def segments(h: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[np.ndarray, ...]:
-    """(document, start in it, windows, rounds, minimizer, content) of the segments of a batch's word hashes.
+    """(document, start in it, windows, rounds, minimizer) of the segments of a batch's word hashes.
 
     Equal segments one after another are one row: windows are those of one round.
     """
@@ -60,7 +61,7 @@ def segments(h: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[np.ndarr
     at = vec.ragged(first[:-1], counts)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64)
     rolling = vec.Rolling(h)
     pieces = rolling.windows(m)
     least = vec.sliding_min((pieces & ~_PLACE) | np.arange(len(pieces), dtype=np.uint64), k - m + 1)
@@ -76,7 +77,7 @@ def segments(h: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[np.ndarr
     other[1:] = (document[1:] != document[:-1]) | (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (size[1:] != size[:-1])
     run = np.flatnonzero(other)
     rounds = np.diff(np.append(run, len(head)))
-    return document[run], start[run] - first[document[run]], size[run], rounds, key[run], content[run]
+    return document[run], start[run] - first[document[run]], size[run], rounds, key[run]
 
 
 def _shard_batches(uri: str, columns: list[str] | None) -> Iterator[pa.RecordBatch]:
@@ -106,6 +107,35 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+def _reread(batches: Iterator[pa.RecordBatch], names: list[str], text_col: str) -> Iterator[tuple[pa.Table, np.ndarray, bytes, np.ndarray, np.ndarray]]:
+    """For pieces of the texts that rows (shard, row, ...; sorted) lead to: (those rows, the first word of each one's text, the words joined by one space, where each begins and ends)."""
+    for shard, wanted in _by_shard(batches):
+        of, base = wanted.column("row").to_numpy(), 0
+        for texts in _shard_batches(names[shard], [text_col]):
+            a, b = np.searchsorted(of, [base, base + texts.num_rows])
+            rows, local = np.unique(of[a:b] - base, return_inverse=True)
+            base += texts.num_rows
+            if a == b:
+                continue
+            for row, n, data, offsets in vec.text_batches(texts.column(0).take(pa.array(rows))):
+                starts, ends, first = vec.words(data, offsets, vec.NOT_SPACE)
+                raw, begin, end = vec.spaced(data, starts, ends)
+                p, q = np.searchsorted(local, [row, row + n])
+                yield wanted.slice(a + p, q - p), first[local[p:q] - row], raw.tobytes(), begin, end
+
+
+def _digests(raw: bytes, begin: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    """128 bits of each byte range, as two columns."""
+    found = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist())])
+    halves = np.frombuffer(found, np.int64).reshape(-1, 2)
+    return [pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+
+
+def _by_source(df: DataFrame, shards: int) -> DataFrame:
+    """Every shard's rows in one task, sorted."""
+    return df.repartitionById(max(shards, 1), F.col("shard")).sortWithinPartitions("shard", "row", "start")
+
+
 def repeated_spans(spark, names, window: int, piece: int, text_col: str) -> DataFrame:
     """(shard, row, start, n): runs of n repeated windows, by source coordinates."""
     shards = len(names.value)
@@ -117,49 +147,46 @@ def repeated_spans(spark, names, window: int, piece: int, text_col: str) -> Data
                 for texts in _shard_batches(names.value[shard], [text_col]):
                     for row, n, data, offsets in vec.text_batches(texts.column(0)):
                         starts, ends, first = vec.words(data, offsets, vec.NOT_SPACE)
-                        document, start, size, rounds, key, content = segments(vec.hash_words(data, starts, ends), first, window, piece)
-                        columns = [pa.array(np.full(len(start), shard, np.int32)), pa.array((document + base + row).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(rounds.astype(np.int32)), _long(key), _long(content)]
-                        yield pa.RecordBatch.from_arrays(columns, ["shard", "row", "start", "n", "rounds", "key", "content"])
+                        document, start, size, rounds, key = segments(vec.hash_words(data, starts, ends), first, window, piece)
+                        columns = [pa.array(np.full(len(start), shard, np.int32)), pa.array((document + base + row).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(rounds.astype(np.int32)), _long(key)]
+                        yield pa.RecordBatch.from_arrays(columns, ["shard", "row", "start", "n", "rounds", "key"])
                     base += texts.num_rows
 
     numbers = spark.range(0, shards, 1, max(shards, 1))
-    cuts = scratch.stored(numbers.mapInArrow(cut, "shard int, row int, start int, n int, rounds int, key long, content long"), "segments")
-    kinds = cuts.groupBy("key").agg(F.sum("rounds").alias("c"), F.min("content").alias("a"), F.max("content").alias("b")).where("c > 1")
-    met = cuts.join(kinds.select("key", (F.col("a") == F.col("b")).alias("single")), "key")
-    met = scratch.stored(met, "repeated")
-    place = F.struct("shard", "row", "start", "n")
-    branches = met.where("not single")
-    contents = branches.groupBy("key", "content").agg(F.sum("rounds").alias("c"), F.min(place).alias("at"))
-    whole = branches.join(contents.where("c > 1").select("key", "content"), ["key", "content"], "left_semi")
+    cuts = scratch.stored(numbers.mapInArrow(cut, "shard int, row int, start int, n int, rounds int, key long"), "segments")
+    again = cuts.groupBy("key").agg(F.sum("rounds").alias("c")).where("c > 1").select("key")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, at, raw, begin, end in _reread(batches, names.value, text_col):
+            a = at + part.column("start").to_numpy()
+            digests = _digests(raw, begin[a], end[a + part.column("n").to_numpy() + window - 2])
+            yield pa.RecordBatch.from_arrays([*(x.combine_chunks() for x in part.columns), *digests], [*part.schema.names, "d1", "d2"])
+
+    met = _by_source(cuts.join(again, "key", "left_semi").select(*cuts.columns), shards)
+    met = scratch.stored(met.mapInArrow(verify, "shard int, row int, start int, n int, rounds int, key long, d1 long, d2 long"), "repeated")
+    scratch.release(cuts)
+    contents = met.groupBy("key", "d1", "d2").agg(F.sum("rounds").alias("c"), F.min(F.struct("shard", "row", "start", "n")).alias("at"))
+    contents = scratch.stored(contents, "contents")
+    branching = contents.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    lone = contents.where("c = 1").select("key", "d1", "d2")  # contents of which no other segment is a repeat as a whole
+    whole = met.join(lone, ["key", "d1", "d2"], "left_anti")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, wanted in _by_shard(batches):
-            of = wanted.column("row").to_numpy()
-            base = 0
-            for texts in _shard_batches(names.value[shard], [text_col]):
-                a, b = np.searchsorted(of, [base, base + texts.num_rows])
-                rows, local = np.unique(of[a:b] - base, return_inverse=True)
-                base += texts.num_rows
-                if a == b:
-                    continue
-                part = wanted.slice(a, b - a)
-                start, size, key, c = (part.column(x).to_numpy() for x in ("start", "n", "key", "c"))
-                for row, n, data, offsets in vec.text_batches(texts.column(0).take(pa.array(rows))):
-                    starts, ends, first = vec.words(data, offsets, vec.NOT_SPACE)
-                    rolling = vec.Rolling(vec.hash_words(data, starts, ends))
-                    p, q = np.searchsorted(local, [row, row + n])
-                    place = vec.ragged(start[p:q].astype(np.int64), size[p:q].astype(np.int64))
-                    of_segment = np.repeat(np.arange(p, q), size[p:q])
-                    begin = first[local[of_segment] - row] + place
-                    columns = [pa.array(key[of_segment]), _long(rolling.spans(begin, begin + window)), pa.array(np.full(len(place), shard, np.int32)), pa.array((rows[local[of_segment]] + base - texts.num_rows).astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(c[of_segment])]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "hash", "shard", "row", "start", "c"])
-
-    wanted = contents.select("at.shard", "at.row", "at.start", "at.n", "key", "c").repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "row", "start")
-    edges = scratch.stored(wanted.mapInArrow(expand, "key long, hash long, shard int, row int, start int, c long"), "edges")
-    again = edges.groupBy("key", "hash").agg(F.sum("c").alias("k")).where("k > 1").select("key", "hash")
-    single = edges.where("c = 1").join(again, ["key", "hash"], "left_semi").select("shard", "row", "start", F.lit(1).alias("n"))
-    run = [F.col("shard"), F.col("row"), F.col("start"), (F.col("n") * F.col("rounds")).alias("n")]
-    return met.where("single").select(*run).union(whole.select(*run)).union(single)
+        for part, at, raw, begin, end in _reread(batches, names.value, text_col):
+            shard, row, start, size, key, c = (part.column(x).to_numpy() for x in ("shard", "row", "start", "n", "key", "c"))
+            place = vec.ragged(start.astype(np.int64), size.astype(np.int64))
+            of = np.repeat(np.arange(len(start)), size)
+            for i in range(0, len(of), 1 << 18):
+                one, where = of[i : i + (1 << 18)], place[i : i + (1 << 18)]
+                a = at[one] + where
+                columns = [pa.array(key[one]), *_digests(raw, begin[a], end[a + window - 1]), pa.array(shard[one]), pa.array(row[one]), pa.array(where.astype(np.int32)), pa.array(c[one])]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "d1", "d2", "shard", "row", "start", "c"])
+
+    wanted = contents.join(branching, "key", "left_semi").select("at.shard", "at.row", "at.start", "at.n", "key", "c")
+    edges = scratch.stored(_by_source(wanted, shards).mapInArrow(expand, "key long, d1 long, d2 long, shard int, row int, start int, c long"), "edges")
+    twice = edges.groupBy("key", "d1", "d2").agg(F.sum("c").alias("k")).where("k > 1").select("key", "d1", "d2")
+    single = edges.where("c = 1").join(twice, ["key", "d1", "d2"], "left_semi").select("shard", "row", "start", F.lit(1).alias("n"))
+    return whole.select("shard", "row", "start", (F.col("n") * F.col("rounds")).alias("n")).union(single)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, piece: int = 10, text_col: str = "text") -> DataFrame:
@@ -168,16 +195,22 @@ def remove_repeats(docs: DataFrame, window: int = 35, piece: int = 10, text_col:
     A word is removed if a window of that many words covers it whose word
     sequence also starts anywhere else.
     """
+    kept = [c for c in docs.columns if c not in _RESULTS]
+    plain, (body,) = scratch.numbered(docs.select(*kept), text_col)
+    return _removed(plain, window, piece, body).toDF(*kept, *_RESULTS)
+
+
+def _removed(docs: DataFrame, window: int, piece: int, text_col: str) -> DataFrame:
+    """remove_repeats of docs whose columns don't clash with the results."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop(*_RESULTS)
     copy = scratch.folder(spark, "texts") + "/table"
     docs.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(copy)
     found = scratch.files(spark, copy, ".parquet")
     names = spark.sparkContext.broadcast(found)
     spans = repeated_spans(spark, names, window, piece, text_col)
     stubs = spark.range(len(found)).select(F.col("id").cast("int").alias("shard"), F.lit(-1).alias("row"), F.lit(0).alias("start"), F.lit(0).alias("n"))
-    back = spans.union(stubs).repartition(max(len(found), 1), "shard").sortWithinPartitions("shard", "row", "start")
+    back = _by_source(spans.union(stubs), len(found))
     target = to_arrow_schema(docs.schema)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,15 +248,17 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.nd
     return pa.Array.from_buffers(pa.string(), len(first) - 1, [None, pa.py_buffer(at), pa.py_buffer(out)])
 
 
-def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """docs with repeated passages removed from their texts; texts without any stay as they are, documents of which nothing is left go."""
-    found = remove_repeats(docs, window, text_col=text_col)
+def without_repeats(docs: DataFrame, window: int = 35, piece: int = 10, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs, with all their columns, with repeated passages removed from their texts; texts without any stay as they are, documents of which nothing is left go."""
+    plain, (body,) = scratch.numbered(docs, text_col)
+    found = _removed(plain, window, piece, body)
     cut = F.col("n_removed") > 0
     out = found.where(~cut | (F.col("n_removed") < F.col("n_words")))
-    out = out.withColumn(text_col, F.when(cut, F.col("kept_text")).otherwise(F.col(text_col)))
+    out = out.withColumn(body, F.when(cut, F.col("kept_text")).otherwise(F.col(body)))
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(cut, F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return out.select(*docs.columns)
+        chars = f"c{docs.columns.index(chars_col)}"
+        out = out.withColumn(chars, F.when(cut, F.length(body).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars)))
+    return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
