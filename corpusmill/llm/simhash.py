@@ -1,26 +1,28 @@
 """SimHash near-duplicate groups by pivot distance tables.
 
 A fingerprint's distances to a set of reference fingerprints bound its distance
-to any other: |d(x, p) - d(y, p)| <= d(x, y).  Pairs whose tables differ by
-more than the radius in any coordinate are discarded; the survivors are
-verified by their exact Hamming distance.
-
-Pairs are met without a cross join: the references include, for every block of
-bits, the single-bit ones whose distances spell the block (d(x, 0) - d(x, e_i)
-tells bit i), and two fingerprints within the radius agree on all coordinates
-of enough blocks (with 5 blocks and radius 3, of two).  So equal block
-coordinates are the key of a cell, and the tables of pseudo-random references
-thin out the pairs of a cell.  A cell of more than CELL fingerprints is split
-into sub-cells such that every pair still meets in one, so no task gathers a
-large cell.  A task returns links as stars, at most one row for each
-fingerprint and cell, and components come from rounds of large-star and
-small-star over tables in the shared folder.
+to any other: |d(x, p) - d(y, p)| <= d(x, y).  The table of a fingerprint is
+computed once and stored: its distances to REFERENCES pseudo-random references,
+and for each of 64 references of a single bit how its distance to that differs
+from its distance to zero.  Pairs whose tables differ by more than the radius
+in any coordinate are discarded; the survivors are verified by their exact
+Hamming distance.
+
+Pairs are met without a cross join: the single-bit coordinates of two
+fingerprints within the radius differ in as many places as the fingerprints do,
+so in some blocks of coordinates the tables are equal (with 5 blocks and radius
+3, in two).  Equal blocks of stored coordinates are the key of a cell, in which
+the tables' distances to the pseudo-random references thin out the pairs.  A
+cell of more than CELL fingerprints is split into sub-cells such that every
+pair still meets in one, so no task gathers a large cell.  A task returns links
+as stars, at most one row for each fingerprint and cell, and components come
+from rounds of large-star and small-star over tables in the shared folder.
 
 Edge cases: null or empty text has fingerprint zero, linked like any other; a
 null id is kept and takes part, but never names a component (component_id is
 null if all ids of a component are); equal fingerprints are one node, so
 repeated rows cost nothing; an empty table gives no rows; other columns are
-ignored.
+ignored by near_duplicates and passed on by one_of_each, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +43,10 @@ CELL = 4096
 #: Links in a file of the tables between rounds of components (16 bytes each); a round sizes its table by the one before, which is at least half as large.
 LINKS_A_FILE = 1_000_000
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-_REFERENCES = vec.mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Pseudo-random references, a byte of a pivot table each.
+REFERENCES = 16
+_RANDOM = vec.mix(np.arange(1, REFERENCES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SINGLE = np.uint64(1) << np.arange(64, dtype=np.uint64)
 #: Bit i of a byte in byte i of a 64-bit word: adds eight counters at once.
 _SPREAD = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], np.uint64)
 
@@ -99,15 +104,12 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = 3) ->
     n, counts = len(offsets) - 1, np.diff(first)
     if not len(starts):
         return np.zeros(n, np.uint64)
-    size = ends - starts + 1
-    begin = np.cumsum(size) - size
-    spaced = np.append(data, np.uint8(32))[vec.ragged(starts, size)]  # the words with one space after each
-    spaced[begin + size - 1] = 32
+    spaced, begin, end = vec.spaced(data, starts, ends)
     many = np.where(counts >= shingle, counts - shingle + 1, (counts > 0).astype(np.int64))
     head = vec.ragged(first[:-1], many)
     tail = np.minimum(head + shingle - 1, np.repeat(first[1:] - 1, many))
     start = begin[head]
-    h = xxh64(spaced, start, begin[tail] + size[tail] - 1 - start)
+    h = xxh64(spaced, start, end[tail] - start)
     # counts of set bits, in blocks of at most 255 shingles
     at = np.cumsum(many) - many
     blocks = -(-many // 255)
@@ -138,6 +140,31 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return chosen.mapInArrow(run, fields + ", fp long")
 
 
+def pivot_tables(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """([n, 64] distances to the single-bit references less that to zero, plus 1; [n, REFERENCES] distances to the pseudo-random ones)."""
+    near = np.bitwise_count(fp[:, None] ^ _SINGLE).astype(np.int16) - np.bitwise_count(fp)[:, None] + 1
+    return near.astype(np.uint8), np.bitwise_count(fp[:, None] ^ _RANDOM)
+
+
+def pivots(nodes: DataFrame) -> DataFrame:
+    """nodes (column fp, distinct) with their pivot tables, stored: near (64 bytes) and far (REFERENCES bytes in longs)."""
+    ship(nodes.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            near, far = pivot_tables(batch.column("fp").to_numpy().view(np.uint64))
+            binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(64)), pa.py_buffer(np.ascontiguousarray(near))])
+            longs = np.ascontiguousarray(far).view(np.int64).reshape(n, -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, binary, *(pa.array(longs[:, i]) for i in range(longs.shape[1]))], [*batch.schema.names, "near", *_FAR])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields)
+    return scratch.stored(nodes.mapInArrow(run, f"{fields}, near binary, " + ", ".join(f"{x} long" for x in _FAR)), "pivots")
+
+
+_FAR = [f"far{i}" for i in range(REFERENCES // 8)]
+
+
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, least node of its component) of the links u-v, for all nodes but the least ones."""
     nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -199,15 +226,14 @@ def _large_cell(fp: np.ndarray, table: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of the links between rows of the same cell; rows come sorted by cell."""
+def _cell_links(cell: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the links between rows of the same cell, by their pivot tables; rows come sorted by cell."""
     edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
     size = np.diff(edge)
     keep = np.repeat(size > 1, size)
-    fp, size = fp[keep], size[size > 1]
+    fp, table, size = fp[keep], table[keep].astype(np.int16), size[size > 1]
     if not len(size):
         return fp[:0], fp[:0]
-    table = np.bitwise_count(fp[:, None] ^ _REFERENCES).astype(np.int16)
     label = np.arange(len(fp))
     begin = np.cumsum(size) - size
     small = size <= 48
@@ -222,50 +248,46 @@ def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarr
     return stars(fp[moved], fp[label[moved]])
 
 
-def block_masks(blocks: int, equal: int) -> list[int]:
-    """Bit masks of all choices of equal blocks, as signed longs."""
+def block_keys(blocks: int, equal: int) -> list[Column]:
+    """For each choice of equal blocks a hash of the coordinates of near in them."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    block = [((1 << b) - (1 << a)) for a, b in zip(edges[:-1], edges[1:])]
-    return [x - (1 << 64) if (x := sum(c)) >> 63 else x for c in combinations(block, equal)]
+    block = [F.substring("near", a + 1, b - a) for a, b in zip(edges[:-1], edges[1:])]
+    return [F.xxhash64(F.lit(i), *c) for i, c in enumerate(combinations(block, equal))]
 
 
-def links(nodes: DataFrame, radius: int = 3, blocks: int = 5, equal: int = 2) -> DataFrame:
-    """Stars (a, b) that connect fingerprints (column fp, distinct) within radius.
+def links(tables: DataFrame, radius: int = 3, blocks: int = 5, equal: int = 2) -> DataFrame:
+    """Stars (a, b) that connect fingerprints within radius, from their stored pivot tables (pivots).
 
     Complete if blocks - radius >= equal; with fewer spare blocks, links whose
     differing bits touch too many blocks are missed.
     """
-    fp = F.col("fp")
-    keys = F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(blocks, equal))])
-    keyed = nodes.select("fp", F.explode(keys).alias("key"))
+    keyed = tables.select("fp", *_FAR, F.explode(F.array(*block_keys(blocks, equal))).alias("key"))
     hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).select("key", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), parts).cast("int")
-    dealt = keyed.join(hot, "key", "left").select("fp", "key", "parts", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = keyed.join(hot, "key", "left").select("fp", *_FAR, "key", "parts", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     cell = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-    met = dealt.select(cell.alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell")
+    met = dealt.select(cell.alias("cell"), "fp", *_FAR).repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, fps = [], []
+        held: list[np.ndarray] = []
 
         def out(stop: int | None) -> Iterator[pa.RecordBatch]:
-            cell, fp = np.concatenate(cells), np.concatenate(fps)
-            stop = len(cell) if stop is None else stop
-            a, b = _cell_links(cell[:stop], fp[:stop], radius)
-            cells[:], fps[:] = [cell[stop:]], [fp[stop:]]
+            rows = np.concatenate(held)
+            part, held[:] = rows[:stop], [rows[stop:]] if stop else []
+            table = np.ascontiguousarray(part[:, 2:]).view(np.uint8).reshape(len(part), REFERENCES)
+            a, b = _cell_links(part[:, 0], part[:, 1].view(np.uint64), table, radius)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
-                cells.append(batch.column(0).to_numpy())
-                fps.append(batch.column(1).to_numpy().view(np.uint64))
-                if sum(map(len, cells)) >= 200_000:
-                    cell = np.concatenate(cells)
-                    last = int(np.searchsorted(cell, cell[-1]))
-                    if last:
+                held.append(np.column_stack([c.to_numpy() for c in batch.columns]))
+                if sum(map(len, held)) >= 200_000:
+                    cell = np.concatenate([x[:, 0] for x in held])
+                    if last := int(np.searchsorted(cell, cell[-1])):
                         yield from out(last)
-        if cells:
+        if held:
             yield from out(None)
 
     return met.mapInArrow(run, "a long, b long")
@@ -286,18 +308,24 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
         files = -(-mark[0] // LINKS_A_FILE)
-        now = scratch.stored(small.select("x.*").where("a <> b").distinct().coalesce(files), "edges")
+        older, now = now, scratch.stored(small.select("x.*").where("a <> b").distinct().coalesce(files), "edges")
+        scratch.release(older)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 5, equal: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the least id that links reach), one row per document."""
     own = scratch.stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    star = components(links(nodes.select("fp"), radius, blocks, equal))
+    nodes = pivots(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    star = components(links(nodes, radius, blocks, equal))
     linked = star.select(F.col("a").alias("fp"), F.col("b").alias("top")).union(star.select("b", "b").distinct())
     tops = linked.join(nodes, "fp").groupBy("top").agg(F.min("least").alias("component"))
     known = nodes.join(linked.join(tops, "top").select("fp", "component"), "fp", "left")
-    return own.join(known.select("fp", F.coalesce("component", "least").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+    known = scratch.stored(known.select("fp", "n", F.coalesce("component", "least").alias("component_id")), "components")
+    # fewer than 10,000 fingerprints can have more than a ten-thousandth of the rows each: those are broadcast, so that no task gets a hot one
+    most = max(CELL, own.count() // 10_000)
+    hot = F.broadcast(known.where(F.col("n") > most).drop("n"))
+    found = own.join(hot, "fp").unionByName(own.join(hot, "fp", "left_anti").join(known.where(F.col("n") <= most).drop("n"), "fp"))
+    return found.select("doc_id", "fp", "component_id")
 
 
 def _shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, pa.Array]]:
@@ -465,25 +493,25 @@ def covered(sets: DataFrame, similarity: float) -> DataFrame:
     return gone
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 10, blocks: int = 8, equal: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 3, blocks: int = 5, equal: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near copies: one document of each group stays, with the least id.
 
     Groups of candidates are the components of two kinds of links: SimHash
-    fingerprints (of 3-word shingles) within radius, of which two blocks of
-    eight must agree, and texts with an equal band key of their word shingles.
-    The latter miss a pair of similarity 0.8 with 3 in a million, whatever the
-    edit or the length, and a closer one more rarely.  In a group, documents
-    come by id, and one goes if its set of word shingles has a Jaccard
-    similarity of at least similarity to that of one before it that stays; so
-    no document goes without a verified near copy that stays, whatever the size
-    of the group (covered).  Equal texts count as one; of repeated rows one stays; a null id
-    counts as the largest.
+    fingerprints (of 3-word shingles) within radius, and texts with an equal
+    band key of their word shingles.  The latter miss a pair of similarity 0.8
+    with 3 in a million, whatever the edit or the length, and a closer one more
+    rarely.  In a group, documents come by id, and one goes if its set of word
+    shingles has a Jaccard similarity of at least similarity to that of one
+    before it that stays; so no document goes without a verified near copy that
+    stays, whatever the size of the group (covered).  Equal texts count as one;
+    of repeated rows one stays; a null id counts as the largest.
     """
-    last = F.lit(2**63 - 1)
-    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    own = scratch.stored(sketches(docs, shingle, key, id_col, text_col), "fingerprints")
+    names, last = docs.columns, F.lit(2**63 - 1)
+    docs, (ident, body) = scratch.numbered(docs, id_col, text_col)
+    key = F.md5(F.coalesce(F.col(body), F.lit("")))
+    own = scratch.stored(sketches(docs, shingle, key, ident, body), "fingerprints")
     texts = own.groupBy("_text_key", "fp").agg(F.min("doc_id").alias("least"))
-    star = components(links(texts.select("fp").distinct(), radius, blocks, equal).union(band_links(own)))
+    star = components(links(pivots(texts.select("fp").distinct()), radius, blocks, equal).union(band_links(own)))
     linked = star.select(F.col("a").alias("fp"), F.col("b").alias("top")).union(star.select("b", "b").distinct())
     alike = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("fp")
     linked = linked.union(alike.join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("top")))
@@ -495,16 +523,16 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radi
                 part = batch.slice(row, n)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], sets], ["key", "top", "least", "sets"])
 
-    told = docs.select(F.col(text_col).alias("_text"), F.coalesce(F.col(id_col), last).alias("_id"), key.alias("_key"))
+    told = docs.select(F.col(body).alias("_text"), F.coalesce(F.col(ident), last).alias("_id"), key.alias("_key"))
     one = told.join(grouped, (told["_key"] == grouped["_text_key"]) & (told["_id"] == grouped["least"]))
     sets = scratch.stored(one.select("_text", "_text_key", "top", "least").mapInArrow(run, "key string, top long, least long, sets array<long>"), "sets")
     gone = covered(sets, similarity)
     stay = texts.join(gone, "_text_key", "left_anti").select(F.col("_text_key").alias("_k"), F.col("least").alias("_l"))
     keyed = docs.withColumn("_key", key)
-    kept = keyed.join(stay, (keyed["_key"] == stay["_k"]) & keyed[id_col].eqNullSafe(stay["_l"])).select(keyed["*"])
+    kept = keyed.join(stay, (keyed["_key"] == stay["_k"]) & keyed[ident].eqNullSafe(stay["_l"])).select(keyed["*"])
     if own.groupBy("doc_id", "_text_key").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, "_key"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates([ident, "_key"])
+    return kept.select(*docs.columns).toDF(*names)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
