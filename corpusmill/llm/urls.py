@@ -2,12 +2,14 @@
 
 A list of canonical URLs (of any size) and a list of rules (host, path prefix,
 verdict) are entries under one kind of key: host and path, written together.
-Every distinct URL is expanded to the keys under which an entry could fit it.
-A blocked Bloom filter of all entries' keys, one 64-bit block a row with four
-bits a key, passes the possible hits; an exact hash join with the entries
-removes the false positives.  The filter's size follows from the number of
-entries and is checked: up to BROADCAST_BYTES it is broadcast, beyond it is
-joined by its block number.
+A URL is expanded to the keys under which an entry could fit it.  A blocked
+Bloom filter of all entries' keys, four bits of a 64-bit block a key, passes the
+possible hits; an exact hash join with the entries removes the false positives.
+The filter is a subquery's array of BLOOM_BYTES at most (with a longer list it
+only passes more).  The entries are broadcast if they are measured to take
+BROADCAST_BYTES at most, else joined by key.  What a page's keys have found is
+combined by page: map-side first, so one narrow row a page is shuffled, once,
+and no URL is a key of a shuffle.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; path: from there up to ``?``, ``#`` or the end.  A rule fits its
@@ -28,7 +30,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to this size a side of a join is broadcast.
+#: The Bloom filter's size at most.
+BLOOM_BYTES = 4 << 20
+#: Up to this measured size the entries are broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Rules are a parameter, not a table.
 MOST_RULES = 100_000
@@ -73,13 +77,11 @@ def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks))
 
 
-def _sized(df: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
-    """(block, bits) of the column key."""
-    return keys.select(_block(F.col("key"), blocks).alias("block"), _bits(F.col("key")).alias("own")).groupBy("block").agg(F.bit_or("own").alias("bits"))
+    """One row: the array of blocks that hold the bits of the column key."""
+    held = keys.select(_block(F.col("key"), blocks).alias("block"), _bits(F.col("key")).alias("own")).groupBy("block").agg(F.bit_or("own").alias("bits"))
+    every = keys.sparkSession.range(blocks).join(held, F.col("id") == F.col("block"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -90,35 +92,35 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
     spark = pages.sparkSession
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    urls = own.groupBy("url").agg(F.lit(1).alias("_")).select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = [(host + path, host, path, verdict) for verdict, host, path in sorted(set(rules))]
-    of_rules = spark.createDataFrame(rows, "key string, rule_host string, rule_path string, rule_verdict string")
-    of_list = listed.select("key").where("key is not null").distinct()
-    keys = of_rules.select("key").union(of_list).distinct()
-    count = keys.count()
-    blocks = max(1, -(-count * 16 // 64))
+    own = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    own = own.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "path")})
+    # a rule's number grows with its right of way
+    ordered = sorted({(len(host + path), len(host), host + path, verdict, path != "") for verdict, host, path in rules})
+    of_rules = spark.createDataFrame([(key, verdict, n, below) for n, (_, _, key, verdict, below) in enumerate(ordered)], "key string, rule_verdict string, number int, below boolean")
+    of_list = listed.select("key").where("key is not null").distinct().select("key", F.lit(None).cast("int").alias("number"), F.lit(False).alias("below"), F.lit(True).alias("in_list"))
+    entries = of_rules.select("key", "number", "below", F.lit(False).alias("in_list")).union(of_list)
+    count, size = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key") + 64), F.lit(0))).first()
+    blocks = max(1, min(-(-count * 16 // 64), BLOOM_BYTES // 8))
+    bits = bloom_filter(entries.select("key"), blocks).scalar()
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(F.lit(0), *[F.lit(n) for n in sorted({len(path) for _, _, path in rules})]), lambda n: (n > 0) & (n <= F.length("path")))
-    of_prefix = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda n: F.concat(s, F.substr(F.col("path"), F.lit(1), n)))))
+    suffixes = F.when(F.col("host") != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
+    lengths = F.filter(F.array(*[F.lit(n) for n in sorted({len(path) for _, _, path in rules})]).cast("array<int>"), lambda n: n <= F.length("path"))
+    of_prefix = F.flatten(F.transform(suffixes, lambda s: F.transform(lengths, lambda n: F.concat(s, F.substr(F.col("path"), F.lit(1), n)))))
     sites = F.transform(suffixes, lambda s: F.concat(s, F.lit("/")))
-    probes = urls.where("host <> ''").select("url", F.explode(F.array_distinct(F.concat(of_prefix, sites, F.array(canonical(F.col("host"), F.col("path")))))).alias("key"))
-    filtered = probes.withColumn("block", _block(F.col("key"), blocks)).join(_sized(bloom_filter(keys, blocks), blocks * 16), "block")
-    possible = filtered.where(F.col("bits").bitwiseAND(_bits(F.col("key"))) == _bits(F.col("key"))).select("url", "key")
-    # 400 bytes an entry: a mean URL of 300 bytes and the rest of the row
-    entries = of_rules.withColumn("in_list", F.lit(False)).unionByName(of_list.withColumn("in_list", F.lit(True)), allowMissingColumns=True)
-    hits = possible.join(_sized(entries, count * 400), "key")
+    whole = F.array(F.when(F.col("host") != "", canonical(F.col("host"), F.col("path"))))
+    # every page keeps one row without a key
+    probes = own.withColumn("key", F.explode(F.array_distinct(F.concat(of_prefix, sites, whole, F.array(F.lit(None).cast("string"))))))
+    own_bits = _bits(F.col("key"))
+    possible = probes.where(F.col("key").isNull() | (F.get(bits, _block(F.col("key"), blocks).cast("int")).bitwiseAND(own_bits) == own_bits))
+    if size <= BROADCAST_BYTES:
+        met = possible.join(F.broadcast(entries), "key", "left")
+    else:  # pages without a key have one of their own, so that no task gets them all
+        met = possible.withColumn("key", F.coalesce("key", F.concat(F.lit("\0"), F.col("row").cast("string")))).join(entries, "key", "left")
     # a site's key also stands for a rule with path "/": such a rule needs a path
-    hits = hits.withColumn("with_path", path_of(F.col("url")) != "")
-    order = F.struct(F.length("key"), F.length("rule_host"), "key")
-    fits = F.col("rule_verdict").isNotNull() & F.col("with_path")
-    best = F.max(F.when(fits, F.struct(order.alias("order"), F.col("key").alias("rule"), F.col("rule_verdict").alias("verdict"))))
-    verdicts = hits.groupBy("url").agg(best.alias("best"), F.bool_or("in_list").alias("found"))
-    told = urls.join(verdicts, "url", "left").select("url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("found", F.lit(False)).alias("listed"), F.col("best.verdict").alias("v"))
-    method = F.when(F.coalesce("listed", F.lit(False)), "block").otherwise("allow")
-    full = own.join(told, "url", "left")
-    return full.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("v", method).alias("verdict"))
+    fits = F.when(~F.col("below") | (F.col("path") != ""), F.col("number"))
+    told = met.groupBy("row", "page_id", "host", "path").agg(F.max(fits).alias("number"), F.max(F.coalesce("in_list", F.lit(False)).cast("int")).alias("found"))
+    told = told.join(F.broadcast(of_rules.withColumnRenamed("key", "rule")), "number", "left")
+    return told.select("page_id", "host", "path", "rule", (F.col("found") == 1).alias("listed"), F.coalesce("rule_verdict", F.when(F.col("found") == 1, "block").otherwise("allow")).alias("verdict"))
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
