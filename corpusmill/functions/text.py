@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: The punctuation that the Indic word splitter sets apart (ASCII's but the backslash, dandas and script marks).
 INDIC_MARKS = r"""([!"#$%&'()*+,\-./:;<=>?@\[\]^_`{|}~\x{964}\x{965}\x{aaf1}\x{aaf0}\x{abeb}\x{abec}\x{abed}\x{abee}\x{abef}\x{1c7e}\x{1c7f}])"""
+#: The marks that character scoring sets apart from a word, and the words and marks of the quality signals.
 ASCII_MARK = r"[!-/:-@\[-`{-~]"
 QE_TOKEN = r"(?U)[\p{L}\p{N}]+(?:[-'/][\p{L}\p{N}]+)*|[^\s\x1c-\x1f\p{L}\p{N}_]"
 
@@ -62,7 +63,7 @@ def indic_tokens(s: Column) -> Column:
 
 
 def tokens_13a(s: Column) -> Column:
-    """The 13a tokenisation of machine-translation scoring, lower-cased."""
+    """The 13a tokenisation of machine-translation scoring, lower-cased. Its patterns and their order."""
     out = F.lower(F.regexp_replace(F.replace(F.replace(s, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit("")), "\n", " "))
     for mark, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         out = F.replace(out, F.lit(mark), F.lit(char))

@@ -61,7 +61,8 @@ def top_candidates(lexicon: DataFrame, k: int = 3, least_bp: int = 5000) -> Data
 
 def clean_candidates(df: DataFrame, target: str, probability: Column) -> DataFrame:
     """Blank targets and probabilities that aren't numbers go; the rest are clipped to 0..1, in 1/10000, floored."""
-    p = F.floor(10000 * F.least(F.greatest(probability.try_cast("double"), F.lit(0.0)), F.lit(1.0))).cast("long")
+    number = probability.try_cast("double")
+    p = F.when(number.isNotNull(), F.floor(10000 * F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))).cast("long")
     name = T.trim_space(F.col(target))
     return df.withColumn("target", name).withColumn("p_bp", p).where((F.col("target") != "") & F.col("p_bp").isNotNull())
 
@@ -72,6 +73,11 @@ def percent(p_bp: Column) -> Column:
     return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
 
 
+#: The texts of a training prompt, around the language's name.
+PROMPT_HEAD = ("Translate the following segment into ", ", without additional explanation.\n\n")
+HINT_HEAD = ("Helpful ", " vocabulary for words in this sentence:\n")
+
+
 def instructions(pairs: DataFrame, candidates: DataFrame, language: str) -> DataFrame:
     """(pair_id, n_hints, instruction): the request, a block of vocabulary hints in the order of the words, the sentence."""
     shown = candidates.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat("target", F.lit(" ("), percent(F.col("p_bp")), F.lit(")")).alias("s")))).alias("c"))
@@ -79,15 +85,15 @@ def instructions(pairs: DataFrame, candidates: DataFrame, language: str) -> Data
     tokens = pairs.select("pair_id", F.posexplode(T.unique_tokens(F.col("english"))).alias("pos", "word"))
     # a sentence's words only, so the lists are bounded by a sentence
     lines = tokens.join(shown, "word").groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("- "), "word", F.lit(": "), "shown").alias("s")))).alias("lines"))
-    block = F.concat(F.lit(f"Helpful {language} vocabulary for words in this sentence:\n"), F.array_join(F.col("lines.s"), "\n"), F.lit("\n\n"))
-    head = f"Translate the following segment into {language}, without additional explanation.\n\n"
+    block = F.concat(F.lit(language.join(HINT_HEAD)), F.array_join(F.col("lines.s"), "\n"), F.lit("\n\n"))
+    head = language.join(PROMPT_HEAD)
     joined = pairs.join(lines, "pair_id", "left")
     return joined.select("pair_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_hints"), F.concat(F.lit(head), F.when(F.col("lines").isNotNull(), block).otherwise(""), "english").alias("instruction"))
 
 
 def hash_order(df: DataFrame, key: Column, seed: str = "42") -> DataFrame:
-    """Adds place: the 1-based rank by md5 of seed and key. Ranks are counted in 4096 buckets of the hash and offset by the buckets before, so no task sorts all rows."""
-    h = F.md5(F.concat(F.lit(seed + "|"), key.cast("string")))
+    """Adds place: the 1-based rank by md5 of seed and key, null keys first. Ranks are counted in 4096 buckets of the hash and offset by the buckets before, so no task sorts all rows."""
+    h = F.coalesce(F.md5(F.concat(F.lit(seed + "|"), key.cast("string"))), F.lit(""))
     df = df.withColumn("_h", h).withColumn("_b", F.substr(h, F.lit(1), F.lit(3)))
     counts = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # at most 4096 rows
     before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
@@ -121,10 +127,10 @@ def last_of(df: DataFrame, key: str, place: str) -> DataFrame:
 
 
 def placed(df: DataFrame, key: str) -> DataFrame:
-    """Adds place: the 1-based rank by an integer key. Ranks are counted in 4096 ranges of the key and offset by the ranges before, so no task sorts all rows unless a range holds them all."""
+    """Adds place: the 1-based rank by an integer key, null keys first. Ranks are counted in 4096 ranges of the key and offset by the ranges before, so no task sorts all rows unless a range holds them all."""
     ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))  # one row
     df = df.join(F.broadcast(ends), F.lit(True))
-    df = df.withColumn("_b", F.floor((F.col(key) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * 4096))
+    df = df.withColumn("_b", F.coalesce(F.floor((F.col(key) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * 4096), F.lit(-1)))
     counts = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # at most 4096 rows
     before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("_b", F.coalesce(before, F.lit(0)).alias("_before"))

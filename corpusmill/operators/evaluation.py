@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 
@@ -50,23 +49,49 @@ def quality_signals(df: DataFrame, hyp: str, src: str) -> DataFrame:
     return df.select(*keep, *[v.alias(k) for k, v in out.items()])
 
 
+def repeat_at(tokens: Column, n: int = 3, collapse: bool = False) -> Column:
+    """The 0-based token at which an n-gram first ends for the second time, or null; with collapse, immediate duplicates neither count as tokens nor end n-grams."""
+
+    def first(t) -> int | None:
+        kept, seen = 0, set()
+        for i in range(len(t)):
+            if collapse and i and t[i] == t[i - 1]:
+                continue
+            if i >= n - 1:
+                before = len(seen)
+                seen.add(tuple(t[i - n + 1 : i + 1]))
+                if len(seen) == before:
+                    return kept
+            kept += 1
+        return None
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else first(t) for t in texts], dtype="Int64")
+
+    return run(tokens)
+
+
 def first_repeat(df: DataFrame, key: str, tokens: str, n: int = 3) -> DataFrame:
-    """(key, repeat_at): the 0-based token at which an n-gram first ends for the second time; texts without one are left out."""
-    grams = df.select(key, F.posexplode(T.ngrams(F.col(tokens), n, "\x01")).alias("pos", "gram"))
-    second = grams.withColumn("k", F.row_number().over(Window.partitionBy(key, "gram").orderBy("pos"))).where("k = 2")
-    return second.groupBy(key).agg((F.min("pos") + (n - 1)).cast("long").alias("repeat_at"))
+    """(key, repeat_at) of the texts that repeat an n-gram."""
+    return df.select(key, repeat_at(F.col(tokens), n).alias("repeat_at")).where("repeat_at is not null")
 
 
-def decode_fix(df: DataFrame, key: str, text: str, ref_len: Column | None = None, n: int = 3, mult: float = 2.0, cap: int = 64, pad: int = 8) -> DataFrame:
-    """Adds fixed and changed: a text is cut at its first repeated n-gram or at the length cap, whichever comes first; others stay byte-identical."""
-    df = df.withColumn("_t", T.indic_tokens(F.col(text)))
-    size = F.size("_t") if ref_len is None else ref_len
+def decode_fix(df: DataFrame, text: str, ref_len: Column | None = None, n: int = 3, mult: float = 2.0, cap: int = 64, pad: int = 8, collapse: bool = False) -> DataFrame:
+    """Adds fixed and changed: a text is cut at its first repeated n-gram or at the length cap, whichever comes first; others stay byte-identical.
+
+    With collapse, immediate duplicates go in the same pass: the cap is on what
+    is kept, repeated n-grams are those of the whole text.
+    """
+    df = df.withColumn("_all", T.indic_tokens(F.col(text)))
+    df = df.withColumn("_t", F.filter("_all", lambda w, i: (i == 0) | (w != F.try_element_at("_all", i))) if collapse else F.col("_all"))
+    size = F.size("_all") if ref_len is None else ref_len
     limit = F.floor(F.least(F.lit(float(cap)), F.greatest(size * mult, (size + pad).cast("double")))).cast("long")
-    df = df.join(first_repeat(df, key, "_t", n), key, "left").withColumn("_cap", limit)
-    stop = F.least(F.coalesce("repeat_at", F.lit(2**31 - 1)), F.col("_cap"))
-    cut = stop < F.size("_t")
-    fixed = F.when(cut, F.array_join(F.slice("_t", F.lit(1), stop.cast("int")), " ")).otherwise(F.col(text))
-    return df.withColumn("fixed", fixed).withColumn("changed", cut).drop("_t", "_cap", "repeat_at")
+    stop = F.least(F.coalesce(repeat_at(F.col("_all"), n, collapse), F.lit(2**31 - 1)), limit, F.size("_t").cast("long"))
+    df = df.withColumn("_stop", stop)
+    cut = F.col("_stop") < F.size("_all")
+    fixed = F.when(cut, F.array_join(F.slice("_t", F.lit(1), F.col("_stop").cast("int")), " ")).otherwise(F.col(text))
+    return df.withColumn("fixed", fixed).withColumn("changed", cut).drop("_all", "_t", "_stop")
 
 
 def collapse_fix(df: DataFrame, text: str) -> DataFrame:
@@ -83,16 +108,62 @@ def take_shorter(a: DataFrame, b: DataFrame, key: str, text: str) -> DataFrame:
     return met.select(key, F.when(first, F.col("a")).otherwise(F.col("b")).alias("chosen"), first.alias("from_first"))
 
 
-def clipped_matches(df: DataFrame, key: str, hyp: Callable[[int], Column], ref: Callable[[int], Column], orders: range, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, n, matches, hyp_total, ref_total) over the corpus: n-gram counts of each segment, clipped by the reference's, summed."""
-    none = F.array().cast("array<string>")
-    marked = lambda n, side, grams: F.transform(F.coalesce(grams, none), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram")))
-    # one pass over the segments makes the n-grams of both sides and of all orders
-    grams = F.concat(*[marked(n, side, of(n)) for n in orders for side, of in ((0, hyp), (1, ref))])
-    out = df.select(*by, key, F.inline(grams))
-    h, r = F.sum(1 - F.col("side")), F.sum("side")
-    counts = out.groupBy(*by, key, "n", "gram").agg(h.alias("h"), r.alias("r"))
-    return counts.groupBy(*by, "n").agg(F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("hyp_total"), F.sum("r").alias("ref_total"))
+def _grams(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each token among all, tokens of each list)."""
+    size = np.array([len(x) for x in lists], np.int64)
+    flat = np.concatenate(lists) if size.sum() else np.zeros(0, np.int64)
+    return pd.factorize(flat)[0].astype(np.int64), size
+
+
+def _clipped(hyp: list[np.ndarray], ref: list[np.ndarray], orders: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order (matches, n-grams of the output, of the reference) of every segment of a batch."""
+    n_seg = len(hyp)
+    codes, size = _grams([*hyp, *ref])
+    of = np.repeat(np.arange(2 * n_seg), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))  # tokens from here to the list's end
+    grams, out = codes, []
+    for n in range(1, orders + 1):
+        at = np.flatnonzero(left >= n)
+        if n > 1:  # an n-gram is the one before it and one more token
+            longer = np.zeros(len(codes), np.int64)
+            longer[at] = pd.factorize(grams[at] * (codes.max(initial=0) + 1) + codes[at + n - 1])[0]
+            grams = longer
+        wide = int(grams.max(initial=0)) + 1
+        sides = [np.unique(of[x] % n_seg * wide + grams[x], return_counts=True) for x in (at[of[at] < n_seg], at[of[at] >= n_seg])]
+        both, i, j = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
+        matches = np.bincount(both // wide, np.minimum(sides[0][1][i], sides[1][1][j]), n_seg).astype(np.int64)
+        total = np.maximum(size - n + 1, 0)
+        out.append((matches, total[:n_seg], total[n_seg:]))
+    return out
+
+
+def clipped_matches(df: DataFrame, parts: list[tuple[str, str, int]], by: tuple[str, ...] = (), guarded: bool = False) -> DataFrame:
+    """(*by, n, matches, hyp_total, ref_total) over the corpus: n-gram counts of each segment, clipped by the reference's, summed.
+
+    parts names the columns of output and reference (token lists, or texts, of
+    which characters count) and how many orders; n goes on from one part to the
+    next.  guarded: a segment's order counts only if its reference has it.
+    Clipping never leaves a segment, so all is counted in the batch that holds
+    it and a few numbers a segment are summed.
+    """
+    columns = list(dict.fromkeys(c for h, r, _ in parts for c in (h, r)))
+
+    def listed(x) -> np.ndarray:
+        if x is None:
+            return np.zeros(0, object)
+        return np.array(list(x) if isinstance(x, str) else x, object)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            number, group = 0, {c: frame[c].to_numpy() for c in by}
+            for h, r, orders in parts:
+                for matches, hyp, ref in _clipped([listed(x) for x in frame[h]], [listed(x) for x in frame[r]], orders) if len(frame) else []:
+                    number += 1
+                    yield pd.DataFrame(group | {"n": np.full(len(frame), number, np.int32), "matches": matches, "hyp_total": np.where(ref > 0, hyp, 0) if guarded else hyp, "ref_total": ref})
+
+    fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    counts = df.select(*by, *columns).mapInPandas(run, fields + "n int, matches long, hyp_total long, ref_total long")
+    return counts.groupBy(*by, "n").agg(*[F.sum(c).alias(c) for c in ("matches", "hyp_total", "ref_total")]).where("hyp_total + ref_total > 0")
 
 
 def bleu(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -113,20 +184,12 @@ def bleu_parts(stats: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(size), F.lit(True)).select("n", whole(F.col("matches") / F.col("hyp_total")).alias("precision_e4"), whole(brevity).alias("bp_e4"), whole(F.col("c") / F.col("r")).alias("len_ratio_e4"))
 
 
-def chrf_stats(df: DataFrame, key: str, hyp: str, ref: str, words: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+def chrf_stats(df: DataFrame, hyp: str, ref: str, words: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """clipped_matches of character orders 1 to 6 and, as orders 7 on, of word orders 1 to words; a segment's order counts only if its reference has it."""
-
-    chars = lambda c: F.split(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), T.SPACE, ""), "")
-    df = df.select(*by, key, *[chars(c).alias(f"_{side}c") for side, c in (("h", hyp), ("r", ref))], *[T.words_and_marks(F.coalesce(F.col(c), F.lit(""))).alias(f"_{side}w") for side, c in (("h", hyp), ("r", ref))])
-    df = df.withColumns({c: F.filter(c, lambda x: x != "") for c in ("_hc", "_rc")})
-
-    def grams(side: str, n: int) -> Column:
-        return T.ngrams(F.col(f"_{side}c"), n, "") if n <= 6 else T.ngrams(F.col(f"_{side}w"), n - 6)
-
-    def guarded(n: int) -> Column:
-        return F.when(F.size("_rc") >= n if n <= 6 else F.size("_rw") >= n - 6, grams("h", n))
-
-    return clipped_matches(df, key, guarded, lambda n: grams("r", n), range(1, 7 + words), by)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    sides = [("_h", text(hyp)), ("_r", text(ref))]
+    df = df.select(*by, *[F.regexp_replace(t, T.SPACE, "").alias(s + "c") for s, t in sides], *[T.words_and_marks(t).alias(s + "w") for s, t in sides])
+    return clipped_matches(df, [("_hc", "_rc", 6)] + ([("_hw", "_rw", words)] if words else []), by, guarded=True)
 
 
 def chrf(stats: DataFrame, beta: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:

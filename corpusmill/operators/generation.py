@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import text as T
+from ..sources import working
 from . import corpus
 
 
@@ -47,81 +51,101 @@ def chat_prompt(*fields: str, record: str) -> Column:
     return F.coalesce(*[F.col(f) for f in fields], F.col(record).cast("string"))
 
 
-def ask_once(send: Callable[[str], tuple[str, str]], prompt: str, tries: int = 3) -> tuple[dict | None, str]:
-    """(object, status) of one call: send returns a status (ok, blocked or anything else for a failure) and a text. Failures and replies that aren't JSON are tried again; a blocked prompt isn't."""
-    tag = "neterr"
-    for _ in range(tries):
-        status, text = send(prompt)
-        if status == "blocked":
-            return None, "blocked"
-        if status == "ok":
-            try:
-                return json.loads(text), "ok"
-            except ValueError:
-                tag = "parse_err"
-        else:
-            tag = "neterr"
-    return None, tag
-
-
-def merged_candidates(replies: list[dict]) -> list[dict]:
-    """Targets with the highest of their probabilities (clipped to 0..1, 4 digits), best first, ties in the order of appearance; what has no target or number is left out."""
-    best: dict[str, float] = {}
-    for c in (c for r in replies for c in (r.get("candidates") or []) if isinstance(c, dict)):
-        try:
-            name, p = str(c["target"] if c["target"] is not None else "").strip(), min(max(float(c["probability"]), 0.0), 1.0)
-        except (KeyError, TypeError, ValueError):
-            continue
-        if name:
-            best[name] = max(best.get(name, 0.0), p)
-    return sorted(({"target": t, "probability": round(p, 4)} for t, p in best.items()), key=lambda c: -c["probability"])
-
-
-def word_prompt(word: str, language: str, pairs: list[tuple[str, str]]) -> str:
-    lines = "\n".join(f"{i}. EN: {e}\n   {language}: {t}" for i, (e, t) in enumerate(pairs, 1))
-    return f'Which {language} words translate "{word}" in these sentences?\n{lines}\nAnswer with JSON: {{"word": "{word}", "candidates": [{{"target": "...", "probability": 0.0}}]}}'
-
-
-def recover_words(index: DataFrame, pairs: DataFrame, send: Callable[[str], tuple[str, str]], language: str, k: int = 10, rounds: int = 8) -> DataFrame:
-    """(word, samples_used, total_pairs, candidates, n_ok, n_blocked, n_failed) of every word of index (word, pair_id).
+#: What a call came to.
+OK, BLOCKED, NETWORK, UNPARSED = "ok", "blocked", "neterr", "parse_err"
+REPLY = "struct<candidates:array<struct<target:string,probability:string>>>"
+
+
+def calls(df: DataFrame, key: str, prompt: str, send: Callable[[str], tuple[str, str]], tries: int = 3, wait: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(key, reply, status) of one call a row: send returns a status (ok, blocked, throttled or anything else for a failure) and a text.
 
-    First up to rounds samples of k pairs, a seed each and equal samples once,
-    until one succeeds; if none does, the first k pairs one by one.  Samples are
-    windowed top-k rows, so a word brings at most (rounds + 1) * k pairs to a task.
+    Failures and replies that aren't JSON are tried again after wait seconds, twice
+    wait and so on, doubled where the service throttles; a blocked prompt isn't.
     """
-    total = corpus.word_counts(index)
-    few = index.withColumn("_r", F.row_number().over(corpus.Window.partitionBy("word").orderBy("pair_id"))).where(F.col("_r") <= k).select("word", "pair_id", F.lit(rounds).alias("round"))
-    for t in range(rounds):
-        few = few.union(corpus.sample_per_key(index, "word", F.col("pair_id"), k, f"recover-{t}").select("word", "pair_id", F.lit(t)))
+
+    def model(prompts: list[str], attempt: int) -> list[str]:
+        out = []
+        for text in prompts:
+            if attempt and wait:
+                sleep(wait * attempt * (2 if throttled.pop(text, False) else 1))
+            status, reply = send(text)
+            throttled[text] = status == "throttled"
+            out.append(json.dumps([status, reply]))
+        return out
+
+    def settled(_: str, output: str) -> bool:
+        status, reply = json.loads(output)
+        return status == BLOCKED or (status == OK and parses(reply))
+
+    throttled: dict[str, bool] = {}
+    got = generate(df, key, prompt, model, settled, tries)
+    pair = F.from_json("output", "array<string>")
+    status, reply = F.element_at(pair, 1), F.element_at(pair, 2)
+    said = F.when(status == BLOCKED, BLOCKED).when(F.col("status") == "ok", OK).when(status == OK, UNPARSED).otherwise(NETWORK)
+    return got.select(key, F.when(said == OK, reply).alias("reply"), said.alias("status"))
+
+
+def parses(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
+def merge_candidates(replies: DataFrame, key: str, place: str, reply: str) -> DataFrame:
+    """(key, candidates): the targets of a key's replies with the highest of their probabilities (clipped to 0..1, 4 digits), best first, ties by place of the reply and in it; what has no target or number is left out."""
+    each = replies.select(key, F.col(place).alias("_p"), F.posexplode(F.from_json(reply, REPLY)["candidates"]).alias("_i", "_c"))
+    number = F.col("_c.probability").try_cast("double")
+    each = each.where(number.isNotNull()).select(key, "_p", "_i", T.trim_space(F.col("_c.target")).alias("target"), F.round(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)), 4).alias("probability"))
+    best = each.where("target <> '' and not isnan(probability)").groupBy(key, "target").agg(F.max("probability").alias("probability"), F.min(F.struct("_p", "_i")).alias("_at"))
+    # a key has a bounded number of replies
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("probability")).alias("_n"), "_at", "target", "probability")))
+    return best.groupBy(key).agg(F.transform(ordered, lambda c: F.struct(c["target"].alias("target"), c["probability"].alias("probability"))).alias("candidates"))
+
+
+def word_prompts(samples: DataFrame, language: str) -> Column:
+    """The prompt of a word and its pairs (english, target), numbered in their order."""
+    lines = F.transform("pairs", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". EN: "), x["english"], F.lit(f"\n   {language}: "), x["target"]))
+    head = F.concat(F.lit(f'Which {language} words translate "'), F.col("word"), F.lit('" in these sentences?\n'))
+    return F.concat(head, F.array_join(lines, "\n"), F.lit('\nAnswer with JSON: {"word": "'), F.col("word"), F.lit('", "candidates": [{"target": "...", "probability": 0.0}]}'))
+
+
+def word_samples(index: DataFrame, pairs: DataFrame, k: int, rounds: int, language: str) -> DataFrame:
+    """(word, round, place, prompt): for each round below rounds k pairs of a word by a seed of its own, equal samples once; as round rounds the first k pairs one by one."""
+    seeds = F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("round")
+    drawn = F.md5(F.concat(F.lit("recover-"), F.col("round").cast("string"), F.lit("-"), "word", F.lit("|"), F.col("pair_id").cast("string")))
+    order = Window.partitionBy("word", "round").orderBy(F.when(F.col("round") < rounds, drawn), "pair_id")
+    # all rounds are ranked in one pass, a word's rounds by several tasks
+    few = index.select("word", "pair_id", seeds).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     few = few.join(pairs.select("pair_id", "english", "target"), "pair_id")
-    rows = few.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("round", "pair_id", "english", "target"))).alias("rows")).join(total, "word")
+    alone = F.when(F.col("round") == rounds, F.col("rank")).otherwise(0)
+    samples = few.groupBy("word", "round", alone.alias("place")).agg(F.array_sort(F.collect_list(F.struct("pair_id", "english", "target"))).alias("pairs"))
+    ids = F.when(F.col("round") < rounds, F.col("pairs.pair_id")).otherwise(F.array(F.lit(-1).cast("long"), F.col("place").cast("long")))
+    first = samples.groupBy("word", ids.alias("ids")).agg(F.min_by(F.struct("round", "place", "pairs"), "round").alias("s"))
+    return first.select("word", "s.*").select("word", "round", "place", word_prompts(samples, language).alias("prompt"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for word, rows, n in zip(frame["word"], frame["rows"], frame["n_pairs"]):
-                samples: list[list] = [[] for _ in range(rounds + 1)]
-                for r in rows:
-                    samples[r["round"]].append((r["pair_id"], r["english"], r["target"]))
-                replies, tags, seen = [], [], set()
-                for sample in samples[:rounds]:
-                    if (signature := tuple(p for p, _, _ in sample)) in seen:
-                        continue
-                    seen.add(signature)
-                    reply, tag = ask_once(send, word_prompt(word, language, [(e, t) for _, e, t in sample]))
-                    tags.append(tag)
-                    if tag == "ok":
-                        replies.append(reply)
-                        break
-                if not replies:
-                    for _, e, t in samples[rounds]:
-                        reply, tag = ask_once(send, word_prompt(word, language, [(e, t)]))
-                        tags.append(tag)
-                        if tag == "ok":
-                            replies.append(reply)
-                bad = len(tags) - len(replies)
-                blocked = tags.count("blocked")
-                out.append((word, min(k, n), n, merged_candidates([r for r in replies if isinstance(r, dict)]), len(replies), blocked, bad - blocked))
-            yield pd.DataFrame(out, columns=["word", "samples_used", "total_pairs", "candidates", "n_ok", "n_blocked", "n_failed"])
-
-    return rows.mapInPandas(run, "word string, samples_used long, total_pairs long, candidates array<struct<target:string,probability:double>>, n_ok long, n_blocked long, n_failed long")
+
+def recover_words(index: DataFrame, pairs: DataFrame, send: Callable[[str], tuple[str, str]], language: str, k: int = 10, rounds: int = 8, **options) -> DataFrame:
+    """(word, samples_used, total_pairs, candidates, n_ok, n_blocked, n_failed) of every word of index (word, pair_id).
+
+    Round by round, the words without an answer are asked with another sample of
+    k pairs; those that no sample has answered are asked pair by pair.  A round
+    is one table of calls in the working folder; the next one takes the words
+    that are still open, so a call that was answered isn't made again.
+    """
+    asked = working.stored(word_samples(index, pairs, k, rounds, language).withColumn("call", F.concat_ws("|", "word", F.col("round").cast("string"), F.col("place").cast("string"))))
+    made = None
+    for turn in range(rounds + 1):
+        now = asked.where(F.col("round") == turn)
+        if made is not None:
+            now = now.join(made.where(F.col("status") == OK).select("word"), "word", "left_anti")
+        got = working.stored(now.join(calls(now, "call", "prompt", send, **options), "call").select("word", "round", "place", "reply", "status"))
+        made = got if made is None else made.union(got)
+    is_ = lambda *s: F.count_if(F.col("status").isin(*s))
+    counts = made.groupBy("word").agg(is_(OK).alias("n_ok"), is_(BLOCKED).alias("n_blocked"), is_(NETWORK, UNPARSED).alias("n_failed"))
+    found = merge_candidates(made.where(F.col("status") == OK), "word", "place", "reply")
+    out = corpus.word_counts(index).join(counts, "word", "left").join(found, "word", "left")
+    none = F.array().cast(found.schema["candidates"].dataType)
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("word", F.least(F.lit(k), "n_pairs").cast("long").alias("samples_used"), F.col("n_pairs").alias("total_pairs"), F.coalesce("candidates", none).alias("candidates"), n("n_ok"), n("n_blocked"), n("n_failed"))

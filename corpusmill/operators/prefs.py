@@ -38,3 +38,12 @@ def best_rate(grid: DataFrame, fallback: bool = False) -> DataFrame:
     if not fallback:
         return both.select("task", F.col("e.lr").alias("lr"), F.when(F.col("e").isNotNull(), "eval_loss").alias("metric_used"))
     return both.select("task", F.coalesce("e.lr", "t.lr").alias("lr"), F.when(F.col("e").isNotNull(), "eval_loss").when(F.col("t").isNotNull(), "train_loss").alias("metric_used"))
+
+
+def sweep_summary(grid: DataFrame) -> DataFrame:
+    """One row over all tasks: tasks, those with an evaluation, with training only, and with none, and the rate chosen most often (the first by name on a tie)."""
+    best = best_rate(grid, fallback=True)
+    used = F.col("metric_used")
+    counts = best.agg(F.count(F.lit(1)).alias("n_tasks"), F.count_if(used == "eval_loss").alias("n_eval"), F.count_if(used == "train_loss").alias("n_train"), F.count_if(used.isNull()).alias("n_none"))
+    often = best.where("lr is not null").groupBy("lr").agg(F.count(F.lit(1)).alias("k")).agg(F.min(F.struct((-F.col("k")).alias("k"), "lr")).alias("m"))
+    return counts.join(F.broadcast(often), F.lit(True)).select("n_tasks", "n_eval", "n_train", "n_none", F.col("m.lr").alias("lr"))

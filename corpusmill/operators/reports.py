@@ -37,3 +37,31 @@ def counters(df: DataFrame, status: str = "status") -> DataFrame:
 def shown(x: Column, digits: int = 2) -> Column:
     """A number with fixed digits, - for null."""
     return F.when(x.isNull(), "-").otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
+
+
+def nested(df: DataFrame, outer: str, inner: str, measures: list[str]) -> DataFrame:
+    """(outer, report): a JSON object of the inner names, in their order, with their measures; a report has a row a pair of names."""
+    entry = F.to_json(F.struct(*measures), {"ignoreNullFields": "false"})
+    parts = F.array_sort(F.collect_list(F.struct(F.col(inner).cast("string").alias("k"), F.concat(F.lit('"'), F.col(inner).cast("string"), F.lit('":'), entry).alias("v"))))
+    return df.groupBy(outer).agg(F.concat(F.lit("{"), F.array_join(F.transform(parts, lambda x: x["v"]), ","), F.lit("}")).alias("report"))
+
+
+def sizes(spark, paths: list[str]) -> DataFrame:
+    """(path, found, bytes) of files and folders on any file system that Spark reads."""
+    context = spark.sparkContext
+    out = []
+    for path in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(context._jsc.hadoopConfiguration())
+        found = files.exists(at)
+        out.append((path, found, files.getContentSummary(at).getLength() if found else None))
+    return spark.createDataFrame(out, "path string, found boolean, bytes long")
+
+
+def console(df: DataFrame, digits: int = 2) -> str:
+    """A report's rows as lines of aligned columns, numbers with fixed digits and - for null; reports are a few dozen rows."""
+    numbers = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    rows = df.select(*[shown(F.col(c), digits).alias(c) if c in numbers else F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in df.columns]).collect()
+    table = [df.columns, *[list(r) for r in rows]]
+    wide = [max(len(r[i]) for r in table) for i in range(len(df.columns))]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, wide)).rstrip() for r in table)

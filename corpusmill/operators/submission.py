@@ -64,3 +64,9 @@ def shards(df: DataFrame, place: str, n: int) -> DataFrame:
     """Adds shard: contiguous parts of equal size, the last ones shorter."""
     size = df.agg(F.ceil(F.count(F.lit(1)) / n).alias("_size"))
     return df.join(F.broadcast(size), F.lit(True)).withColumn("shard", F.floor((F.col(place) - 1) / F.col("_size")).cast("long")).drop("_size")
+
+
+def models_for(languages: DataFrame, models: DataFrame) -> DataFrame:
+    """(lang, model, skipped) of every language: the last model listed for it, or none and skipped."""
+    last = models.groupBy("lang").agg(F.max_by("model", "place").alias("model"))
+    return languages.select("lang").join(F.broadcast(last), "lang", "left").select("lang", "model", F.col("model").isNull().alias("skipped"))

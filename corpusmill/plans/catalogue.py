@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import ship
 from ..functions import text as T
 from ..operators import corpus, evaluation, generation, prefs, reports, submission
-from ..sources import parallel
+from ..sources import parallel, records, working, xlsx
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -388,12 +388,12 @@ def first_repeat_ngram(t):
 
 @_query(f"WITH {_TURNS}, {_FIX} SELECT id, changed, md5(fixed) AS fixed_md5 FROM fixed")
 def decode_fix(t):
-    return evaluation.decode_fix(_turns(t), "id", "text").select("id", "changed", F.md5("fixed").alias("fixed_md5"))
+    return evaluation.decode_fix(_turns(t), "text").select("id", "changed", F.md5("fixed").alias("fixed_md5"))
 
 
 @_query(f"WITH {_TURNS}, {_FIX} SELECT count(*) AS n, count_if(changed) AS n_changed FROM fixed")
 def decode_fix_changed(t):
-    return evaluation.decode_fix(_turns(t), "id", "text").agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("n_changed"))
+    return evaluation.decode_fix(_turns(t), "text").agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("n_changed"))
 
 
 @_query(f"WITH {_TURNS} SELECT id, md5(CASE WHEN len(list_filter(range(1, len(t) + 1), lambda i: i = 1 OR t[i] <> t[i - 1])) < len(t) THEN array_to_string(list_transform(list_filter(range(1, len(t) + 1), lambda i: i = 1 OR t[i] <> t[i - 1]), lambda i: t[i]), ' ') ELSE text END) AS collapsed_md5 FROM tk")
@@ -416,7 +416,7 @@ def take_shorter(t):
 
 @_query(f"WITH {_PAIR}, {_SHORT}, tk AS (SELECT id, text, {_indic('text')} AS t FROM short), {_FIX} SELECT id AS pair_id, changed, md5(fixed) AS fixed_md5 FROM fixed")
 def take_shorter_fixed(t):
-    return evaluation.decode_fix(_shorter(t), "pair_id", "chosen").select("pair_id", "changed", F.md5("fixed").alias("fixed_md5"))
+    return evaluation.decode_fix(_shorter(t), "chosen").select("pair_id", "changed", F.md5("fixed").alias("fixed_md5"))
 
 
 def _stats_sql(hyp: str, ref: str, orders: range, grams, source: str = "pair", by: str = "", tag: str = "") -> str:
@@ -450,8 +450,8 @@ _CHRF_MEAN = "avg(matches / hyp_total) FILTER (hyp_total > 0 AND ref_total > 0)
 
 
 def _bleu_stats(t, hyp: str = "target", ref: str = "english", tokens=T.tokens_13a) -> DataFrame:
-    p = _pairs(t).select("pair_id", tokens(F.col(hyp)).alias("h"), tokens(F.col(ref)).alias("r"))
-    return evaluation.clipped_matches(p, "pair_id", lambda n: T.ngrams(F.col("h"), n), lambda n: T.ngrams(F.col("r"), n), range(1, 5))
+    p = _pairs(t).select(tokens(F.col(hyp)).alias("h"), tokens(F.col(ref)).alias("r"))
+    return evaluation.clipped_matches(p, [("h", "r", 4)])
 
 
 @_query(f"WITH {_PAIR}, {_BLEU} SELECT * FROM stats")
@@ -474,18 +474,18 @@ def bleu_indic_corpus(t):
 
 @_query(f"WITH {_PAIR}, {_CHRF} SELECT * FROM stats")
 def chrf_stats(t):
-    return evaluation.chrf_stats(_pairs(t), "pair_id", "target", "english")
+    return evaluation.chrf_stats(_pairs(t), "target", "english")
 
 
 @_query(f"WITH {_PAIR}, {_CHRF} SELECT {_CHRF_FORM} FROM (SELECT {_CHRF_MEAN} FROM stats)")
 def chrf_corpus(t):
-    return evaluation.chrf(evaluation.chrf_stats(_pairs(t), "pair_id", "target", "english"))
+    return evaluation.chrf(evaluation.chrf_stats(_pairs(t), "target", "english"))
 
 
 @_query(f"WITH {_PAIR}, {_chrf_sql('target', 'english', 2)} SELECT {_CHRF_FORM} FROM (SELECT {_CHRF_MEAN} FROM stats)")
 def chrf_words_corpus(t):
     """With word orders 1 and 2 beside the characters'."""
-    return evaluation.chrf(evaluation.chrf_stats(_pairs(t), "pair_id", "target", "english", 2))
+    return evaluation.chrf(evaluation.chrf_stats(_pairs(t), "target", "english", 2))
 
 
 @_query(f"WITH {_PAIR}, {_BLEU} SELECT n, CAST(floor(10000 * matches / hyp_total + 0.5) AS BIGINT) AS precision_e4, CAST(floor(10000 * CASE WHEN c > r THEN 1.0 ELSE exp(1.0 - r / c) END + 0.5) AS BIGINT) AS bp_e4, CAST(floor(10000 * c / r + 0.5) AS BIGINT) AS len_ratio_e4 FROM stats, (SELECT hyp_total AS c, ref_total AS r FROM stats WHERE n = 1)")
@@ -499,12 +499,12 @@ _SCORES = f"{_METHODS}, {_stats_sql(_13a('hyp'), _13a('ref'), range(1, 5), lambd
 
 def _method_scores(t) -> DataFrame:
     p = _pairs(t)
-    fixed = evaluation.decode_fix(p, "pair_id", "target")
+    fixed = evaluation.decode_fix(p, "target")
     both = p.select(F.lit("before").alias("method"), "pair_id", F.col("target").alias("hyp"), F.col("english").alias("ref"))
     both = both.union(fixed.select(F.lit("after"), "pair_id", "fixed", "english"))
     tokens = both.select("method", "pair_id", T.tokens_13a(F.col("hyp")).alias("h"), T.tokens_13a(F.col("ref")).alias("r"))
-    words = evaluation.clipped_matches(tokens, "pair_id", lambda n: T.ngrams(F.col("h"), n), lambda n: T.ngrams(F.col("r"), n), range(1, 5), ("method",))
-    chars = evaluation.chrf_stats(both, "pair_id", "hyp", "ref", 2, ("method",))
+    words = evaluation.clipped_matches(tokens, [("h", "r", 4)], ("method",))
+    chars = evaluation.chrf_stats(both, "hyp", "ref", 2, ("method",))
     return evaluation.bleu(words, ("method",)).join(evaluation.chrf(chars, by=("method",)), "method")
 
 
@@ -668,7 +668,15 @@ def run_counters(t):
     return reports.counters(got)
 
 
-@_query()
+_ASKED = """sm AS (SELECT word, t, pair_id, row_number() OVER (PARTITION BY word, t ORDER BY CASE WHEN t < 8 THEN md5('recover-' || CAST(t AS VARCHAR) || '-' || word || '|' || CAST(pair_id AS VARCHAR)) END, pair_id) AS r FROM post, range(9) s(t)),
+sp AS (SELECT word, t, CASE WHEN t = 8 THEN r ELSE 0 END AS place, pair_id, english, target, row_number() OVER (PARTITION BY word, t, CASE WHEN t = 8 THEN r ELSE 0 END ORDER BY pair_id) AS line FROM sm JOIN pair USING (pair_id) WHERE r <= 10),
+st AS (SELECT word, t, place, list(pair_id ORDER BY pair_id) AS ids, string_agg(CAST(line AS VARCHAR) || '. EN: ' || english || chr(10) || '   Target: ' || target, chr(10) ORDER BY line) AS lines FROM sp GROUP BY word, t, place),
+one AS (SELECT * FROM st QUALIFY t = 8 OR row_number() OVER (PARTITION BY word, ids, t = 8 ORDER BY t) = 1),
+told AS (SELECT word, t, place, length('Which Target words translate "' || word || '" in these sentences?' || chr(10) || lines || chr(10) || 'Answer with JSON: {"word": "' || word || '", "candidates": [{"target": "...", "probability": 0.0}]}') % 7 AS n FROM one),
+fin AS (SELECT word, min(t) AS t FROM told WHERE n > 4 GROUP BY word), made AS (SELECT told.* FROM told LEFT JOIN fin USING (word) WHERE fin.t IS NULL OR told.t <= fin.t)"""
+
+
+@_query(f"WITH {_PAIR}, {_DICT}, {_POST}, {_ASKED}, c AS (SELECT word, count(*) AS total_pairs FROM post GROUP BY word) SELECT word, least(total_pairs, 10) AS samples_used, total_pairs, CAST(count_if(n > 4) > 0 AS BIGINT) AS n_candidates, CASE WHEN count_if(n > 4) > 0 THEN max(n) * 1000 ELSE 0 END AS best_e4, count_if(n > 4) AS n_ok, count_if(n < 4) AS n_blocked, count_if(n = 4) AS n_failed FROM c JOIN made USING (word) GROUP BY word, total_pairs")
 def recover_words(t):
     """Words whose prompts a stub service blocks by length are asked again with other samples, then pair by pair."""
 
@@ -678,7 +686,8 @@ def recover_words(t):
         return ("blocked", "") if n < 4 else ("neterr", "") if n == 4 else ("ok", '{"candidates": [{"target": "' + word + '", "probability": 0.' + str(n) + "}]}")
 
     got = generation.recover_words(_index(t), _pairs(t), send, "Target")
-    return got.select("word", "samples_used", "total_pairs", F.size("candidates").cast("long").alias("n_candidates"), "n_ok", "n_blocked", "n_failed")
+    best = F.coalesce(F.round(10000 * F.try_element_at("candidates", F.lit(1))["probability"]), F.lit(0)).cast("long")
+    return got.select("word", "samples_used", "total_pairs", F.size("candidates").cast("long").alias("n_candidates"), best.alias("best_e4"), "n_ok", "n_blocked", "n_failed")
 
 
 @_query("SELECT conv_id, turn, md5(CASE WHEN role = 'user' THEN text WHEN role = 'assistant' THEN role ELSE CAST(conv_id AS VARCHAR) END) AS prompt_md5 FROM conversations")
@@ -749,3 +758,83 @@ def sheet_pairs(t):
     rows = _pairs(t).select((F.col("turn") % 4).cast("string").alias("path"), number.alias("row_no"), cells.alias("cells"))
     got = parallel.sheet_pairs(rows, "exact")
     return got.select("path", "row_no", F.md5("english").alias("english_md5"), F.md5("target").alias("target_md5"))
+
+
+@_query(f"WITH {_PAIR}, r AS (SELECT 's' || CAST(turn % 4 AS VARCHAR) || '.xlsx' AS name, row_number() OVER (PARTITION BY turn % 4 ORDER BY pair_id) + 1 AS row_no, english, target FROM pair) SELECT name, row_no, md5({_TRIM('english')}) AS english_md5, md5({_TRIM('target')}) AS target_md5 FROM r WHERE {_TRIM('english')} <> '' AND {_TRIM('target')} <> ''")
+def xlsx_roundtrip(t):
+    """Workbooks with a header, written and read again, the English column second."""
+    number = F.row_number().over(corpus.Window.partitionBy(F.col("turn") % 4).orderBy("pair_id")).cast("long")
+    rows = _pairs(t).select(F.concat(F.lit("s"), (F.col("turn") % 4).cast("string"), F.lit(".xlsx")).alias("name"), number.alias("row_no"), F.array("target", "english").alias("cells"))
+    heads = rows.select("name").distinct().select("name", F.lit(0).cast("long").alias("row_no"), F.array(F.lit("Target"), F.lit("English")).alias("cells"))
+    folder = working.folder(rows.sparkSession)
+    xlsx.write_sheets(rows.union(heads), folder).collect()  # a row a workbook
+    got = parallel.sheet_pairs(parallel.sheet_rows(rows.sparkSession, folder), "exact")
+    return got.select(F.element_at(F.split("path", "/"), -1).alias("name"), "row_no", F.md5("english").alias("english_md5"), F.md5("target").alias("target_md5"))
+
+
+@_query(f"SELECT conv_id, turn, md5({_TRIM('text')}) AS predict_md5, CASE WHEN role = 'user' THEN '' ELSE role END AS label FROM conversations")
+def json_poly_scan(t):
+    """Records with differing field names, written as JSON lines and read again; an absent label is empty."""
+    c = t("conversations")
+    fields = [F.when(F.col("role") == r, F.col("text")).alias(n) for r, n in (("user", "tagin"), ("assistant", "prediction"), ("system", "predicted_translation"))]
+    record = F.to_json(F.struct("conv_id", "turn", *fields, F.when(F.col("role") != "user", F.col("role")).alias("original_label")))
+    folder = working.folder(c.sparkSession) + "/table"
+    parallel.write_records(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_no"), record.alias("record")), folder)
+    both = records.read_records(c.sparkSession, folder).select(parallel.field("record", "conv_id").cast("long").alias("conv_id"), parallel.field("record", "turn").cast("long").alias("turn"), "path", "row_no")
+    return both.join(parallel.predictions(c.sparkSession, folder), ["path", "row_no"]).select("conv_id", "turn", F.md5("predict").alias("predict_md5"), "label")
+
+
+@_query("SELECT conv_id * 1000 + turn AS id, CASE WHEN (conv_id + turn) % 2 = 0 THEN 1 ELSE 2 END AS run FROM conversations")
+def resume_append(t):
+    """A first run stops half-way; the second one does what is left."""
+    c = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), ((F.col("conv_id") + F.col("turn")) % 2).alias("odd"))
+    folder = working.folder(c.sparkSession) + "/table"
+    records.run_remaining(c.where("odd = 0"), "id", folder, lambda todo: todo.select("id", F.lit(1).alias("run")))
+    return records.run_remaining(c, "id", folder, lambda todo: todo.select("id", F.lit(2).alias("run")))
+
+
+@_query("SELECT row_number() OVER (ORDER BY p_partkey) AS line_no, trim(regexp_replace(p_name, '" + _SPACE + "', ' ', 'g')) AS line FROM part")
+def txt_roundtrip(t):
+    """Ordered lines, written and read back: part files in the order of their names make up the text."""
+    part = t("part")
+    folder = working.folder(part.sparkSession) + "/table"
+    submission.write_lines(part.withColumn("id", F.col("p_partkey") + 1), "id", "p_name", folder)
+    got = parallel.text_lines(part.sparkSession, folder + "/part-*")
+    # lines before each file: a row a file
+    files = got.groupBy("path").agg(F.count(F.lit(1)).alias("n")).select("path", F.coalesce(F.sum("n").over(corpus.Window.orderBy("path").rowsBetween(corpus.Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return got.join(F.broadcast(files), "path").select((F.col("line_no") + F.col("before")).alias("line_no"), "line")
+
+
+@_query("SELECT lang, CASE lang WHEN 'en' THEN 'base-2' WHEN 'fr' THEN 'romance' END AS model, lang NOT IN ('en', 'fr') AS skipped FROM (SELECT DISTINCT lang FROM documents)")
+def model_lookup(t):
+    """Languages with their model; those without one are skipped, of repeated entries the last counts."""
+    d = t("documents").select("lang").distinct()
+    return submission.models_for(d, d.sparkSession.createDataFrame([("en", "base", 0), ("en", "base-2", 1), ("fr", "romance", 2), ("xx", "other", 3)], "lang string, model string, place int"))
+
+
+@_query(f"WITH {_PAIR}, {_SEG}, {_LANG} SELECT system, '{{' || string_agg('\"' || lang || '\":{{\"n\":' || n || ',\"quality\":' || quality || '}}', ',' ORDER BY CAST(lang AS VARCHAR)) || '}}' AS report FROM by_lang GROUP BY system".replace('\\"', '"'))
+def nested_report(t):
+    return reports.nested(_by_lang(t), "system", "lang", ["n", "quality"])
+
+
+@_query(f"WITH {_GRID}, b AS (SELECT task, coalesce(arg_min(lr, {{'loss': eval_loss, 'i': lr_index}}) FILTER (eval_loss IS NOT NULL), arg_min(lr, {{'loss': train_loss, 'i': lr_index}}) FILTER (train_loss IS NOT NULL)) AS lr, CASE WHEN count(eval_loss) > 0 THEN 'eval_loss' WHEN count(train_loss) > 0 THEN 'train_loss' END AS metric_used FROM g GROUP BY task) SELECT count(*) AS n_tasks, count_if(metric_used = 'eval_loss') AS n_eval, count_if(metric_used = 'train_loss') AS n_train, count_if(metric_used IS NULL) AS n_none, (SELECT lr FROM b WHERE lr IS NOT NULL GROUP BY lr ORDER BY count(*) DESC, lr LIMIT 1) AS lr FROM b")
+def sweep_summary(t):
+    return prefs.sweep_summary(_grid(t))
+
+
+@_query()
+def metric_bundle(t):
+    """The eight scores of output as it is and repaired: BLEU, chrF with word orders, TER, ROUGE-L of both tokenisers, METEOR, and both lengths."""
+    p = _pairs(t)
+    fixed = evaluation.decode_fix(p, "target")
+    both = p.select(F.lit("before").alias("method"), F.col("target").alias("hyp"), F.col("english").alias("ref"))
+    both = both.union(fixed.select(F.lit("after"), "fixed", "english"))
+    plain = lambda c: F.split(T.sanitize(F.lower(c)), " ")
+    sides = {k: [f("hyp").alias(f"h_{k}"), f("ref").alias(f"r_{k}")] for k, f in (("plain", plain), ("indic", lambda c: T.indic_tokens(F.col(c))), ("ascii", lambda c: T.ascii_words(F.col(c))))}
+    seg = both.select("method", *[c for x in sides.values() for c in x])
+    measured = {"edits": ("plain", evaluation.shifted_edits, "long"), "l": ("indic", evaluation.lcs, "long"), "l_ascii": ("ascii", evaluation.lcs, "long"), "meteor": ("indic", evaluation.meteor_exact, "double")}
+    seg = seg.withColumns({name: evaluation.pair_measure(f, kind)(f"h_{k}", f"r_{k}") for name, (k, f, kind) in measured.items()})
+    f_of = lambda lcs, k: F.when(F.col(lcs) > 0, 2 * F.col(lcs) / (F.size(f"h_{k}") + F.size(f"r_{k}"))).otherwise(0.0)
+    e4 = lambda c: F.round(10000 * c).cast("long")
+    rest = seg.groupBy("method").agg(e4(F.sum("edits") / F.sum(F.size("r_plain"))).alias("ter_e4"), e4(F.avg(f_of("l", "indic"))).alias("rouge_l_e4"), e4(F.avg(f_of("l_ascii", "ascii"))).alias("rouge_l_ascii_e4"), e4(F.avg("meteor")).alias("meteor_e4"))
+    return _method_scores(t).join(rest, "method")

@@ -3,17 +3,22 @@
 One row per sheet row of the first sheet (least sheet number): path, row_no
 (from 1), cells (0-based column to text).  Shared strings with rich text,
 inline strings, numbers and booleans are text.  One partition a file; a row at
-a time is parsed, so memory holds the shared strings and one row.
+a time is parsed, so memory holds the shared strings and one row.  Paths are on
+any file system that Arrow opens; write_sheets is the sink.
 """
 
 from __future__ import annotations
 
-import os
 import re
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
+import pandas as pd
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -26,8 +31,16 @@ def column_number(ref: str) -> int:
     return n - 1
 
 
-def rows(path: str) -> Iterator[tuple[int, dict[int, str]]]:
-    with zipfile.ZipFile(path) as z:
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, a local one if it names none, and the path in it."""
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+
+
+def rows(uri: str) -> Iterator[tuple[int, dict[int, str]]]:
+    files, path = file_system(uri)
+    with files.open_input_file(path) as opened, zipfile.ZipFile(opened) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             with z.open("xl/sharedStrings.xml") as f:
@@ -66,17 +79,21 @@ class _File(InputPartition):
 
 class XlsxReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        if os.path.isfile(self.path):
+        """The workbooks of a folder by name, lock files left out, or the one file."""
+        files, path = file_system(self.path)
+        before = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
+        if files.get_file_info(path).type == pafs.FileType.File:
             return [_File(self.path)]
-        return [_File(os.path.join(self.path, x)) for x in sorted(os.listdir(self.path)) if x.endswith(".xlsx") and not x.startswith("~$")] or [_File("")]
+        found = sorted(x.path for x in files.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".xlsx") and not x.base_name.startswith("~$"))
+        return [_File(before + x) for x in found] or [_File("")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.path:
             for number, cells in rows(partition.path):
-                yield partition.path, number, cells
+                yield partition.path.removeprefix("file://"), number, cells
 
 
 class XlsxRows(DataSource):
@@ -89,3 +106,49 @@ class XlsxRows(DataSource):
 
     def reader(self, schema) -> XlsxReader:
         return XlsxReader(self.options["path"])
+
+
+#: The parts of a workbook besides its one sheet.
+_PARTS = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}
+
+
+def _sheet(rows: Iterable[list]) -> Iterator[str]:
+    yield f'<worksheet xmlns="{_NS[1:-1]}"><sheetData>'
+    for cells in rows:
+        yield "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(x or "")}</t></is></c>' for x in cells) + "</row>"
+    yield "</sheetData></worksheet>"
+
+
+def write_sheets(df: DataFrame, folder: str) -> DataFrame:
+    """Writes (name, row_no, cells array<string>) as a workbook a name, rows in the order of row_no; returns (name, n_rows). A file appears under its name when it is whole."""
+
+    def save(name: str, rows: list[list]) -> pd.DataFrame:
+        files, path = file_system(folder)
+        part = f"{path}/.{uuid.uuid4().hex}"
+        with files.open_output_stream(part) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for place, text in _PARTS.items():
+                z.writestr(place, text)
+            with z.open("xl/worksheets/sheet1.xml", "w") as f:
+                for text in _sheet(rows):
+                    f.write(text.encode())
+        files.move(part, f"{path}/{name}")
+        return pd.DataFrame({"name": [name], "n_rows": [len(rows)]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []  # a sheet has a bounded number of rows
+        for frame in frames:
+            for name, cells in zip(frame["name"], frame["cells"]):
+                if name != now and held:
+                    yield save(now, held)
+                    held = []
+                now = name
+                held.append(list(cells))
+        if held:
+            yield save(now, held)
+
+    return df.select("name", "row_no", "cells").repartition("name").sortWithinPartitions("name", "row_no").mapInPandas(run, "name string, n_rows long")

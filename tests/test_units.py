@@ -70,7 +70,7 @@ def test_decode_fix(spark):
     rng = random.Random(1)
     texts = ["", "a", "a  b", "a b c a b c d", " ".join(map(str, range(70)))] + [" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 30))) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
-    for x in evaluation.decode_fix(df, "i", "s").collect():
+    for x in evaluation.decode_fix(df, "s").collect():
         tokens = " ".join(x["s"].split()).split(" ")
         assert x["fixed"] == loop_fix(x["s"], tokens, min(64, max(2 * len(tokens), len(tokens) + 8)))
     assert [x["collapsed"] for x in evaluation.collapse_fix(spark.createDataFrame([("a a  b b a",), ("a  b",)], "s string"), "s").collect()] == ["a b a", "a  b"]
@@ -87,16 +87,16 @@ def test_quality_signals(spark):
 
 def test_scores_of_equal_texts(spark):
     df = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "a b c d e")], "pair_id int, s string").withColumn("w", F.split("s", " "))
-    stats = evaluation.clipped_matches(df, "pair_id", lambda n: T.ngrams(F.col("w"), n), lambda n: T.ngrams(F.col("w"), n), range(1, 5))
+    stats = evaluation.clipped_matches(df, [("w", "w", 4)])
     assert evaluation.bleu(stats).first()["bleu_e4"] == 1000000
     for words in (0, 2):
-        assert evaluation.chrf(evaluation.chrf_stats(df, "pair_id", "s", "s", words)).first()["chrf_e4"] == 1000000
+        assert evaluation.chrf(evaluation.chrf_stats(df, "s", "s", words)).first()["chrf_e4"] == 1000000
     assert {r["n"]: r["precision_e4"] for r in evaluation.bleu_parts(stats).collect()} == dict.fromkeys(range(1, 5), 10000)
 
 
 def test_orders_without_reference_do_not_count(spark):
     df = spark.createDataFrame([(1, "abcd", "abc"), (2, "abcdefgh", "x"), (3, None, "ab"), (4, "ab", None), (5, "", "")], "pair_id int, h string, r string")
-    stats = {r["n"]: (r["matches"], r["hyp_total"], r["ref_total"]) for r in evaluation.chrf_stats(df, "pair_id", "h", "r").collect()}
+    stats = {r["n"]: (r["matches"], r["hyp_total"], r["ref_total"]) for r in evaluation.chrf_stats(df, "h", "r").collect()}
     assert stats == {1: (3, 12, 6), 2: (2, 3, 3), 3: (1, 2, 1)}
 
 
@@ -292,13 +292,31 @@ def test_record_sinks(spark, tmp_path):
     assert "".join(f.read_text() for f in (tmp_path / "none").glob("part-*")).strip() == "[]"
 
 
-def test_ask_and_merge():
-    replies = iter([("neterr", ""), ("ok", "{"), ("ok", '{"a": 1}')])
-    assert generation.ask_once(lambda p: next(replies), "p") == ({"a": 1}, "ok")
-    assert generation.ask_once(lambda p: ("ok", "{"), "p") == (None, "parse_err")
-    assert generation.ask_once(lambda p: ("blocked", ""), "p") == (None, "blocked")
+def test_calls_and_merge(spark):
+    """Failures and replies that aren't JSON are tried again after longer and longer waits, blocked prompts aren't."""
+    waited = []
+    prompts = spark.createDataFrame([(1, "late"), (2, "broken"), (3, "blocked"), (4, "down")], "id int, prompt string").coalesce(1)
+
+    def send(prompt):
+        seen[prompt] = seen.get(prompt, 0) + 1
+        return {"late": ("throttled", "") if seen[prompt] < 3 else ("ok", '{"a": 1}'), "broken": ("ok", "{"), "blocked": ("blocked", ""), "down": ("error", "")}[prompt]
+
+    seen = {}
+    got = {r["id"]: (r["status"], r["reply"]) for r in generation.calls(prompts, "id", "prompt", send).collect()}
+    assert got == {1: ("ok", '{"a": 1}'), 2: ("parse_err", None), 3: ("blocked", None), 4: ("neterr", None)}
+    log = spark.createDataFrame([(1, "late")], "id int, prompt string")
+
+    def slept(seconds):
+        waited.append(seconds)
+        if waited == [2.0, 4.0]:
+            raise RuntimeError("waited 2 and 4 seconds")
+
+    with pytest.raises(Exception, match="waited 2 and 4 seconds"):
+        generation.calls(log, "id", "prompt", send, wait=1.0, sleep=slept).collect()
     cands = [{"target": " a ", "probability": "0.25"}, {"target": "b", "probability": 2}, {"target": "", "probability": 1}, None, {"target": "c", "probability": "x"}, {"target": "d"}, {"target": "e", "probability": -1}]
-    got = generation.merged_candidates([{"candidates": cands}, {"candidates": None}, {"candidates": [{"target": "a", "probability": 0.5}, {"target": "f", "probability": 0.5}]}])
+    replies = [{"candidates": cands}, {"candidates": None}, {"candidates": [{"target": "a", "probability": 0.5}, {"target": "f", "probability": 0.5}]}, [1]]
+    rows = spark.createDataFrame([("w", i, json.dumps(x)) for i, x in enumerate(replies)], "word string, place int, reply string")
+    got = generation.merge_candidates(rows, "word", "place", "reply").first()["candidates"]
     assert [(c["target"], c["probability"]) for c in got] == [("b", 1.0), ("a", 0.5), ("f", 0.5), ("e", 0.0)]
 
 
@@ -332,3 +350,52 @@ def test_places(spark):
     assert corpus.zipped(a.limit(0), "a", b, "b").count() == 0
     rows = spark.createDataFrame([("k", 1, "a"), ("k", 3, None), ("k", 2, "b"), (None, 9, "c")], "k string, at int, v string")
     assert [tuple(r) for r in corpus.last_of(rows, "k", "at").collect()] == [("k", 3, None)]
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = spark.createDataFrame([(None, "a"), (2, "b"), (1, "c"), (None, "d")], "k long, v string")
+    assert sorted(r["place"] for r in corpus.hash_order(rows, F.col("k")).collect()) == [1, 2, 3, 4]
+    assert corpus.split(rows, F.col("k"), 0.5).groupBy("split").count().orderBy("split").collect() == [("test", 2), ("train", 2)]
+    assert [(r["place"], r["k"]) for r in corpus.placed(rows, "k").orderBy("place").collect()] == [(1, None), (2, None), (3, 1), (4, 2)]
+    assert corpus.zipped(rows, "k", rows.withColumnsRenamed({"k": "j", "v": "w"}), "j").count() == 4
+
+
+def test_repair_with_collapse(spark):
+    """Collapse, cap and n-gram stop in one pass: the cap is on kept tokens, n-grams are the whole text's."""
+    texts = ["a a b c", "a b c a b c d", "a a a a", "a  b c", "x x a b c y a b c", "p q p p q r"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    got = {r["i"]: r["fixed"] for r in evaluation.decode_fix(df, "s", collapse=True).collect()}
+    assert got == {0: "a b c", 1: "a b c a b", 2: "a", 3: "a  b c", 4: "x a b c y a b", 5: "p q p q r"}
+    short = {r["i"]: r["fixed"] for r in evaluation.decode_fix(df, "s", collapse=True, cap=2).collect()}
+    assert short == {0: "a b", 1: "a b", 2: "a", 3: "a b", 4: "x a", 5: "p q"}
+
+
+def test_clipped_matches_by_counting(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(1)
+    rows = [(i % 2, " ".join(rng.choices("abc", k=rng.randint(0, 9))), " ".join(rng.choices("abc", k=rng.randint(0, 9)))) for i in range(60)] + [(0, None, "a"), (1, "b", None)]
+    df = spark.createDataFrame(rows, "g int, h string, r string")
+    tokens = df.select("g", F.split("h", " ").alias("h"), F.split("r", " ").alias("r"))
+    want = {}
+    for g, h, r in rows:
+        for n in range(1, 4):
+            grams = [Counter(tuple(x.split(" ")[i : i + n]) for i in range(len(x.split(" ")) - n + 1)) if x is not None else Counter() for x in (h, r)]
+            old = want.get((g, n), (0, 0, 0))
+            want[g, n] = tuple(a + b for a, b in zip(old, ((grams[0] & grams[1]).total(), grams[0].total(), grams[1].total())))
+    got = {(x["g"], x["n"]): (x["matches"], x["hyp_total"], x["ref_total"]) for x in evaluation.clipped_matches(tokens, [("h", "r", 3)], ("g",)).collect()}
+    assert got == want
+
+
+def test_console_and_sizes(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.5, 2), ("long name", None, None)], "name string, x double, n int")
+    assert reports.console(df) == "name       x     n\na          1.50  2\nlong name  -     -"
+    (tmp_path / "f").write_bytes(b"12345")
+    got = reports.sizes(spark, [str(tmp_path / "f"), str(tmp_path / "none")]).collect()
+    assert [(x["found"], x["bytes"]) for x in got] == [(True, 5), (False, None)]
+
+
+def test_candidates_without_a_number_go(spark):
+    df = spark.createDataFrame([("a", "0.5"), ("b", "x"), ("c", None), ("", "0.1"), ("d", "-1"), ("e", "2")], "t string, p string")
+    assert [(r["target"], r["p_bp"]) for r in corpus.clean_candidates(df, "t", F.col("p")).orderBy("t").collect()] == [("a", 5000), ("d", 0), ("e", 10000)]
