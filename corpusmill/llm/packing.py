@@ -6,10 +6,12 @@ it fills most.  Open sequences are found through a bitset keyed by free space,
 so a placement costs one bit search, whatever the number of open sequences.
 When a piece fits none and all places are taken, the fullest closes first.  No
 shuffle: each task packs what it reads, and its memory holds a batch of texts
-and the open sequences' free space.
+and the open sequences' free space.  What is left open at a task's end is what
+more tasks cost; so small input partitions are read together, TASK_BYTES of
+files a task, and the layout of the files hardly matters.
 
-Edge cases: null or empty text gives one piece that holds the end id alone; a
-null id stays null; repeated rows are packed once each; an empty table gives no
+Edge cases: null or empty text gives one piece that holds the end id alone; ids
+of any type are passed on and a null id stays null; repeated rows are packed once each; an empty table gives no
 rows; other columns are ignored, whatever their names.
 """
 
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from .. import ship
 from . import tokens, vec
 
-SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
+#: Bytes of input files that a task packs at least, if there are so many: a thousand sequences or more.
+TASK_BYTES = 4 << 20
 
 
 class OpenBins:
@@ -62,6 +65,12 @@ class OpenBins:
         return number, self.capacity - space
 
 
+def together(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """docs in partitions of about task_bytes or more by Spark's estimate, without a shuffle."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.coalesce(max(1, min(-(-size // task_bytes), 1 << 30)))
+
+
 def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, open_bins: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
@@ -96,7 +105,9 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, open_bins: int
                 columns = [names, pa.array(number, pa.int32()), pa.array(start), pa.array(length), binary, pa.array(placed[:, 0]), pa.array(placed[:, 1])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    kind = docs.schema[id_col].dataType.simpleString()
+    fields = f"doc_id {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long"
+    return together(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, fields)
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -4,14 +4,16 @@ A shard file holds, in ascending key order, the raw ids of its documents (2
 bytes each if the vocabulary allows, else 4, little-endian), then the index:
 
     payload | offsets u64[n+1] | keys i64[n] | key is null u8[n]
-    | level bits u64[...] | slot -> document u32[k] | slot -> fingerprint u32[k]
+    | level bits u64[...] | bits set before each u32[...]
+    | slot -> document u32[k] | slot -> fingerprint u32[k]
     | footer JSON | footer length u32 | magic
 
 The index is a minimal perfect hash of the distinct keys (levels of bit
 vectors: a key alone on its bit gets the bit's rank as its slot, the others go
-to the next level).  A slot stores the key's fingerprint, so an absent key is
-refused but for one chance in 2**32, and the first of the key's documents;
-repeated keys lie side by side.  ``manifest.json`` lists the shards with key
+to the next level).  A slot stores the key's fingerprint, which refuses an
+absent key but for one chance in 2**32 (the stored key then does), and the
+first of the key's documents; repeated keys lie side by side.  Access by key
+reads a few numbers by range, whatever the shard's size.  ``manifest.json`` lists the shards with key
 ranges and the ids before each, so a reader opens one shard for a key.
 
 Edge cases: null text is empty (the end id alone); documents with a null key
@@ -70,7 +72,7 @@ def build_mph(keys: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
 
 
 class Shard:
-    """Reads one shard; the index is loaded, the payload is read by range."""
+    """Reads one shard: single keys by range, all of them with the index in memory."""
 
     def __init__(self, uri: str):
         fs, path = scratch.open_fs(uri)
@@ -81,49 +83,76 @@ class Shard:
             raise ValueError(f"{uri} is not a token shard")
         length = int.from_bytes(tail[:4], "little")
         self.meta = json.loads(self.file.read_at(length, end - 12 - length))
-        section = lambda name: np.frombuffer(self.file.read_at(self.meta[name][1], self.meta[name][0]), self.meta[name][2])
-        self.offsets, self.keys, self.null = section("offsets"), section("keys"), section("null")
-        self.words, self.document, self.prints = section("levels"), section("document"), section("prints")
-        ones = np.bitwise_count(self.words).astype(np.int64)
-        self.rank = np.cumsum(ones) - ones
+        self.loaded: dict[str, np.ndarray] = {}
+
+    def section(self, name: str) -> np.ndarray:
+        """A whole section of the index."""
+        if name not in self.loaded:
+            at, size, kind = self.meta[name]
+            self.loaded[name] = np.frombuffer(self.file.read_at(size, at), kind)
+        return self.loaded[name]
+
+    def number(self, name: str, i: int, n: int = 1) -> list[int]:
+        """n numbers of a section from place i on, read by range."""
+        at, size, kind = self.meta[name]
+        width = np.dtype(kind).itemsize
+        return np.frombuffer(self.file.read_at(min(n * width, size - i * width), at + i * width), kind).tolist()
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, or -1."""
+        words, ranks = self.section("levels"), self.section("ranks").astype(np.int64)
         out, rest, base = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
         for level, size in enumerate(self.meta["sizes"]):
             if not len(rest):
                 break
             bit = (_level_hash(keys[rest], level) % np.uint64(size * 64)).astype(np.int64)
             word, place = base + bit // 64, (bit % 64).astype(np.uint64)
-            found = self.words[word]
+            found = words[word]
             hit = (found >> place & np.uint64(1)).astype(bool)
             below = found & ((np.uint64(1) << place) - np.uint64(1))
-            out[rest[hit]] = (self.rank[word] + np.bitwise_count(below))[hit]
+            out[rest[hit]] = (ranks[word] + np.bitwise_count(below))[hit]
             rest, base = rest[~hit], base + size
         return out
 
     def first(self, keys: np.ndarray) -> np.ndarray:
         """The first document of each key, or -1, by the index: slot, fingerprint and document."""
-        out, at = np.full(len(keys), -1, np.int64), self.slots(keys)
-        known = np.flatnonzero((at >= 0) & (at < len(self.prints)))
-        known = known[self.prints[at[known]] == _fingerprint(keys[known])]
-        out[known] = self.document[at[known]]
+        out, at, prints = np.full(len(keys), -1, np.int64), self.slots(keys), self.section("prints")
+        known = np.flatnonzero((at >= 0) & (at < len(prints)))
+        known = known[prints[at[known]] == _fingerprint(keys[known])]
+        out[known] = self.section("document")[at[known]]
         return out
 
+    def slot(self, key: int) -> int:
+        """The slot of one key, or -1, by one word of each level that is tried."""
+        one, base = np.array([key], np.int64), 0
+        for level, size in enumerate(self.meta["sizes"]):
+            bit = int(_level_hash(one, level)[0]) % (size * 64)
+            (word,) = self.number("levels", base + bit // 64)
+            if word >> bit % 64 & 1:
+                return self.number("ranks", base + bit // 64)[0] + (word & (1 << bit % 64) - 1).bit_count()
+            base += size
+        return -1
+
     def ids(self, first: int, last: int) -> np.ndarray:
         """The ids of documents first .. last-1."""
         kind = np.dtype(self.meta["dtype"])
-        a, b = int(self.offsets[first]), int(self.offsets[last])
+        (a,), (b,) = ((self.section("offsets")[i : i + 1].tolist() if "offsets" in self.loaded else self.number("offsets", i)) for i in (first, last))
         return np.frombuffer(self.file.read_at((b - a) * kind.itemsize, a * kind.itemsize), kind)
 
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of each document with that key."""
-        first = last = int(self.first(np.array([key], np.int64))[0])
-        if first < 0:
+        slot = self.slot(key)
+        if slot < 0 or self.number("prints", slot) != _fingerprint(np.array([key], np.int64)).tolist():
             return []
-        while last < len(self.keys) and self.keys[last] == key:
-            last += 1
-        return [self.ids(i, i + 1) for i in range(first, last)]
+        (first,), last = self.number("document", slot), -1
+        out: list[np.ndarray] = []
+        while last < 0:
+            at = first + len(out)
+            near = self.number("keys", at, 16)
+            same = next((i for i, x in enumerate(near) if x != key), len(near))
+            last = at + same if same < 16 else -1
+            out += [self.ids(i, i + 1) for i in range(at, at + same)]
+        return out
 
 
 class TokenStore:
@@ -158,11 +187,12 @@ def _finish(out, position: int, dtype: str, lengths: list[np.ndarray], keys: lis
     sizes, words, slots = build_mph(values[new])
     document, prints = np.zeros(len(new), "<u4"), np.zeros(len(new), "<u4")
     document[slots], prints[slots] = new, _fingerprint(values[new])
+    ones = np.bitwise_count(words).astype("<u4")
     meta: dict = {"dtype": dtype, "sizes": sizes}
     pad = -position % 8
     out.write(b"\0" * pad)
     position += pad
-    for name, part in (("offsets", offsets), ("keys", values), ("null", null), ("levels", words), ("document", document), ("prints", prints)):
+    for name, part in (("offsets", offsets), ("keys", values), ("null", null), ("levels", words), ("ranks", np.cumsum(ones, dtype="<u4") - ones), ("document", document), ("prints", prints)):
         meta[name] = [position, part.nbytes, part.dtype.str]
         out.write(part.tobytes())
         position += part.nbytes
@@ -233,11 +263,11 @@ def read_tokens(spark: SparkSession, folder: str, manifest: list[dict], block: i
             for i in batch.column(0).to_pylist():
                 entry = entries.value[i]
                 shard = Shard(f"{folder}/{entry['name']}")
-                bounds, n = shard.offsets.astype(np.int64), len(shard.keys)
-                real = np.flatnonzero(shard.null == 0)
-                new = real[np.diff(shard.keys[real], prepend=~shard.keys[real[:1]]) != 0]
-                wrong = np.flatnonzero(shard.first(shard.keys[new]) != new)
-                if len(wrong) or len(new) != len(shard.document):
+                bounds, keys, null = shard.section("offsets").astype(np.int64), shard.section("keys"), shard.section("null")
+                n, real = len(keys), np.flatnonzero(null == 0)
+                new = real[np.diff(keys[real], prepend=~keys[real[:1]]) != 0]
+                wrong = np.flatnonzero(shard.first(keys[new]) != new)
+                if len(wrong) or len(new) != len(shard.section("document")):
                     raise ValueError(f"{entry['name']}: the index doesn't lead to {len(wrong)} of {len(new)} keys")
                 row = 0
                 while row < n:
@@ -245,7 +275,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: list[dict], block: i
                     flat = shard.ids(row, stop).astype("<u4")
                     ends = ((bounds[row : stop + 1] - bounds[row]) * 4).astype(np.int32)
                     binary = pa.Array.from_buffers(pa.binary(), stop - row, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-                    names = pa.array(shard.keys[row:stop], mask=shard.null[row:stop].astype(bool))
+                    names = pa.array(keys[row:stop], mask=null[row:stop].astype(bool))
                     start = bounds[row:stop] + entry["before"]
                     yield pa.RecordBatch.from_arrays([names, pa.array(start), pa.array(np.diff(bounds[row : stop + 1])), binary], ["doc_id", "start", "n_tokens", "ids"])
                     row = stop

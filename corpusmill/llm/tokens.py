@@ -3,8 +3,9 @@
 A text is cut where no token can cross: before white space (byte-level BPE) or
 at white space (a tokenizer that drops it).  The library encodes each distinct
 piece; the ids of a text are its pieces' ids in order, which equals encoding
-the text at once.  Tokenizers of other kinds, and texts with white space
-outside ASCII in byte-level mode, are encoded whole.
+the text at once.  Pieces are found by hash and compared by their bytes.
+Tokenizers of other kinds, texts that hold the string of an added token, and
+texts with white space outside ASCII in byte-level mode, are encoded whole.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def _kind(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
-    if spec["model"]["type"] != "BPE":
+    if spec["model"]["type"] != "BPE" or any(x.get("normalized") for x in spec.get("added_tokens", [])):
         return "whole"
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
         return "spaced"
@@ -46,14 +47,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = _kind(path)
+        self.whole = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        if self.kind == "spaced":
+            self.whole += _WIDE_SPACE
         self.size = self.tokenizer.get_vocab_size()
         self._forget()
 
     def _forget(self) -> None:
         self.known, self.at, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.bytes, self.byte_at, self.byte_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,12 +69,13 @@ class Encoder:
         raw = data.tobytes()
         if self.kind == "whole":
             return self._whole(raw, offsets)
+        if any(x in raw for x in self.whole):
+            held = np.array([any(x in raw[a:b] for x in self.whole) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], bool)
+            if held.any():
+                return self._mixed(data, offsets, held)
         if self.kind == "words":
             starts, ends, first = vec.words(data, offsets, vec.NOT_SPACE)
         else:
-            wide = [any(x in raw[a:b] for x in _WIDE_SPACE) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())] if any(x in raw for x in _WIDE_SPACE) else []
-            if any(wide):
-                return self._mixed(data, offsets, np.array(wide))
             space = ~vec.NOT_SPACE[data]
             cut = space.copy()
             cut[1:] &= ~space[:-1]
@@ -78,7 +83,8 @@ class Encoder:
             starts = np.flatnonzero(cut)
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
             first = np.searchsorted(starts, offsets)
-        return self._pieces(raw, starts, ends, vec.hash_words(data, starts, ends), first)
+        found = self._pieces(data, raw, starts, ends - starts, vec.hash_words(data, starts, ends), first)
+        return found or self._whole(raw, offsets)
 
     def _whole(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bounds = offsets.tolist()
@@ -95,22 +101,29 @@ class Encoder:
             total.extend((first[1:] + total[-1]).tolist())
         return np.concatenate(parts), np.array(total)
 
-    def _pieces(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, data: np.ndarray, raw: bytes, starts: np.ndarray, size: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids by pieces; None if two different pieces have the same hash."""
         keys, one, place = vec.distinct(hashes)
+        twin = one[place]
+        if not (np.array_equal(size, size[twin]) and vec.same_bytes(data, starts, data, starts[twin], size).all()):
+            return None
         at = np.searchsorted(self.known, keys)
         here = np.zeros(len(keys), bool)
         inside = at < len(self.known)
         here[inside] = self.known[at[inside]] == keys[inside]
+        old, held = one[here], at[here]
+        if not (np.array_equal(size[old], self.byte_size[held]) and vec.same_bytes(data, starts[old], self.bytes, self.byte_at[held], size[old]).all()):
+            return None
         if not here.all():
             if len(self.known) + len(keys) > REMEMBERED:
                 self._forget()
                 here[:] = False
             new = one[~here]
-            flat, lengths = self._library([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())])
-            begin = np.cumsum(lengths) - lengths + len(self.flat)
-            self.flat = np.concatenate([self.flat, flat])
+            flat, lengths = self._library([raw[a : a + n].decode("utf-8", "replace") for a, n in zip(starts[new].tolist(), size[new].tolist())])
             into = np.searchsorted(self.known, keys[~here])
-            self.at, self.length, self.known = np.insert(self.at, into, begin), np.insert(self.length, into, lengths), np.insert(self.known, into, keys[~here])
+            added = (keys[~here], np.cumsum(lengths) - lengths + len(self.flat), lengths, np.cumsum(size[new]) - size[new] + len(self.bytes), size[new])
+            self.known, self.at, self.length, self.byte_at, self.byte_size = (np.insert(x, into, y) for x, y in zip((self.known, self.at, self.length, self.byte_at, self.byte_size), added))
+            self.flat, self.bytes = np.concatenate([self.flat, flat]), np.concatenate([self.bytes, data[vec.ragged(starts[new], size[new])]])
             at = np.searchsorted(self.known, keys)
         lengths = self.length[at][place]
         ids = self.flat[vec.ragged(self.at[at][place], lengths)]
