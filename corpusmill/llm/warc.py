@@ -1,19 +1,24 @@
 """WARC archives: a writer with payload deduplication and a Python data source.
 
-Writer: one archive per task, one gzip member per record, with the skip-length
+Writer: archives of up to ``file_bytes``, one gzip member per record, with the skip-length
 extra field (``sl``: compressed and plain length of the member), so a reader
 can pass over a record without inflating it.  Of records with equal payloads of
 at least ``revisit_bytes``, the one with the largest id is a response, the
-others are revisits that refer to it.  Files appear under their final name when
+others are revisits that refer to it.  Smaller payloads aren't compared; larger
+ones are shuffled by digest only if the repeated digests are measured to take
+more than BROADCAST_BYTES.  Files appear under their final name when
 whole, and a repeated task writes the same file.
 
 Reader (``format("warc")``): plans whole files into partitions of about
-``partition_bytes``; takes predicates on record_type, record_id and target_uri
-(equality and IN; prefix for target_uri), which are judged on the header alone;
-inflates a record's head first, and its payload only if the record passes and
-``payload`` isn't false.  Archives of other writers work too: members without
-skip-lengths are inflated in order, and uncompressed ``.warc`` files are read
-by Content-Length.
+``partition_bytes``; takes predicates on record_type, record_id, target_uri,
+refers_to and payload_digest (equality and IN; prefix for target_uri), which are
+judged on the header alone; inflates a record's head first, and its payload only
+if the record passes and ``payload`` isn't false; a long member that isn't
+wanted isn't read either.  Archives of other writers work too: members without
+skip-lengths are inflated in order, and uncompressed ``.warc`` files are read by
+Content-Length.  An archive that is cut off or damaged is an error.
+``read_warc`` turns on spark.sql.python.filterPushdown.enabled in the session,
+without which Spark passes no predicate to Python data sources.
 
 Edge cases of the writer: null payload is empty, null URL is left out, a null
 id is written as ``null``, read back as null, and never referred to; rows that
@@ -38,6 +43,8 @@ from .. import ship
 from . import scratch
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, headers map<string,string>, payload binary, path string, position long"
+#: Repeated digests up to this size are broadcast.
+BROADCAST_BYTES = 32 << 20
 _ID = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -67,31 +74,35 @@ def record(number: int | None, url: str | None, payload: bytes, digest: str, ref
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_warc(pages: DataFrame, folder: str, revisit_bytes: int = 1000, date: str = "2000-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, revisit_bytes: int = 1000, file_bytes: int = 1 << 30, date: str = "2000-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes pages as archives into folder; returns the manifest: path, records, revisits, bytes."""
     ship(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = F.octet_length("payload") >= revisit_bytes
+    large, small = (rows.where(x) for x in (F.octet_length("payload") >= revisit_bytes, F.octet_length("payload") < revisit_bytes))
     # only payloads that occur again are joined back
-    firsts = rows.where(large).groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    refers = F.when(large & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    told = rows.join(firsts, "digest", "left").select("id", "url", "payload", "digest", refers.alias("refers_to"))
+    firsts = large.groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    firsts = scratch.stored(firsts, "digests")
+    if firsts.count() * 64 <= BROADCAST_BYTES:
+        firsts = F.broadcast(firsts)
+    refers = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
+    told = large.join(firsts, "digest", "left").select("id", "url", "payload", "digest", refers.alias("refers_to"))
+    told = told.union(small.select("id", "url", "payload", "digest", F.lit(None).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = (x for x in batches if x.num_rows)
-        head = next(batches, None)
-        if head is None:
-            return
-        path = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
-        records = revisits = size = 0
-        with scratch.written_whole(path) as out:
-            for batch in (b for part in ([head], batches) for b in part):
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        row, number = next(rows, None), 0
+        while row is not None:
+            path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{number:03d}.warc.gz"
+            records = revisits = size = 0
+            with scratch.written_whole(path) as out:
+                while row is not None and size < file_bytes:
                     data = member(record(*row, date))
                     out.write(data)
                     records, revisits, size = records + 1, revisits + (row[4] is not None), size + len(data)
-        yield pa.RecordBatch.from_pylist([{"path": path, "records": records, "revisits": revisits, "bytes": size}])
+                    row = next(rows, None)
+            number += 1
+            yield pa.RecordBatch.from_pylist([{"path": path, "records": records, "revisits": revisits, "bytes": size}])
 
     return scratch.stored(told.mapInArrow(run, "path string, records long, revisits long, bytes long"), "manifest")
 
@@ -110,7 +121,7 @@ class WarcReader(DataSourceReader):
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        known = {"record_type", "record_id", "target_uri"}
+        known = {"record_type", "record_id", "target_uri", "refers_to", "payload_digest"}
         for f in filters:
             name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
             if name in known and isinstance(f, EqualTo):
@@ -149,8 +160,8 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for path in partition.paths:
             fs, local = scratch.open_fs(path)
-            with fs.open_input_stream(local, compression=None, buffer_size=1 << 20) as f:
-                for position, head, rest in (_members if path.endswith(".gz") else _plain)(f):
+            with fs.open_input_file(local) as f:
+                for position, head, rest in (_members if path.endswith(".gz") else _plain)(_Window(f, path)):
                     row = _parsed(head)
                     if not self.passes(row):
                         continue
@@ -199,71 +210,101 @@ def _payload(headers: dict, block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
 
 
-class _Inflated:
-    """A record whose head is inflated first and whose block on demand."""
+class _Window:
+    """A file by ranges, read ahead by a chunk; what lies between two ranges that are far apart isn't read."""
+
+    def __init__(self, file: pa.NativeFile, name: str, chunk: int = 1 << 18):
+        self.file, self.name, self.chunk, self.size = file, name, chunk, file.size()
+        self.at, self.data = 0, b""
+
+    def take(self, position: int, n: int) -> bytes:
+        """The bytes there, fewer at the file's end."""
+        n = max(0, min(n, self.size - position))
+        if position < self.at or position + n > self.at + len(self.data):
+            self.at, self.data = position, self.file.read_at(min(max(n, self.chunk), self.size - position), position)
+        return self.data[position - self.at : position - self.at + n]
+
+    def cut_off(self, position: int) -> ValueError:
+        return ValueError(f"{self.name}: the record at {position} is cut off or damaged")
+
 
-    def __init__(self, data: bytes):
-        self.plain = zlib.decompressobj(31)
-        self.have = self.plain.decompress(data, 1024)
-        while b"\r\n\r\n" not in self.have and self.plain.unconsumed_tail:
-            self.have += self.plain.decompress(self.plain.unconsumed_tail, 4096)
-        self.head, _, self.start = self.have.partition(b"\r\n\r\n")
+class _Inflated:
+    """A member whose head is read and inflated first and whose block on demand."""
+
+    def __init__(self, window: _Window, position: int, size: int):
+        self.window, self.position, self.size, self.used = window, position, size, 0
+        self.plain, have = zlib.decompressobj(31), b""
+        while b"\r\n\r\n" not in have:
+            more = self._more(4096)
+            if not more and self.used == size and not self.plain.unconsumed_tail:
+                raise window.cut_off(position)
+            have += more
+        self.head, _, self.start = have.partition(b"\r\n\r\n")
+
+    def _more(self, most: int) -> bytes:
+        data = self.plain.unconsumed_tail
+        if not data:
+            data = self.window.take(self.position + self.used, min(most, self.size - self.used))
+            self.used += len(data)
+        return self.plain.decompress(data, most)
 
     def rest(self, most: int = 0) -> bytes:
-        while self.plain.unconsumed_tail and not (most and len(self.start) >= most):
-            self.start += self.plain.decompress(self.plain.unconsumed_tail, most)
+        """The block, or its first bytes."""
+        while most and len(self.start) < most and (self.used < self.size or self.plain.unconsumed_tail):
+            self.start += self._more(4096)
+        if not most:
+            data = self.plain.unconsumed_tail + self.window.take(self.position + self.used, self.size - self.used)
+            self.used = self.size
+            self.start += self.plain.decompress(data)
+            if not self.plain.eof:
+                raise self.window.cut_off(self.position)
         return self.start
 
 
-def _members(f) -> Iterator[tuple]:
-    """(position, head, rest) of each gzip member; with skip-lengths a member is read, but inflated no further than asked for."""
-    position, held = 0, b""
-    while True:
-        if len(held) < 24:
-            held += f.read(24 - len(held))
-        if not held:
-            return
-        if len(held) >= 24 and held[3] & 4 and held[12:14] == b"sl":
+def _members(window: _Window) -> Iterator[tuple]:
+    """(position, head, rest) of each gzip member; with skip-lengths a member is read and inflated no further than asked for."""
+    position = 0
+    while position < window.size:
+        held = window.take(position, 24)
+        if held[:2] != b"\x1f\x8b":
+            raise window.cut_off(position)
+        if len(held) == 24 and held[3] & 4 and held[12:14] == b"sl":
             size = struct.unpack("<I", held[16:20])[0]
-            data, held = held + f.read(size - len(held)) if len(held) < size else held[:size], held[size:]
-        else:  # inflate to the member's end
-            plain, data, got = zlib.decompressobj(31), b"", b""
-            while not plain.eof:
-                if not held:
-                    held = f.read(1 << 16)
-                    if not held:
-                        raise ValueError("a gzip member is cut off")
-                got += plain.decompress(held)
-                data, held = data + held, b""
-            held = plain.unused_data
-            size = len(data) - len(held)
-            head, _, start = got.partition(b"\r\n\r\n")
-            yield position, head, lambda most=0, start=start: start
+            if position + size > window.size or size < 32:
+                raise window.cut_off(position)
+            one = _Inflated(window, position, size)
+            yield position, one.head, one.rest
             position += size
             continue
-        one = _Inflated(data)
-        yield position, one.head, one.rest
-        position += size
-
-
-def _plain(f) -> Iterator[tuple]:
-    position, held = 0, b""
-    while True:
+        plain, parts, end = zlib.decompressobj(31), [], position  # inflate to the member's end
+        while not plain.eof:
+            held = window.take(end, 1 << 16)
+            if not held:
+                raise window.cut_off(position)
+            parts.append(plain.decompress(held))
+            end += len(held) - len(plain.unused_data)
+        head, found, start = b"".join(parts).partition(b"\r\n\r\n")
+        if not found:
+            raise window.cut_off(position)
+        yield position, head, lambda most=0, start=start: start
+        position = end
+
+
+def _plain(window: _Window) -> Iterator[tuple]:
+    position = 0
+    while position < window.size:
+        held = b""
         while b"\r\n\r\n" not in held:
-            more = f.read(4096)
-            if not more:
-                return
-            held += more
-        head, _, held = held.partition(b"\r\n\r\n")
-        size = int(_parsed(head)["headers"].get("content-length", 0))
-        while len(held) < size + 4:
-            more = f.read(max(4096, size + 4 - len(held)))
+            more = window.take(position + len(held), 4096)
             if not more:
-                break
+                raise window.cut_off(position)
             held += more
-        block, held = held[:size], held[size + 4 :]
-        yield position, head, lambda most=0, block=block: block
-        position += len(head) + 4 + size + 4
+        head = held.partition(b"\r\n\r\n")[0]
+        begin, size = position + len(head) + 4, int(_parsed(head)["headers"].get("content-length", 0))
+        if begin + size > window.size:
+            raise window.cut_off(position)
+        yield position, head, lambda most=0, begin=begin, size=size: window.take(begin, min(size, most or size))
+        position = begin + size + 4
 
 
 class WarcDataSource(DataSource):
