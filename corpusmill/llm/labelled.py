@@ -1,49 +1,89 @@
-"""Labelled texts for the classifiers: a bounded sample, without held-out rows."""
+"""What both classifiers share: a bounded sample of labelled rows without held-out ones, fitting in a task, scoring."""
 
 from __future__ import annotations
 
-import zlib
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from . import scratch
+from .. import ship
+from . import scratch, vec
 
-
-def held_out(ids: list) -> list[bool]:
-    """crc32 of the id as text, modulo 5, is 0; a null id is held out."""
-    return [x is None or zlib.crc32(str(x).encode()) % 5 == 0 for x in ids]
+_ADDED = ["held_out", "score", "predicted"]
 
 
-def _held_out_column(col):
-    return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 5 == 0, F.lit(True))
+def held_out(ident: Column) -> Column:
+    """crc32 of the id as text, modulo 5, is 0; a null id is held out."""
+    return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, most: dict[int, int], longest: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[pd.DataFrame, dict[int, int]]:
-    """(text and label y of at most most[y] rows of each class, rows of each class that they were chosen from), held-out rows left out.
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """((_id, text, y) of at most most[y] rows of each class, rows of each class that they were chosen from), held-out rows left out.
 
     Rows are chosen by a hash of their id, so the sample doesn't depend on the
-    order of the tables; of an id's rows the least text and the greater label
-    count, chosen before anything is collected.  Texts of over longest characters are not learned
-    from: ids without a shorter one are left out before rows are chosen and
-    counted, so others take their place.  This is the only thing that is collected: sum(most) rows at most.
+    order of the tables, nor on the length of the texts; of an id's rows the
+    least text and the greater label count.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y in (0, 1)")
-    known = known.where(~_held_out_column(F.col("_id")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    short = docs.where(F.length(text) <= longest)
-    known = scratch.stored(known.join(short.select(F.col(id_col).alias("_id")), "_id", "left_semi"), "labelled")
+    known = known.where(~held_out(F.col("_id")))
+    known = scratch.stored(known.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi"), "labelled")
     totals = {x["y"]: x["n"] for x in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for y, n in most.items():
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
         chosen = part if chosen is None else chosen.union(part)
     # at most sum(most) rows of 12 bytes: broadcast
-    rows = short.join(F.broadcast(chosen.groupBy("_id").agg(F.max("y").alias("y"))), F.col(id_col) == F.col("_id"))
-    frame = rows.select("_id", text.alias("text"), "y").groupBy("_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toPandas()
-    return frame.sort_values("_id").reset_index(drop=True), totals
+    rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen.groupBy("_id").agg(F.max("y").alias("y"))), F.col("_doc") == F.col("_id"))
+    return rows.groupBy("_id").agg(F.min("text").alias("text"), F.max("y").alias("y")), totals
+
+
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]):
+    """What fit makes of all rows of a bounded sample, in the order of _id: in one task, so that the driver gets the model alone."""
+    ship(rows.sparkSession)
+    schema = to_arrow_schema(rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([x.cast(schema) for x in batches], schema)
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(table))]}, pa.schema([("model", pa.binary())]))
+
+    found = rows.repartition(1).sortWithinPartitions("_id").mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(schema.empty_table())
+
+
+def _scored(docs: DataFrame, model, text_col: str, limit: int) -> DataFrame:
+    """docs and score."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names, text = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for row, n, data, offsets in vec.text_batches(batch.column(text), limit):
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, n).columns, pa.array(model.score(data, offsets))], [*names, "score"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
+    return docs.mapInArrow(run, fields + "score double")
+
+
+def score(docs: DataFrame, model, threshold: float, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """All columns of docs and: held_out, score, predicted; input columns with these names are replaced."""
+    kept = [c for c in docs.columns if c not in _ADDED]
+    plain, (ident, body) = scratch.numbered(docs.select(*kept), id_col, text_col)
+    out = _scored(plain, model, body, limit)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], held_out(F.col(ident)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model, threshold: float, text_col: str, limit: int) -> DataFrame:
+    """docs, with all their columns, of at least that score."""
+    plain, (body,) = scratch.numbered(docs, text_col)
+    return _scored(plain, model, body, limit).where(F.col("score") >= threshold).select(*plain.columns).toDF(*docs.columns)
 
 
 def auc(y: np.ndarray, score: np.ndarray) -> float:

@@ -7,9 +7,10 @@ the classes, and a linear hinge-loss model is fitted to the scaled indicators
 by dual coordinate descent.  Margins are turned into probabilities by a
 logistic fit on margins of rows that a model hasn't seen.
 
-The model is fitted on the driver on a bounded sample of labelled rows
-(MOST_ROWS) and sent to the executors (two tables of 4 bytes a feature, 5 MB in
-all); scoring is a map over whole texts.
+The model is fitted on a bounded sample of labelled rows (MOST_ROWS), whole texts
+of any length: their indicators (SIZE a text at most) are found where the texts
+are, one task fits, and the model (two tables of 4 bytes a feature, 5 MB in all)
+comes back and is sent to the executors; scoring is a map over whole texts.
 
 Edge cases: null or empty text has no indicators and gets the intercept's
 score; texts of any length are scored whole; a null id counts as held out;
@@ -28,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .. import ship
-from . import vec
-from .labelled import held_out, platt, sample
+from . import labelled, vec
 
 #: Labelled rows to fit on, by class: documented bound of the sample.
 MOST_ROWS = {0: 1000, 1: 3000}
@@ -92,8 +92,18 @@ class Model:
         norm = float(np.sqrt(self.square[features].sum(dtype=np.float64))) or 1.0
         return float(self.weight[features].sum(dtype=np.float64)) / norm + self.bias
 
-    def score(self, features: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.a * self.margin(features) + self.b, -30, 30))))
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Scores of the texts of a batch."""
+        distinct = Distinct()
+        rows = [distinct(x) for x in codes(data, offsets)]
+        size = np.array([len(x) for x in rows])
+        full, flat = np.flatnonzero(size), np.concatenate(rows)
+        margin = np.zeros(len(rows))
+        if len(full):
+            at = (np.cumsum(size) - size)[full]
+            norm = np.sqrt(np.add.reduceat(self.square[flat].astype(np.float64), at))
+            margin[full] = np.add.reduceat(self.weight[flat].astype(np.float64), at) / np.where(norm > 0, norm, 1.0)
+        return 1 / (1 + np.exp(-np.clip(self.a * (margin + self.bias) + self.b, -30, 30)))
 
 
 def descend(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, c: float, rounds: int, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -126,15 +136,12 @@ def _ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.nda
     return np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
 
 
-def fit(texts: list[str], y: np.ndarray, c: float = 1.0, rounds: int = 12) -> Model:
-    """A model of whole texts and labels 0 and 1."""
+def fit(rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, rounds: int = 12) -> Model:
+    """A model of the distinct features of texts and their labels 0 and 1."""
     y = np.asarray(y, np.int64)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    distinct, rows = Distinct(), []
-    for _, _, data, offsets in vec.text_batches(pa.array(texts, pa.large_string())):
-        rows += [distinct(x) for x in codes(data, offsets)]
     fold = np.arange(len(rows)) % 2
     margins = np.zeros(len(rows))
     for k in (0, 1):  # margins of rows that the model hasn't seen
@@ -145,7 +152,7 @@ def fit(texts: list[str], y: np.ndarray, c: float = 1.0, rounds: int = 12) -> Mo
         for i in np.flatnonzero(fold == k):
             margins[i] = part.margin(rows[i])
     model = _model(rows, y, c, rounds)
-    model.a, model.b = platt(margins, y)
+    model.a, model.b = labelled.platt(margins, y)
     return model
 
 
@@ -155,42 +162,45 @@ def _model(rows: list[np.ndarray], y: np.ndarray, c: float, rounds: int) -> Mode
     return Model((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), bias, 1.0, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: dict[int, int] = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on at most most[y] labelled rows of each class that aren't held out, with texts of at most 100,000 characters; those classes' true shares set the scores' level."""
-    frame, totals = sample(docs, labels, label_col, most, id_col=id_col, text_col=text_col)
-    y = np.asarray(frame["y"], np.int64)
-    model = fit(frame["text"].tolist(), y)
-    n = np.bincount(y, minlength=2)
-    if n.all():
-        model.b += float(np.log((totals[1] / totals[0]) / (n[1] / n[0])))
-    return model
-
-
-def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs and: held_out, score, predicted."""
-    ship(docs.sparkSession)
-    added = {"held_out": "boolean", "score": "double", "predicted": "int"}
-    docs = docs.drop(*added)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    text, ident = names.index(text_col), names.index(id_col)
+def indicators(rows: DataFrame) -> DataFrame:
+    """(_id, y, features) of (_id, text, y): each text's distinct features."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, distinct = sent.value, Distinct()
+        distinct = Distinct()
         for batch in batches:
-            for row, n, data, offsets in vec.text_batches(batch.column(text)):
+            for row, n, data, offsets in vec.text_batches(batch.column(1)):
                 part = batch.slice(row, n)
-                found = np.array([model.score(distinct(x)) for x in codes(data, offsets)])
-                columns = [pa.array(held_out(part.column(ident).to_pylist())), pa.array(found), pa.array((found >= threshold).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*names, *added])
+                found = pa.array([distinct(x) for x in codes(data, offsets)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), found], ["_id", "y", "features"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.select("_id", "text", "y").mapInArrow(run, f"_id {kind}, y int, features array<int>")
+
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, fields + "".join(f", {k} {v}" for k, v in added.items()))
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: dict[int, int] = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fits on at most most[y] labelled rows of each class that aren't held out; the classes' true shares set the scores' level."""
+    rows, totals = labelled.sample(docs, labels, label_col, most, id_col, text_col)
+
+    def run(table: pa.Table) -> Model:
+        y, lists = table.column("y").to_numpy().astype(np.int64), table.column("features").combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        model, n = fit([flat[a:b] for a, b in zip(at[:-1], at[1:])], y), np.bincount(y, minlength=2)
+        if n.all():
+            model.b += float(np.log((totals[1] / totals[0]) / (n[1] / n[0])))
+        return model
+
+    return labelled.fitted(indicators(rows), run)
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of docs and: held_out, score, predicted."""
+    return labelled.score(docs, model, threshold, id_col, text_col, 4 << 20)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """docs without those that the classifier rejects."""
-    return score(docs, train(docs, labels, **options), threshold, **{k: v for k, v in options.items() if k in ("id_col", "text_col")}).where("predicted = 1").select(*docs.columns)
+    """docs, with all their columns, without those that the classifier rejects."""
+    return labelled.accepted(docs, train(docs, labels, **options), threshold, options.get("text_col", "text"), 4 << 20)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
