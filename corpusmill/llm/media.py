@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,14 +158,28 @@ def features(samples: bytes, rate: int, smooth: int = 25, least: int = 50) -> tu
     return [(round(a * ms), round(b * ms)) for a, b in spans], tensors, len(mel)
 
 
+def _slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about limit bytes in a column; a longer value is one alone."""
+    size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + limit, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def digest(tensors: bytes, steps: int = 16) -> str:
+    """SHA-1 of features in whole steps of a sixteenth, so that the last bits of a machine's arithmetic don't show."""
+    return hashlib.sha1(np.rint(np.frombuffer(tensors, "<f4") * steps).astype("<i2").tobytes()).hexdigest()
+
+
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each text's UTF-8, padded with spaces to a positive multiple of UNIT bytes, as a WAV file."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for part in _slices(batch, 1):
                 raw = [x or b"" for x in part.column(1).to_pylist()]
                 media = [encode_wav(x + b" " * (max(1, -(-len(x) // UNIT)) * UNIT - len(x))) for x in raw]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -180,8 +195,7 @@ def audio_features(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for part in _slices(batch, 2):
                 rows = []
                 for data in part.column(2).to_pylist():
                     payload, rate = decode_wav(data)
@@ -210,12 +224,12 @@ def _tensor_rows(found: DataFrame, folder: str) -> DataFrame:
         with scratch.written_whole(path) as out, pa.ipc.new_stream(out, schema) as stream:
             for batch in (b for part in ([head], batches) for b in part):
                 spans = batch.column("spans")
-                of = pa.compute.list_parent_indices(spans)
+                of = pc.list_parent_indices(spans)
                 flat = spans.flatten()
                 tensors = np.frombuffer(b"".join(x or b"" for x in batch.column("tensors").to_pylist()), "<f4").astype(np.float32)
                 store = pa.FixedSizeListArray.from_arrays(pa.array(tensors), SHAPE[0] * SHAPE[1])
                 stream.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), flat.field(0), flat.field(1), pa.ExtensionArray.from_storage(kind, store)], schema=schema))
-                segments = pa.compute.list_value_length(spans).to_numpy().astype(np.int64)
+                segments = pc.list_value_length(spans).to_numpy().astype(np.int64)
                 first = rows + np.cumsum(segments) - segments
                 rows += len(flat)
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array([path] * batch.num_rows), pa.array(first), pa.array(segments)], [*names, "path", "first", "segments"])
@@ -251,7 +265,7 @@ class _Segments:
 
 
 def stored_features(found: DataFrame, folder: str) -> DataFrame:
-    """found, its spans and tensors written to Arrow files in folder and read again from there."""
+    """found, its spans and tensors written to Arrow files in folder and read again from there, and digest: the SHA-1 of the tensors in steps."""
     rows = _tensor_rows(found, folder)
     kept = [f for f in rows.schema.fields if f.name not in ("path", "first", "segments")]
     names = [f.name for f in kept]
@@ -260,7 +274,7 @@ def stored_features(found: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = None
         for batch in batches:
-            spans, tensors = [], []
+            spans, tensors, digests = [], [], []
             for doc_id, path, first, n in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "path", "first", "segments"))):
                 if source is None or source.uri != path or first < source.at:
                     source = _Segments(path)
@@ -269,10 +283,11 @@ def stored_features(found: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"{path}: rows {first} to {first + n} aren't those of {doc_id}")
                 spans.append([{"start_ms": a, "end_ms": b} for a, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist())])
                 tensors.append(part.column(3).storage.flatten().to_numpy().astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(spans, spans_type), pa.array(tensors, pa.binary())], [*names, "spans", "tensors"])
+                digests.append(digest(tensors[-1]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(spans, spans_type), pa.array(tensors, pa.binary()), pa.array(digests)], [*names, "spans", "tensors", "digest"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInArrow(run, fields + ", spans array<struct<start_ms:long,end_ms:long>>, tensors binary")
+    return rows.mapInArrow(run, fields + ", spans array<struct<start_ms:long,end_ms:long>>, tensors binary, digest string")
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
@@ -280,5 +295,5 @@ def op6_media_columns(spark, sf_dir: str) -> DataFrame:
     media = scratch.stored(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
     found = stored_features(audio_features(media), scratch.folder(spark, "tensors"))
     last = F.try_element_at("spans", F.lit(-1))["end_ms"]
-    feature = F.concat_ws(":", "frames", F.size("spans"), last, F.sha1("tensors"))
+    feature = F.concat_ws(":", "frames", F.size("spans"), last, "digest")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
