@@ -8,10 +8,10 @@ window's.  The network is written and trained in numpy: only the window that
 decides a text's score learns from its label (a text is toxic if any window
 is), with Adam.
 
-Fitting takes a bounded sample of labelled rows (MOST_ROWS) on the driver; the
-parameters (about 10 MB) are sent to the executors, and scoring is a map
-over whole texts: the words of a batch are embedded and projected once each, a
-window's step is a table lookup.
+Fitting takes a bounded sample of labelled rows (MOST_ROWS), whole texts of any
+length, in one task; the parameters (about 10 MB) come back and are sent to the
+executors, and scoring is a map over whole texts: the words of a batch are
+embedded and projected once each, a window's step is a table lookup.
 
 Edge cases: null or empty text is one empty window, scored like any other;
 texts of any length are scored whole; a null id counts as held out; repeated
@@ -22,21 +22,19 @@ pass through, those named like the results are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .. import ship
-from . import vec
-from .labelled import held_out, sample
+from . import labelled, vec
 
 #: Labelled rows to fit on, by class: documented bound of the sample.
 MOST_ROWS = {0: 1500, 1: 1000}
 WINDOW, STRIDE = 48, 40
 WORDS, GRAMS, DIM, HIDDEN = 1 << 16, 1 << 13, 16, 8
 _CHUNK = 2048
+#: Windows of a text with label 0 that a round of training reads; of a longer one every round takes other windows.
+ROUND_WINDOWS = 128
 
 
 def unique_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +174,11 @@ class Network:
 
 
 def fit(texts: list[str], y: np.ndarray, weights: dict[int, float], rounds: int = 12, rate: float = 0.02, batch: int = 64, seed: int = 7) -> Network:
-    """Trains on whole texts: in each round, every text's windows are scored, and the highest learns."""
+    """Trains on whole texts: in each round, every text's windows are scored, and the highest learns.
+
+    Any window of a text with label 0 has label 0, so a round may take a part
+    of a long one's windows (ROUND_WINDOWS); the parts take turns.
+    """
     net = Network(seed)
     y = np.asarray(y, np.float32)
     if len(set(y.tolist())) < 2:
@@ -191,6 +193,7 @@ def fit(texts: list[str], y: np.ndarray, weights: dict[int, float], rounds: int
     gram_size = np.diff(np.append(begin, len(grams)))
     index, of = windows_of(place, first, len(bucket))
     of_at = np.searchsorted(of, np.arange(n + 1))
+    parts = np.where(y == 1, 1, -(-np.diff(of_at) // ROUND_WINDOWS))
     random = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     sample_weight = np.where(y == 1, weights[1], weights[0]).astype(np.float32)
@@ -199,8 +202,10 @@ def fit(texts: list[str], y: np.ndarray, weights: dict[int, float], rounds: int
         order = random.permutation(n)
         for a in range(0, n, batch):
             own = order[a : a + batch]
-            rows = vec.ragged(of_at[own], of_at[own + 1] - of_at[own])
-            text = np.repeat(np.arange(len(own)), of_at[own + 1] - of_at[own])
+            begin_at = of_at[own] + round_ % parts[own]
+            many = -(-(of_at[own + 1] - begin_at) // parts[own])
+            text = np.repeat(np.arange(len(own)), many)
+            rows = begin_at[text] + vec.ragged(np.zeros(len(own), np.int64), many) * parts[own][text]
             # only the batch's words are embedded
             used, local = np.unique(index[rows], return_inverse=True)
             local = local.reshape(len(rows), WINDOW)
@@ -243,36 +248,22 @@ def fit(texts: list[str], y: np.ndarray, weights: dict[int, float], rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: dict[int, int] = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text", **options) -> Network:
-    """Fits on at most most[y] labelled rows of each class that aren't held out, with texts of at most 20,000 characters; those classes' true shares set the scores' level."""
-    frame, totals = sample(docs, labels, label_col, most, longest=20_000, id_col=id_col, text_col=text_col)
-    y = np.asarray(frame["y"], np.int64)
-    n = np.bincount(y, minlength=2)
-    net = fit(frame["text"].tolist(), y, {0: 1.0, 1: 1.0}, **options)
-    if n.all():
-        net.shift = float(np.log((totals[1] / totals[0]) / (n[1] / n[0])))
-    return net
+    """Fits on at most most[y] labelled rows of each class that aren't held out; the classes' true shares set the scores' level."""
+    rows, totals = labelled.sample(docs, labels, label_col, most, id_col, text_col)
+
+    def run(table: pa.Table) -> Network:
+        y = table.column("y").to_numpy().astype(np.int64)
+        net, n = fit(table.column("text").to_pylist(), y, {0: 1.0, 1: 1.0}, **options), np.bincount(y, minlength=2)
+        if n.all():
+            net.shift = float(np.log((totals[1] / totals[0]) / (n[1] / n[0])))
+        return net
+
+    return labelled.fitted(rows, run)
 
 
 def score(docs: DataFrame, model: Network, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs and: held_out, score, predicted."""
-    ship(docs.sparkSession)
-    added = {"held_out": "boolean", "score": "double", "predicted": "int"}
-    docs = docs.drop(*added)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    text, ident = names.index(text_col), names.index(id_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            for row, n, data, offsets in vec.text_batches(batch.column(text), 2 << 20):
-                part = batch.slice(row, n)
-                found = model.score(data, offsets)
-                columns = [pa.array(held_out(part.column(ident).to_pylist())), pa.array(found), pa.array((found >= threshold).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*names, *added])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, fields + "".join(f", {k} {v}" for k, v in added.items()))
+    return labelled.score(docs, model, threshold, id_col, text_col, 2 << 20)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
