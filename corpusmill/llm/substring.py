@@ -154,7 +154,8 @@ def repeated_spans(spark, names, window: int, piece: int, text_col: str) -> Data
 
     numbers = spark.range(0, shards, 1, max(shards, 1))
     cuts = scratch.stored(numbers.mapInArrow(cut, "shard int, row int, start int, n int, rounds int, key long"), "segments")
-    again = cuts.groupBy("key").agg(F.sum("rounds").alias("c")).where("c > 1").select("key")
+    # keys to be joined are stored, so that both sides of a join are plain shuffles, which adaptive execution splits at a frequent key
+    again = scratch.stored(cuts.groupBy("key").agg(F.sum("rounds").alias("c")).where("c > 1").select("key"), "again")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, at, raw, begin, end in _reread(batches, names.value, text_col):
@@ -167,7 +168,7 @@ def repeated_spans(spark, names, window: int, piece: int, text_col: str) -> Data
     scratch.release(cuts)
     contents = met.groupBy("key", "d1", "d2").agg(F.sum("rounds").alias("c"), F.min(F.struct("shard", "row", "start", "n")).alias("at"))
     contents = scratch.stored(contents, "contents")
-    branching = contents.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    branching = scratch.stored(contents.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"), "branching")
     lone = contents.where("c = 1").select("key", "d1", "d2")  # contents of which no other segment is a repeat as a whole
     whole = met.join(lone, ["key", "d1", "d2"], "left_anti")
 
