@@ -1,4 +1,12 @@
-"""From raw documents to packed training sequences, each stage written and read by the next."""
+"""From raw documents to packed training sequences, each stage written and read by the next.
+
+Edge cases of all stages: a null text counts as empty; a null doc_id is kept (it
+counts as the largest in near-dedup); of repeated rows near-dedup keeps one;
+columns of any name and number pass through all stages but the last; without
+labels of both classes no document is rejected (every score is the share of
+label 1, 0.5 without any labels), unless label 0 alone is known; without benchmark
+items none is contaminated; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
