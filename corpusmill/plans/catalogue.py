@@ -519,6 +519,26 @@ def method_deltas(t):
     return reports.deltas(_method_scores(t), "method", "before", "after", ["bleu_e4", "hyp_len", "chrf_e4"])
 
 
+def _diagonals(h: str, r: str, edge: str, best: str) -> str:
+    """d AS (pair_id, n, m, v): a measure of token lists whose table of n + 1 by m + 1 cells is filled one diagonal k a step.
+
+    List q is the diagonal before p; cell i of p is row i - 1.  edge is the value
+    of a cell in the first row or column, best of the others, from up and left in
+    p, the corner in q, and same (1 for equal tokens).
+    """
+    cell = best.format(up="p[i]", left="p[i + 1]", corner="q[i]", same="CAST(h[i] = r[k + 1 - i] AS INTEGER)")
+    step = f"CASE WHEN i > k + 1 OR k + 1 - i > m THEN NULL WHEN i = 0 OR i = k + 1 THEN {edge} ELSE {cell} END"
+    return f"""seg AS (SELECT pair_id, h, r, len(h) AS n, len(r) AS m FROM (SELECT pair_id, {h} AS h, {r} AS r FROM pair)),
+dp AS (SELECT pair_id, 0 AS k, CAST([] AS BIGINT[]) AS q, [CAST(0 AS BIGINT)] AS p FROM seg UNION ALL SELECT pair_id, CAST(k + 1 AS INTEGER), p, list_transform(range(0, n + 1), lambda i: CAST({step} AS BIGINT)) FROM dp JOIN seg USING (pair_id) WHERE k < n + m),
+d AS (SELECT pair_id, n, m, p[n + 1] AS v FROM dp JOIN seg USING (pair_id) WHERE k = n + m)"""
+
+
+def _rouge_sql(tokens) -> str:
+    share = lambda n, d: f"CAST(round(10000 * avg(CASE WHEN v > 0 THEN {n} / ({d}) ELSE 0.0 END)) AS BIGINT)"
+    lcs = _diagonals(tokens("target"), tokens("english"), "0", "greatest({up}, {left}, {corner} + {same})")
+    return f"WITH RECURSIVE {_PAIR}, {lcs} SELECT count(*) AS n, {share('v', 'n')} AS rouge_l_p_e4, {share('v', 'm')} AS rouge_l_r_e4, {share('2 * v', 'n + m')} AS rouge_l_e4 FROM d"
+
+
 def _rouge(t, tokens) -> DataFrame:
     p = _pairs(t).select("pair_id", tokens(F.col("target")).alias("h"), tokens(F.col("english")).alias("r"))
     p = p.withColumn("l", evaluation.pair_measure(evaluation.lcs, "long")("h", "r"))
@@ -531,13 +551,13 @@ def _rouge_means(p: DataFrame) -> DataFrame:
     return p.agg(F.count(F.lit(1)).alias("n"), *[F.round(10000 * F.avg(c)).cast("long").alias(a) for c, a in (("precision", "rouge_l_p_e4"), ("recall", "rouge_l_r_e4"), ("f", "rouge_l_e4"))])
 
 
-@_query()
+@_query(_rouge_sql(_indic))
 def rouge_l(t):
     """Corpus means of sentence ROUGE-L in 1/10000."""
     return _rouge_means(_rouge(t, T.indic_tokens))
 
 
-@_query()
+@_query(_rouge_sql(lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+')"))
 def rouge_l_ascii(t):
     """The same over a-z and 0-9 only."""
     return _rouge_means(_rouge(t, T.ascii_words))
@@ -555,7 +575,7 @@ def _ter(t, measure) -> DataFrame:
     return p.agg(F.sum("e").alias("edits"), F.sum(F.size("r")).alias("ref_words"))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_PAIR}, {_diagonals(*[f"string_split({_clean(f'lower({x})')}, ' ')" for x in ('target', 'english')], 'k + 1', 'least({up} + 1, {left} + 1, {corner} + 1 - {same})')} SELECT CAST(sum(v) AS BIGINT) AS edits, CAST(sum(m) AS BIGINT) AS ref_words FROM d")
 def ter_noshift(t):
     """Word edits over reference words."""
     return _ter(t, evaluation.edits)
@@ -567,7 +587,14 @@ def ter_full(t):
     return _ter(t, evaluation.shifted_edits)
 
 
-@_query()
+_METEOR = f"""w AS (SELECT pair_id, {_indic('target')} AS h, {_indic('english')} AS r FROM pair),
+o AS (SELECT pair_id, side, i, word, row_number() OVER (PARTITION BY pair_id, side, word ORDER BY i DESC) AS nth FROM (SELECT pair_id, 0 AS side, unnest(range(len(h))) AS i, lower(unnest(h)) AS word FROM w UNION ALL SELECT pair_id, 1, unnest(range(len(r))), lower(unnest(r)) FROM w)),
+a AS (SELECT pair_id, x.i, y.i AS j, lag(x.i) OVER b AS before_i, lag(y.i) OVER b AS before_j FROM o x JOIN o y USING (pair_id, word, nth) WHERE x.side = 0 AND y.side = 1 WINDOW b AS (PARTITION BY pair_id ORDER BY x.i)),
+c AS (SELECT pair_id, count(*) AS k, count_if(before_i IS NULL OR before_i + 1 <> i OR before_j + 1 <> j) AS chunks FROM a GROUP BY pair_id),
+s AS (SELECT k / len(h) AS p, k / len(r) AS q, chunks / k AS f FROM w LEFT JOIN c USING (pair_id))"""
+
+
+@_query(f"WITH {_PAIR}, {_METEOR} SELECT count(*) AS n, CAST(round(10000 * avg(CASE WHEN p IS NULL THEN 0.0 ELSE p * q / (CAST(0.9 AS DOUBLE) * p + (1 - CAST(0.9 AS DOUBLE)) * q) * (1 - CAST(0.5 AS DOUBLE) * f ** 3) END)) AS BIGINT) AS meteor_e4 FROM s")
 def meteor_exact(t):
     p = _pairs(t).select(T.indic_tokens(F.col("target")).alias("h"), T.indic_tokens(F.col("english")).alias("r"))
     p = p.withColumn("m", evaluation.pair_measure(evaluation.meteor_exact, "double")("h", "r"))
