@@ -10,10 +10,10 @@ from ..functions import text as T
 
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:
-    """(pair_id, english, target) of every user turn and the assistant turn after it."""
+    """(pair_id, turn, english, target) of every user turn and the assistant turn after it; pair_id is unique for conversations of up to 2**20 turns."""
     u = conversations.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("english"))
     a = conversations.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
-    return u.join(a, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "turn", "english", "target")
+    return u.join(a, ["conv_id", "turn"]).select((F.col("conv_id") * 1048576 + F.col("turn")).alias("pair_id"), "turn", "english", "target")
 
 
 def valid(english: str = "english", target: str = "target") -> Column:

@@ -271,13 +271,31 @@ def shifted_edits(hyp: list, ref: list, longest: int = 10, farthest: int = 50, b
     return now + shifts
 
 
-def meteor_exact(hyp: list, ref: list, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """METEOR of lower-cased words with exact matches, aligned from the right; no stems or synonyms, which need word lists that aren't here."""
+def meteor(hyp: list, ref: list, stem: Callable[[str], str] | None = None, synonyms: dict[str, set[str]] | None = None, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
+    """METEOR of lower-cased words: equal words are matched first, then those of equal stem, then synonyms of a word of hyp.
+
+    Each stage takes what the ones before left, from the right, and of several
+    free words of ref the last. Stemmer and synonyms (by lower-cased word) are
+    the caller's and go to every task; without them their stages are left out.
+    """
     hyp, ref = [w.lower() for w in hyp], [w.lower() for w in ref]
-    free: dict[str, list[int]] = {}
-    for j, w in enumerate(ref):
-        free.setdefault(w, []).append(j)
-    pairs = [(i, free[hyp[i]].pop()) for i in reversed(range(len(hyp))) if free.get(hyp[i])][::-1]
+    stages = [(lambda w: {w}, lambda w: w)]
+    if stem:
+        stages.append((lambda w: {stem(w)}, stem))
+    if synonyms:
+        stages.append((lambda w: {w, *synonyms.get(w, ())}, lambda w: w))
+    pairs: list[tuple[int, int]] = []
+    for wanted, key in stages:
+        done, taken = {i for i, _ in pairs}, {j for _, j in pairs}
+        free: dict[str, list[int]] = {}
+        for j, w in enumerate(ref):
+            if j not in taken:
+                free.setdefault(key(w), []).append(j)
+        for i in reversed(range(len(hyp))):
+            places = [] if i in done else [free[k] for k in wanted(hyp[i]) if free.get(k)]
+            if places:
+                pairs.append((i, max(places, key=lambda x: x[-1]).pop()))
+    pairs.sort()
     m = len(pairs)
     if not m:
         return 0.0

@@ -56,7 +56,7 @@ def _grams(list_: str, n: str) -> str:
     return f"list_transform(range(1, greatest(len({list_}) - {n} + 2, 1)), lambda i: array_to_string({list_}[i : i + {n} - 1], ' '))"
 
 
-_PAIR = "pair AS (SELECT u.conv_id * 1000 + u.turn AS pair_id, u.turn, u.text AS english, a.text AS target FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
+_PAIR = "pair AS (SELECT u.conv_id * 1048576 + u.turn AS pair_id, u.turn, u.text AS english, a.text AS target FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
 _DICT = f"dict AS (SELECT DISTINCT unnest({_strip('text')}) AS word FROM benchmark)"
 _POST = f"post AS (SELECT word, pair_id FROM (SELECT pair_id, unnest(list_distinct({_strip('english')})) AS word FROM pair) SEMI JOIN dict USING (word))"
 _LEX = f"""e AS (SELECT p.pair_id, p.word FROM post p), t AS (SELECT pair_id, unnest(list_distinct({_strip('target')})) AS target FROM pair),
@@ -374,11 +374,11 @@ def qe_best_system(t):
 
 _REPEAT = "rep AS (SELECT id, min(pos) + 2 AS repeat_at FROM (SELECT id, pos, row_number() OVER (PARTITION BY id, gram ORDER BY pos) AS k FROM (SELECT id, unnest(range(greatest(len(t) - 2, 0))) AS pos, unnest(list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: array_to_string(t[i : i + 2], chr(1)))) AS gram FROM tk)) WHERE k = 2 GROUP BY id)"
 _FIX = f"{_REPEAT}, fx AS (SELECT id, text, t, least(coalesce(repeat_at, 2147483647), CAST(floor(least(64.0, greatest(len(t) * 2.0, len(t) + 8))) AS BIGINT)) AS stop FROM tk LEFT JOIN rep USING (id)), fixed AS (SELECT id, stop < len(t) AS changed, CASE WHEN stop < len(t) THEN array_to_string(t[1 : stop], ' ') ELSE text END AS fixed FROM fx)"
-_TURNS = f"tk AS (SELECT conv_id * 1000 + turn AS id, text, {_indic('text')} AS t FROM conversations)"
+_TURNS = f"tk AS (SELECT conv_id * 1048576 + turn AS id, text, {_indic('text')} AS t FROM conversations)"
 
 
 def _turns(t) -> DataFrame:
-    return t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return t("conversations").select((F.col("conv_id") * 1048576 + F.col("turn")).alias("id"), "text")
 
 
 @_query(f"WITH {_TURNS}, {_REPEAT} SELECT id, repeat_at FROM rep")
@@ -597,7 +597,7 @@ s AS (SELECT k / len(h) AS p, k / len(r) AS q, chunks / k AS f FROM w LEFT JOIN
 @_query(f"WITH {_PAIR}, {_METEOR} SELECT count(*) AS n, CAST(round(10000 * avg(CASE WHEN p IS NULL THEN 0.0 ELSE p * q / (CAST(0.9 AS DOUBLE) * p + (1 - CAST(0.9 AS DOUBLE)) * q) * (1 - CAST(0.5 AS DOUBLE) * f ** 3) END)) AS BIGINT) AS meteor_e4 FROM s")
 def meteor_exact(t):
     p = _pairs(t).select(T.indic_tokens(F.col("target")).alias("h"), T.indic_tokens(F.col("english")).alias("r"))
-    p = p.withColumn("m", evaluation.pair_measure(evaluation.meteor_exact, "double")("h", "r"))
+    p = p.withColumn("m", evaluation.pair_measure(evaluation.meteor, "double")("h", "r"))
     return p.agg(F.count(F.lit(1)).alias("n"), F.round(10000 * F.avg("m")).cast("long").alias("meteor_e4"))
 
 
@@ -653,10 +653,10 @@ def submission_lines(t):
     return submission.lines(t("documents"), "doc_id", "text").select("id", F.md5("line").alias("line_md5"))
 
 
-@_query(f"WITH {_PAIR} SELECT pair_id AS id, coalesce({_clean('english')} = {_clean('c.text')}, false) AS ok FROM pair LEFT JOIN conversations c ON pair_id = c.conv_id * 1000 + c.turn + 1")
+@_query(f"WITH {_PAIR} SELECT pair_id AS id, coalesce({_clean('english')} = {_clean('c.text')}, false) AS ok FROM pair LEFT JOIN conversations c ON pair_id = c.conv_id * 1048576 + c.turn + 1")
 def verify_source_alignment(t):
     """Every pair's sentence against the turn after it: all differ unless a turn repeats."""
-    official = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("id"), F.col("text").alias("source"))
+    official = t("conversations").select((F.col("conv_id") * 1048576 + F.col("turn") + 1).alias("id"), F.col("text").alias("source"))
     return submission.verify_sources(_pairs(t).select(F.col("pair_id").alias("id"), F.col("english").alias("source")), official)
 
 
@@ -666,7 +666,7 @@ def verify_txt_integrity(t):
     return submission.verify_lines(d.select(F.col("doc_id").alias("line_no"), F.col("text").alias("line")), submission.lines(d, "doc_id", "text")).select("line_no", "has_cr", "ok")
 
 
-@_query("SELECT conv_id * 1000 + turn AS id, md5(text || '.') AS output_md5, CASE WHEN length(text) % 2 = 0 THEN 1 ELSE 2 END AS attempts, 'ok' AS status FROM conversations")
+@_query("SELECT conv_id * 1048576 + turn AS id, md5(text || '.') AS output_md5, CASE WHEN length(text) % 2 = 0 THEN 1 ELSE 2 END AS attempts, 'ok' AS status FROM conversations")
 def generator_retry(t):
     """A stub model that answers texts of odd length at the second attempt only."""
 
@@ -677,7 +677,7 @@ def generator_retry(t):
     return got.select("id", F.md5("output").alias("output_md5"), F.col("attempts").cast("int").alias("attempts"), "status")
 
 
-@_query("SELECT conv_id * 1000 + turn AS id, md5(text || '!') AS rejected_md5, length(text) % 3 + 1 AS attempts FROM conversations")
+@_query("SELECT conv_id * 1048576 + turn AS id, md5(text || '!') AS rejected_md5, length(text) % 3 + 1 AS attempts FROM conversations")
 def rejected_sampling(t):
     """A stub model that repeats the chosen text until its attempt reaches the text's length modulo 3."""
 
@@ -806,15 +806,15 @@ def json_poly_scan(t):
     fields = [F.when(F.col("role") == r, F.col("text")).alias(n) for r, n in (("user", "tagin"), ("assistant", "prediction"), ("system", "predicted_translation"))]
     record = F.to_json(F.struct("conv_id", "turn", *fields, F.when(F.col("role") != "user", F.col("role")).alias("original_label")))
     folder = working.folder(c.sparkSession) + "/table"
-    parallel.write_records(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_no"), record.alias("record")), folder)
+    parallel.write_records(c.select((F.col("conv_id") * 1048576 + F.col("turn")).alias("row_no"), record.alias("record")), folder)
     both = records.read_records(c.sparkSession, folder).select(parallel.field("record", "conv_id").cast("long").alias("conv_id"), parallel.field("record", "turn").cast("long").alias("turn"), "path", "row_no")
     return both.join(parallel.predictions(c.sparkSession, folder), ["path", "row_no"]).select("conv_id", "turn", F.md5("predict").alias("predict_md5"), "label")
 
 
-@_query("SELECT conv_id * 1000 + turn AS id, CASE WHEN (conv_id + turn) % 2 = 0 THEN 1 ELSE 2 END AS run FROM conversations")
+@_query("SELECT conv_id * 1048576 + turn AS id, CASE WHEN (conv_id + turn) % 2 = 0 THEN 1 ELSE 2 END AS run FROM conversations")
 def resume_append(t):
     """A first run stops half-way; the second one does what is left."""
-    c = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), ((F.col("conv_id") + F.col("turn")) % 2).alias("odd"))
+    c = t("conversations").select((F.col("conv_id") * 1048576 + F.col("turn")).alias("id"), ((F.col("conv_id") + F.col("turn")) % 2).alias("odd"))
     folder = working.folder(c.sparkSession) + "/table"
     records.run_remaining(c.where("odd = 0"), "id", folder, lambda todo: todo.select("id", F.lit(1).alias("run")))
     return records.run_remaining(c, "id", folder, lambda todo: todo.select("id", F.lit(2).alias("run")))
@@ -859,7 +859,7 @@ def metric_bundle(t):
     plain = lambda c: F.split(T.sanitize(F.lower(c)), " ")
     sides = {k: [f("hyp").alias(f"h_{k}"), f("ref").alias(f"r_{k}")] for k, f in (("plain", plain), ("indic", lambda c: T.indic_tokens(F.col(c))), ("ascii", lambda c: T.ascii_words(F.col(c))))}
     seg = both.select("method", *[c for x in sides.values() for c in x])
-    measured = {"edits": ("plain", evaluation.shifted_edits, "long"), "l": ("indic", evaluation.lcs, "long"), "l_ascii": ("ascii", evaluation.lcs, "long"), "meteor": ("indic", evaluation.meteor_exact, "double")}
+    measured = {"edits": ("plain", evaluation.shifted_edits, "long"), "l": ("indic", evaluation.lcs, "long"), "l_ascii": ("ascii", evaluation.lcs, "long"), "meteor": ("indic", evaluation.meteor, "double")}
     seg = seg.withColumns({name: evaluation.pair_measure(f, kind)(f"h_{k}", f"r_{k}") for name, (k, f, kind) in measured.items()})
     f_of = lambda lcs, k: F.when(F.col(lcs) > 0, 2 * F.col(lcs) / (F.size(f"h_{k}") + F.size(f"r_{k}"))).otherwise(0.0)
     e4 = lambda c: F.round(10000 * c).cast("long")

@@ -107,7 +107,43 @@ def test_words_and_marks(spark):
 
 def test_meteor_aligns_from_the_right():
     # the last of the two a's is matched: one chunk
-    assert evaluation.meteor_exact("A x a b".split(), "a b".split()) == pytest.approx(0.5 / (0.9 * 0.5 + 0.1) * (1 - 0.5 * (1 / 2) ** 3))
+    assert evaluation.meteor("A x a b".split(), "a b".split()) == pytest.approx(0.5 / (0.9 * 0.5 + 0.1) * (1 - 0.5 * (1 / 2) ** 3))
+
+
+def test_meteor_stems_and_synonyms():
+    stem, synonyms = (lambda w: w.rstrip("s")), {"big": {"large", "huge"}}
+    score = lambda m, n, chunks: (m / n) * (1 - 0.5 * (chunks / m) ** 3)
+    hyp, ref = "big Cats run far".split(), "large cat run away".split()
+    assert evaluation.meteor(hyp, ref) == pytest.approx(score(1, 4, 1))
+    assert evaluation.meteor(hyp, ref, stem) == pytest.approx(score(2, 4, 1))
+    assert evaluation.meteor(hyp, ref, stem, synonyms) == pytest.approx(score(3, 4, 1))
+    # synonyms are looked up for words of hyp only
+    assert evaluation.meteor(["huge"], ["big"], None, synonyms) == 0
+    # an equal word is taken before one of equal stem, and only once
+    assert evaluation.meteor(["cats", "cat"], ["cat"], stem) == pytest.approx(0.5 / (0.9 * 0.5 + 0.1) * 0.5)
+    assert evaluation.meteor([], [], stem, synonyms) == 0
+    # each stage against a plain loop over what is free
+    rng = random.Random(5)
+    for _ in range(200):
+        h, r = ([rng.choice(["a", "as", "b", "bs", "big", "huge", "large"]) for _ in range(rng.randint(1, 7))] for _ in range(2))
+        left, free, found = [*range(len(h))], [*range(len(r))], []
+        for same in (lambda x, y: x == y, lambda x, y: stem(x) == stem(y), lambda x, y: x == y or y in synonyms.get(x, ())):
+            for i in left[::-1]:
+                for j in free[::-1]:
+                    if same(h[i], r[j]):
+                        found.append((i, j)), left.remove(i), free.remove(j)
+                        break
+        found.sort()
+        m = len(found)
+        chunks = sum(not k or found[k] != (found[k - 1][0] + 1, found[k - 1][1] + 1) for k in range(m))
+        want = m and m / len(h) * m / len(r) / (0.9 * m / len(h) + 0.1 * m / len(r)) * (1 - 0.5 * (chunks / m) ** 3)
+        assert evaluation.meteor(h, r, stem, synonyms) == pytest.approx(want)
+
+
+def test_long_conversations_have_pairs_of_their_own(spark):
+    turns = [(1, 1000, "user", "a"), (1, 1001, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "assistant", "d")]
+    got = corpus.turn_pairs(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()
+    assert sorted(r["target"] for r in got) == ["b", "d"] and len({r["pair_id"] for r in got}) == 2
 
 
 def test_bootstrap_median(spark):
@@ -140,7 +176,7 @@ def test_distances():
     assert SequenceMatcher(None, "ab", "ab").ratio() == 1
     assert evaluation.shifted_edits("c d a b".split(), "a b c d".split()) == 1
     assert evaluation.shifted_edits([], ["a"]) == 1 and evaluation.shifted_edits(["a"], ["a"]) == 0
-    assert evaluation.meteor_exact(["a"], ["b"]) == 0 and evaluation.meteor_exact("a b c".split(), "a b c".split()) == pytest.approx(1 - 0.5 / 27)
+    assert evaluation.meteor(["a"], ["b"]) == 0 and evaluation.meteor("a b c".split(), "a b c".split()) == pytest.approx(1 - 0.5 / 27)
 
 
 def test_sweep_ties_and_nulls(spark):
