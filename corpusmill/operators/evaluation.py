@@ -96,9 +96,11 @@ def decode_fix(df: DataFrame, text: str, ref_len: Column | None = None, n: int =
 
 def collapse_fix(df: DataFrame, text: str) -> DataFrame:
     """Adds collapsed: immediate duplicate tokens dropped; texts without any stay byte-identical."""
-    t = T.indic_tokens(F.col(text))
-    kept = F.filter(t, lambda w, i: (i == 0) | (w != F.try_element_at(t, i)))
-    return df.withColumn("collapsed", F.when(F.size(kept) < F.size(t), F.array_join(kept, " ")).otherwise(F.col(text)))
+    # tokens and kept are columns: in a lambda the splitter would run again for every token
+    df = df.withColumn("_t", T.indic_tokens(F.col(text)))
+    df = df.withColumn("_kept", F.filter("_t", lambda w, i: (i == 0) | (w != F.try_element_at("_t", i))))
+    collapsed = F.when(F.size("_kept") < F.size("_t"), F.array_join("_kept", " ")).otherwise(F.col(text))
+    return df.withColumn("collapsed", collapsed).drop("_t", "_kept")
 
 
 def take_shorter(a: DataFrame, b: DataFrame, key: str, text: str) -> DataFrame:

@@ -76,6 +76,16 @@ def test_decode_fix(spark):
     assert [x["collapsed"] for x in evaluation.collapse_fix(spark.createDataFrame([("a a  b b a",), ("a  b",)], "s string"), "s").collect()] == ["a b a", "a  b"]
 
 
+def test_collapse_splits_a_text_once(spark):
+    text = "न 1,2 . x x y " * 2000
+    tokens = text.split()
+    kept = [w for i, w in enumerate(tokens) if not i or w != tokens[i - 1]]
+    df = evaluation.collapse_fix(spark.createDataFrame([(text,), (None,), ("",), ("x  y",)], "s string"), "s")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.columns == ["s", "collapsed"] and plan.count("split(") == 1
+    assert [r["collapsed"] for r in df.collect()] == [" ".join(kept), None, "", "x  y"]
+
+
 def test_quality_signals(spark):
     df = spark.createDataFrame([("", "x"), ("a a a a", "b"), ("one two", ""), ("abcabc" * 6, "z")], "h string, s string")
     rows = evaluation.quality_signals(df, "h", "s").collect()
