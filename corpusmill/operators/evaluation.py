@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,17 +112,36 @@ def take_shorter(a: DataFrame, b: DataFrame, key: str, text: str) -> DataFrame:
     return met.select(key, F.when(first, F.col("a")).otherwise(F.col("b")).alias("chosen"), first.alias("from_first"))
 
 
-def _grams(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of each token among all, tokens of each list)."""
-    size = np.array([len(x) for x in lists], np.int64)
-    flat = np.concatenate(lists) if size.sum() else np.zeros(0, np.int64)
-    return pd.factorize(flat)[0].astype(np.int64), size
+#: Characters or tokens counted at a time, which bounds a task's working arrays whatever a batch holds; a longer segment is counted alone.
+STEP = 1 << 18
 
 
-def _clipped(hyp: list[np.ndarray], ref: list[np.ndarray], orders: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order (matches, n-grams of the output, of the reference) of every segment of a batch."""
-    n_seg = len(hyp)
-    codes, size = _grams([*hyp, *ref])
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Tokens of each list, or characters of each text; null has none."""
+    length = pc.list_value_length if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else pc.utf8_length
+    return length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _steps(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of runs of rows of at most limit in all, or of one row."""
+    ends, row = np.cumsum(sizes), 0
+    while row < len(sizes):
+        stop = int(np.searchsorted(ends, ends[row] - sizes[row] + limit, "right"))
+        yield row, max(stop, row + 1)
+        row = max(stop, row + 1)
+
+
+def _codes_of(column: pa.Array) -> np.ndarray:
+    """A number for each token of all lists, or character of all texts, the same for equal ones."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        return pc.dictionary_encode(pc.list_flatten(column), null_encoding="encode").indices.to_numpy().astype(np.int64)
+    return np.frombuffer("".join(column.drop_null().to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def _clipped(hyp: pa.Array, ref: pa.Array, orders: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order (matches, n-grams of the output, of the reference) of every segment of a step."""
+    n_seg, both = len(hyp), pa.concat_arrays([hyp, ref])
+    codes, size = _codes_of(both), _sizes(both)
     of = np.repeat(np.arange(2 * n_seg), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))  # tokens from here to the list's end
     grams, out = codes, []
@@ -132,39 +153,44 @@ def _clipped(hyp: list[np.ndarray], ref: list[np.ndarray], orders: int) -> list[
             grams = longer
         wide = int(grams.max(initial=0)) + 1
         sides = [np.unique(of[x] % n_seg * wide + grams[x], return_counts=True) for x in (at[of[at] < n_seg], at[of[at] >= n_seg])]
-        both, i, j = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
-        matches = np.bincount(both // wide, np.minimum(sides[0][1][i], sides[1][1][j]), n_seg).astype(np.int64)
+        met, i, j = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
+        matches = np.bincount(met // wide, np.minimum(sides[0][1][i], sides[1][1][j]), n_seg).astype(np.int64)
         total = np.maximum(size - n + 1, 0)
         out.append((matches, total[:n_seg], total[n_seg:]))
     return out
 
 
-def clipped_matches(df: DataFrame, parts: list[tuple[str, str, int]], by: tuple[str, ...] = (), guarded: bool = False) -> DataFrame:
+def _counted(batch: pa.RecordBatch, parts: list[tuple[str, str, int]], by: tuple[str, ...], guarded: bool, step: int) -> Iterator[pa.RecordBatch]:
+    """(*by, n, matches, hyp_total, ref_total) of every segment of a batch, a step at a time."""
+    before = 0
+    for h, r, orders in parts:
+        hyp, ref = batch.column(h), batch.column(r)
+        for a, b in _steps(_sizes(hyp) + _sizes(ref), step):
+            matches, of_hyp, of_ref = (np.concatenate(x) for x in zip(*_clipped(hyp.slice(a, b - a), ref.slice(a, b - a), orders)))
+            number = np.repeat(np.arange(before + 1, before + orders + 1, dtype=np.int32), b - a)
+            groups = [pa.concat_arrays([batch.column(c).slice(a, b - a)] * orders) for c in by]
+            counts = [number, matches, np.where(of_ref > 0, of_hyp, 0) if guarded else of_hyp, of_ref]
+            yield pa.RecordBatch.from_arrays([*groups, *map(pa.array, counts)], [*by, "n", "matches", "hyp_total", "ref_total"])
+        before += orders
+
+
+def clipped_matches(df: DataFrame, parts: list[tuple[str, str, int]], by: tuple[str, ...] = (), guarded: bool = False, step: int = STEP) -> DataFrame:
     """(*by, n, matches, hyp_total, ref_total) over the corpus: n-gram counts of each segment, clipped by the reference's, summed.
 
     parts names the columns of output and reference (token lists, or texts, of
     which characters count) and how many orders; n goes on from one part to the
     next.  guarded: a segment's order counts only if its reference has it.
-    Clipping never leaves a segment, so all is counted in the batch that holds
-    it and a few numbers a segment are summed.
+    Clipping never leaves a segment, so all is counted in the task that holds
+    it, segments of step tokens at a time, and a few numbers a segment are summed.
     """
     columns = list(dict.fromkeys(c for h, r, _ in parts for c in (h, r)))
 
-    def listed(x) -> np.ndarray:
-        if x is None:
-            return np.zeros(0, object)
-        return np.array(list(x) if isinstance(x, str) else x, object)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            number, group = 0, {c: frame[c].to_numpy() for c in by}
-            for h, r, orders in parts:
-                for matches, hyp, ref in _clipped([listed(x) for x in frame[h]], [listed(x) for x in frame[r]], orders) if len(frame) else []:
-                    number += 1
-                    yield pd.DataFrame(group | {"n": np.full(len(frame), number, np.int32), "matches": matches, "hyp_total": np.where(ref > 0, hyp, 0) if guarded else hyp, "ref_total": ref})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _counted(batch, parts, by, guarded, step)
 
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
-    counts = df.select(*by, *columns).mapInPandas(run, fields + "n int, matches long, hyp_total long, ref_total long")
+    counts = df.select(*by, *columns).mapInArrow(run, fields + "n int, matches long, hyp_total long, ref_total long")
     return counts.groupBy(*by, "n").agg(*[F.sum(c).alias(c) for c in ("matches", "hyp_total", "ref_total")]).where("hyp_total + ref_total > 0")
 
 

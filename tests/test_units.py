@@ -2,9 +2,12 @@
 
 import json
 import random
+import tracemalloc
 import zipfile
+from collections import Counter
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +113,46 @@ def test_orders_without_reference_do_not_count(spark):
     assert stats == {1: (3, 12, 6), 2: (2, 3, 3), 3: (1, 2, 1)}
 
 
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("as_words", [False, True])
+def test_counting_takes_no_more_memory_for_larger_batches(as_words):
+    rng = random.Random(3)
+    side = ["".join(rng.choices("abcdefgh नि", k=1000)) for _ in range(200)]
+    for times in (1, 10):
+        texts = pa.array(side * times)
+        column = pa.array([list(x) for x in side] * times) if as_words else texts
+        batch = pa.record_batch({"h": column, "r": column})
+        assert peak_mb(lambda: [x.num_rows for x in evaluation._counted(batch, [("h", "r", 6)], (), True, evaluation.STEP)]) < 80
+
+
+def test_counts_do_not_depend_on_steps(spark):
+    rng = random.Random(4)
+    text = lambda: None if rng.random() < 0.1 else "".join(rng.choice("abन\U0001f600") for _ in range(rng.choice([0, 1, 5, 40])))
+    rows = [(rng.choice(["x", "y", None]), text(), text()) for _ in range(60)]
+    df = spark.createDataFrame(rows, "g string, h string, r string")
+    want = {}
+    for g, h, r in rows:
+        for n in range(1, 4):
+            a, b = (Counter((x or "")[i : i + n] for i in range(len(x or "") - n + 1)) for x in (h, r))
+            for k in (n, n + 3):
+                if k == n or h and r:
+                    have = want.setdefault((g, k), [0, 0, 0])
+                    for i, x in enumerate(((a & b).total(), a.total() if b else 0, b.total())):
+                        have[i] += x
+    words = df.withColumns({s + "w": F.when(F.length("h") * F.length("r") > 0, F.split(s, "")) for s in "hr"})
+    for step in (1, 50, evaluation.STEP):
+        got = evaluation.clipped_matches(words, [("h", "r", 3), ("hw", "rw", 3)], ("g",), True, step).collect()
+        assert {(x["g"], x["n"]): [x["matches"], x["hyp_total"], x["ref_total"]] for x in got} == {k: v for k, v in want.items() if sum(v[1:])}
+
+
 def test_words_and_marks(spark):
     got = column(spark, ["Hi, (all) .", "--", "", None, "a\u00a0b!"], lambda c: T.words_and_marks(c))
     assert got == [["Hi", ",", "(all", ")", "."], ["-", "-"], [], None, ["a", "b", "!"]]
