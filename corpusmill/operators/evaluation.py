@@ -354,10 +354,10 @@ def bootstrap_median(df: DataFrame, key: str, values: list[str], samples: int =
 
 
 def pair_measure(measure: Callable[[list, list], float], kind: str):
-    """A vectorised column function of two token arrays; segments are computed one at a time, Arrow batches carry them."""
+    """A vectorised column function of two token arrays; Arrow batches carry the segments, of which one at a time is lists of Python strings."""
 
-    @F.pandas_udf(kind)
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([measure(list(x), list(y)) for x, y in zip(a, b)])
+    @F.arrow_udf(kind)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(np.array([measure(x.as_py(), y.as_py()) for x, y in zip(a, b)], float if kind == "double" else np.int64))
 
     return run

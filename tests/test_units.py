@@ -133,6 +133,15 @@ def test_counting_takes_no_more_memory_for_larger_batches(as_words):
         assert peak_mb(lambda: [x.num_rows for x in evaluation._counted(batch, [("h", "r", 6)], (), True, evaluation.STEP)]) < 80
 
 
+def test_measures_hold_one_pair_of_a_batch(spark):
+    lists = pa.array([["a"], []] + [[f"{j} {i}" for i in range(100)] for j in range(2000)])
+    for kind, answer in (("long", 200), ("double", 200.0)):
+        got = []
+        # all words as Python strings would be more than 10 MB
+        assert peak_mb(lambda: got.append(evaluation.pair_measure(lambda a, b: len(a) + len(b), kind).func(lists, lists))) < 4
+        assert got[0].to_pylist() == [2, 0, *[answer] * 2000] and str(got[0].type) == {"long": "int64"}.get(kind, kind)
+
+
 def test_counts_do_not_depend_on_steps(spark):
     rng = random.Random(4)
     text = lambda: None if rng.random() < 0.1 else "".join(rng.choice("abन\U0001f600") for _ in range(rng.choice([0, 1, 5, 40])))
