@@ -51,9 +51,7 @@ def quality_signals(df: DataFrame, hyp: str, src: str) -> DataFrame:
     return df.select(*keep, *[v.alias(k) for k, v in out.items()])
 
 
-def repeat_at(tokens: Column, n: int = 3, collapse: bool = False) -> Column:
-    """The 0-based token at which an n-gram first ends for the second time, or null; with collapse, immediate duplicates neither count as tokens nor end n-grams."""
-
+def _repeats(n: int, collapse: bool):
     def first(t) -> int | None:
         kept, seen = 0, set()
         for i in range(len(t)):
@@ -67,11 +65,17 @@ def repeat_at(tokens: Column, n: int = 3, collapse: bool = False) -> Column:
             kept += 1
         return None
 
-    @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else first(t) for t in texts], dtype="Int64")
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        # only one text at a time is a list of Python strings
+        return pa.array([first(t.as_py()) if t.is_valid else None for t in texts], pa.int64())
+
+    return run
+
 
-    return run(tokens)
+def repeat_at(tokens: Column, n: int = 3, collapse: bool = False) -> Column:
+    """The 0-based token at which an n-gram first ends for the second time, or null; with collapse, immediate duplicates neither count as tokens nor end n-grams."""
+    return _repeats(n, collapse)(tokens)
 
 
 def first_repeat(df: DataFrame, key: str, tokens: str, n: int = 3) -> DataFrame:

@@ -133,6 +133,14 @@ def test_counting_takes_no_more_memory_for_larger_batches(as_words):
         assert peak_mb(lambda: [x.num_rows for x in evaluation._counted(batch, [("h", "r", 6)], (), True, evaluation.STEP)]) < 80
 
 
+def test_repeats_hold_one_text_of_a_batch(spark):
+    tokens = pa.array([[str(i) for i in range(1000)] + ["0", "1", "2"], None, ["a"]] + [[f"{j} {i}" for i in range(100)] for j in range(2000)])
+    got = []
+    # all words as Python strings would be more than 10 MB
+    assert peak_mb(lambda: got.append(evaluation._repeats(3, False).func(tokens))) < 4
+    assert got[0].to_pylist() == [1002, *[None] * 2002]
+
+
 def test_measures_hold_one_pair_of_a_batch(spark):
     lists = pa.array([["a"], []] + [[f"{j} {i}" for i in range(100)] for j in range(2000)])
     for kind, answer in (("long", 200), ("double", 200.0)):
